@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import topk
+from brindle.llm import mixing, pieces, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_topk": topk.op1_topk}
+    return {"op1_topk": topk.op1_topk, "op4_pieces": pieces.op4_pieces, "op8_mixing": mixing.op8_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
