@@ -89,7 +89,7 @@ def land(pi: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def _fly(level: int, last: bool, seed: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["h", "doc_key", "size", "twin"], kind="stable")
+        rows = rows.sort_values(["size", "h", "doc_key", "twin"], ascending=[False, True, True, True], kind="stable")  # large documents first: what stays undecided is small
         name = f"{seed}|{key[0]}|{key[1]}|{level}"
         rng = np.random.default_rng(int.from_bytes(hashlib.sha256(name.encode()).digest()[:8], "big"))
         pi, size = rows["pi"].to_numpy(), rows["size"].to_numpy()
