@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import mixing, pieces, topk
+from brindle.llm import language, licenses, mixing, pieces, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_topk": topk.op1_topk, "op4_pieces": pieces.op4_pieces, "op8_mixing": mixing.op8_mixing}
+    return {"op1_topk": topk.op1_topk, "op4_pieces": pieces.op4_pieces, "op5_language": language.op5_language, "op6_licenses": licenses.op6_licenses, "op8_mixing": mixing.op8_mixing, "op9_toxicity": toxicity.op9_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
