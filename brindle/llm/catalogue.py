@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import language, licenses, mixing, pieces, suffixes, topk, toxicity
+from brindle.llm import embeddings, language, licenses, mixing, neardup, pieces, suffixes, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_topk": topk.op1_topk, "op4_pieces": pieces.op4_pieces, "op5_language": language.op5_language, "op6_licenses": licenses.op6_licenses, "op8_mixing": mixing.op8_mixing, "op9_toxicity": toxicity.op9_toxicity, "op10_suffixes": suffixes.op10_suffixes}
+    return {"op1_topk": topk.op1_topk, "op2_embeddings": embeddings.op2_embeddings, "op3_neardup": neardup.op3_neardup, "op4_pieces": pieces.op4_pieces, "op5_language": language.op5_language, "op6_licenses": licenses.op6_licenses, "op8_mixing": mixing.op8_mixing, "op9_toxicity": toxicity.op9_toxicity, "op10_suffixes": suffixes.op10_suffixes}
 
 
 def oracle_sql() -> dict[str, str]:
