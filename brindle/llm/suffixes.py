@@ -384,12 +384,12 @@ def repeated_spans(docs: DataFrame, least: int = 50, k: int = 20) -> DataFrame:
 
 
 def _result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "th", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
     for batch in batches:
         for lo in range(0, batch.num_rows, 500):
             part = batch.slice(lo, 500)
             out: list[list] = [[] for _ in range(5)]
-            for x, at in zip(texts(part.column(2)), part.column(3).to_pylist(), strict=True):
+            for x, at in zip(texts(part.column(1)), part.column(2).to_pylist(), strict=True):
                 spans: list[list[int]] = []
                 for s, e in sorted((p["s"], p["e"]) for p in at or []):
                     if spans and s <= spans[-1][1]:
@@ -404,23 +404,27 @@ def _result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rest = b"".join(kept)
                 for c, v in zip(out, (len(x), len(x) - len(rest), len(spans), hashlib.sha256(rest).hexdigest(), rest), strict=True):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string()), pa.array(out[4], pa.binary())], names)
+            cols = [part.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string()), pa.array(out[4], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols + part.columns[3:], names + part.schema.names[3:])
 
 
-def remove_repeats(docs: DataFrame, least: int = 50, k: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, least: int = 50, k: int = 20, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` of every whole text as UTF-8 bytes (null: empty).
 
     A byte goes if it is covered by a ``least``-byte string that also starts in a document with a smaller id; overlaps count and strings are
     judged on the input. One row per input row. Rows that repeat an id are not earlier than each other; a null id counts as larger than
-    all others. Texts shorter than ``least`` bytes keep all. An empty table gives no rows; other columns are ignored.
+    all others. Texts shorter than ``least`` bytes keep all. An empty table gives no rows; of the other columns those named in ``carry`` come along as ``carry_<name>``.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_DOC)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    more = [f"carry_{c}" for c in carry]
+    base = docs.select(*[F.col(c).alias(f"carry_{c}") for c in carry], F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_DOC)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     unique = base.groupBy("id").count().where("count > 1").isEmpty()
     # rows that repeat an id are told apart by a hash of their text
-    keyed = base.select("doc_id", "id", (F.lit(0).cast("long") if unique else F.xxhash64("text")).alias("th"), "text")
+    keyed = base.select("doc_id", "id", (F.lit(0).cast("long") if unique else F.xxhash64("text")).alias("th"), "text", *more)
     spans = repeated_spans(keyed.select("id", "th", "text"), least, k)
     at = spans.groupBy("id", "th").agg(F.collect_list(F.struct("s", "e")).alias("at"))
-    return keyed.join(at.hint("shuffle_hash"), ["id", "th"], "left").select("doc_id", "th", "text", "at").mapInArrow(_result, "doc_id long, th long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").drop("th")
+    joined = keyed.join(at.hint("shuffle_hash"), ["id", "th"], "left").select("doc_id", "text", "at", *more)
+    extra = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[3:])
+    return joined.mapInArrow(_result, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary{extra}")
 
 
 def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
