@@ -1 +1,4 @@
+"""Query catalogue."""
 
+from brindle.plans import deals, relational  # noqa: F401
+from brindle.plans.base import ORACLE, QUERIES  # noqa: F401
