@@ -118,7 +118,7 @@ def join_two_left_or(spark, d):
     return o.join(c, F.col("o_custkey") == F.col("c_custkey"), "left").join(li, F.col("o_orderkey") == F.col("l_orderkey"), "left").where("c_custkey is not null or l_orderkey is not null").select("o_orderkey")
 
 
-@query("join_asof_prior", f"with {PR} select sale_group, line, sku, observed_at, amount, market, count(*) over w n_prior, round_even(avg(amount) over w,2) mean_prior from pr window w as (partition by sku, market order by observed_at range between unbounded preceding and interval 1 microsecond preceding)")
+@query("join_asof_prior", f"with {PR} select sale_group, line, sku, observed_at, amount, market, count(*) over w n_prior, round_even(ln(avg(amount) over w),6) log_mean_prior from pr window w as (partition by sku, market order by observed_at range between unbounded preceding and interval 1 microsecond preceding)")
 def join_asof_prior(spark, d):
     """Earlier sales of the article: strictly before the row's own time. A running total by distinct time replaces the range join."""
     pr = price_records(spark, d)
@@ -126,7 +126,7 @@ def join_asof_prior(spark, d):
     at = pr.groupBy(*keys).agg(F.count("*").alias("c"), F.sum("amount").alias("s"))
     w = Window.partitionBy("sku", "market").orderBy("observed_at").rowsBetween(Window.unboundedPreceding, -1)
     at = at.select(*keys, F.coalesce(F.sum("c").over(w), F.lit(0)).alias("n_prior"), F.sum("s").over(w).alias("sum_prior"))
-    return pr.join(at, keys).select("sale_group", "line", "sku", "observed_at", "amount", "market", "n_prior", F.bround(F.col("sum_prior") / F.col("n_prior"), 2).alias("mean_prior"))
+    return pr.join(at, keys).select("sale_group", "line", "sku", "observed_at", "amount", "market", "n_prior", F.bround(F.ln(F.col("sum_prior") / F.col("n_prior")), 6).alias("log_mean_prior"))
 
 
 @query("join_leave_group_out", f"with {PR}, a as (select sku, market, count(*) n, sum(ln(amount)) s from pr group by 1,2), g as (select sku, market, sale_group, count(*) gn, sum(ln(amount)) gs from pr group by 1,2,3) select g.sku, g.market, sale_group, n-gn n_other, round_even(case when n>gn then (s-gs)/(n-gn) end,6) mean_other from g join a on a.sku=g.sku and a.market=g.market")
