@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from brindle.llm.common import cut, mix, partitions, table, texts
 
 #: Bytes of text in one batch, of a suffix-sorted block, and stretches of one anchor that a block takes before the anchor is dealt over several.
-BATCH, BLOCK, HOT, HOT_IN_BATCH, SALTS = 4 << 20, 2 << 20, 2048, 64, 64
+BATCH, BLOCK, HOT, HOT_IN_BATCH, SALTS = 2 << 20, 2 << 20, 2048, 64, 64
 NO_DOC = (1 << 63) - 1
 MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _POWERS: list[np.ndarray] = []
