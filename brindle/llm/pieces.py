@@ -6,6 +6,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from brindle.llm.common import default_tokenizer, table, texts
 
 SPACE = "▁"
 #: Entries of the memo of one worker; it starts anew beyond that.
-MEMO = 400_000
+MEMO = 700_000
 CANDIDATE_PUNCTUATION = ".,!?#$*&|;:"
 
 
@@ -32,15 +33,17 @@ class PieceEncoder:
         import sentencepiece
 
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
-        self.ids, self.score, self.bytes = {}, {}, {}
+        self.ids, score, self.bytes = {}, {}, {}
         spans: set[tuple[str, str]] = set()
         for i in range(sp.get_piece_size()):
             p = sp.id_to_piece(i)
             if sp.is_byte(i):
                 self.bytes[int(p[3:5], 16)] = i
             elif not (sp.is_control(i) or sp.is_unknown(i)):
-                self.ids[p], self.score[p] = i, sp.get_score(i)
+                self.ids[p], score[p] = i, sp.get_score(i)
                 spans.update(zip(p, p[1:], strict=False))
+        place = {x: k for k, x in enumerate(sorted(set(score.values()), reverse=True))}
+        self.rank = {p: place[x] for p, x in score.items()}  # equal scores have one place
         if len(self.bytes) != 256 or sp.normalize("ﬁ  x ") != f"{SPACE}ﬁ{SPACE}{SPACE}x{SPACE}":
             raise ValueError("a merge-type vocabulary with byte fallback and without text normalisation is needed")
         if any(b == SPACE and a != SPACE for a, b in spans):
@@ -56,38 +59,39 @@ class PieceEncoder:
 
     def agenda(self, text: str) -> list[int]:
         """Merge the adjacent pair with the best score, the leftmost of equals, until no pair is a piece."""
-        sym: list[str | None] = list(text.replace(" ", SPACE))
+        sym = list(text.replace(" ", SPACE))
         n = len(sym)
-        score, after, before = self.score, list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = []
-        for i in range(n - 1):
-            pair = sym[i] + sym[i + 1]
-            if pair in score:
-                heap.append((-score[pair], i, pair))
+        rank, shift = self.rank.get, n.bit_length()
+        low = (1 << shift) - 1
+        # an entry of the agenda is one whole number: place of the score, then place of the left symbol
+        heap = [r << shift | i for i, r in enumerate(map(rank, map(add, sym, sym[1:]))) if r is not None]
         heapq.heapify(heap)
+        pop, push = heapq.heappop, heapq.heappush
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while heap:
-            _, i, pair = heapq.heappop(heap)
-            left = sym[i]
-            if left is None:
-                continue
+            entry = pop(heap)
+            i = entry & low
             j = after[i]
-            if j >= n or len(left) + len(sym[j]) != len(pair) or left + sym[j] != pair:
+            if not sym[i] or j >= n:
                 continue
-            sym[i], sym[j] = pair, None
+            pair = sym[i] + sym[j]
+            if rank(pair) != entry >> shift:
+                continue  # one of the two has changed since
+            sym[i], sym[j] = pair, ""
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                new = pair + sym[k]
-                if new in score:
-                    heapq.heappush(heap, (-score[new], i, new))
+                r = rank(pair + sym[k])
+                if r is not None:
+                    push(heap, r << shift | i)
             k = before[i]
             if k >= 0:
-                new = sym[k] + pair
-                if new in score:
-                    heapq.heappush(heap, (-score[new], k, new))
+                r = rank(sym[k] + pair)
+                if r is not None:
+                    push(heap, r << shift | k)
         out: list[int] = []
         for s in sym:
-            if s is not None:
+            if s:
                 at = self.ids.get(s)
                 if at is None:
                     out.extend(self.bytes[b] for b in s.encode())
@@ -103,13 +107,13 @@ class PieceEncoder:
         tiny = [t for t in batch if t]
         if tiny:
             check = min(tiny, key=len)
-            if [i for p in find(" " + check) for i in self.agenda(p)] != self.sp.encode(check):
+            if [i for p in find(" " + check.replace(SPACE, " ")) for i in self.agenda(p)] != self.sp.encode(check):
                 raise RuntimeError(f"the library encodes this text otherwise: {check[:200]!r}")
         for text in batch:
             if not text:
                 yield [], ""
                 continue
-            parts = find(" " + text)
+            parts = find(" " + text.replace(SPACE, " "))  # a space symbol in a text counts as a space
             new = [p for p in dict.fromkeys(parts) if p not in memo]
             own: dict[str, tuple[list[int], str]] = {}
             if new:
