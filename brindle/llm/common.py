@@ -59,6 +59,14 @@ def drop_cut(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, False)
 
 
+def small_batches(spark: SparkSession, most: int = 8 * MB) -> None:
+    """From now on Arrow batches of the session hold at most ``most`` bytes, so that a Python worker's memory does not follow the length of the texts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = re.fullmatch(r"(\d+)b?", str(spark.conf.get(name)))
+    if not size or not 0 < int(size[1]) <= most:
+        spark.conf.set(name, str(most))
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

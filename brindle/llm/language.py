@@ -12,11 +12,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import crc_fold, table, texts
+from brindle.llm.common import crc_fold, cut, small_batches, table, texts
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Documents of each language that are learned from at most, entries of the model, and of a worker's memo.
-SAMPLE_PER_LANG, MODEL_WORDS, MODEL_GRAMS, MEMO = 4000, 60_000, 60_000, 400_000
+SAMPLE_PER_LANG, MODEL_WORDS, MODEL_GRAMS, MEMO = 4000, 60_000, 60_000, 300_000
 LONGEST_GRAM = 4
 
 
@@ -30,19 +30,21 @@ def grams_of(word: str, n: int) -> list[str]:
 
 
 class Backoff:
-    """Log frequencies of words and of character n-grams by language.
+    """Log frequencies (over documents) of words and of character n-grams by language.
 
     A known word scores by its own log frequencies. An unseen word falls back to its character 4-grams, then 3-, 2- and
     1-grams: the first length of which a gram is known decides, by the mean of the known ones.
     """
 
-    def __init__(self, langs: list[str], entries: dict[int, dict[str, np.ndarray]]):
+    def __init__(self, langs: list[str], entries: dict[int, dict[str, np.ndarray]], docs: np.ndarray | None = None):
         self.langs = langs
         self.tables = {}
         for kind, rows in entries.items():
             if rows:
                 counts = np.array(list(rows.values()), np.float64)
-                logs = np.log((counts + 0.1) / (counts.sum(0) + 0.1 * len(rows)))
+                # a word's share of the language's documents; a gram's share of the language's grams
+                total = docs if kind == 0 and docs is not None else counts.sum(0)
+                logs = np.log((counts + 0.1) / (total + 0.1 * len(rows) * (kind > 0) + 0.2))
                 logs -= logs.mean(1, keepdims=True)
                 self.tables[kind] = (dict(zip(rows, range(len(rows)), strict=True)), logs)
         self.unknown = np.zeros(len(langs))
@@ -56,7 +58,7 @@ class Backoff:
             if t:
                 at = [t[0][g] for g in grams_of(w, n) if g in t[0]]
                 if at:
-                    return t[1][at].mean(0)
+                    return np.add.reduce(t[1][at]) / len(at)
         return self.unknown
 
 
@@ -65,17 +67,21 @@ class _Rows(dict):
 
     def __init__(self, model: Backoff):
         super().__init__()
-        self.model, self.rows = model, []
+        self.model, self.rows = model, np.zeros((1024, len(model.langs)), np.float32)
 
     def __missing__(self, w: str) -> int:
-        self.rows.append(self.model.word(w))
-        self[w] = at = len(self.rows) - 1
+        at = len(self)
+        if at == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[at] = self.model.word(w)
+        self[w] = at
         return at
 
 
 def learn(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", key_col: str = "doc_id", per_lang: int = SAMPLE_PER_LANG) -> Backoff:
     """A model from rows whose label is not null: at most about ``per_lang`` of each language, chosen by a hash of the key (a bounded
     sample of labelled rows, as the size of the model is bounded by MODEL_WORDS and MODEL_GRAMS)."""
+    small_batches(labelled.sparkSession)
     rows = labelled.where(F.col(lang_col).isNotNull())
     count = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col).cast("string")).count().collect()}
     langs = sorted(count)
@@ -88,36 +94,38 @@ def learn(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, Counter] = {}
+        docs = Counter()
         for batch in batches:
             for lang, raw in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
-                total.setdefault(lang, Counter()).update(words_of(raw.decode()))
+                docs[lang] += 1
+                total.setdefault(lang, Counter()).update(set(words_of(raw.decode())))  # once a document: one repetitive text must not outweigh the others
         for lang, words in total.items():
             grams = [words, *(Counter() for _ in range(LONGEST_GRAM))]
             for w, c in words.items():
                 for n in range(1, LONGEST_GRAM + 1):
                     for g in grams_of(w, n):
                         grams[n][g] += c
-            for kind, counts in enumerate(grams):
+            for kind, counts in enumerate([*grams, Counter({"": docs[lang]})]):
                 for lo in range(0, len(counts), 100_000):
                     part = list(counts.items())[lo : lo + 100_000]
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array([kind] * len(part), pa.int32()), pa.array([p[0] for p in part]), pa.array([p[1] for p in part], pa.int64())], ["lang", "kind", "gram", "n"])
 
-    counts = sample.mapInArrow(run, "lang string, kind int, gram string, n long").groupBy("kind", "gram", "lang").agg(F.sum("n").alias("n"))
+    counts = cut(sample.mapInArrow(run, "lang string, kind int, gram string, n long").groupBy("kind", "gram", "lang").agg(F.sum("n").alias("n")))
     whole = counts.groupBy("kind", "gram").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")).where("all >= 3 or kind > 0")
+    seen = {r["lang"]: r["n"] for r in counts.where(F.col("kind") == LONGEST_GRAM + 1).collect()}
     entries: dict[int, dict[str, np.ndarray]] = {}
-    for kinds, most in (("kind = 0", MODEL_WORDS), ("kind > 0", MODEL_GRAMS)):
+    for kinds, most in (("kind = 0", MODEL_WORDS), (f"kind between 1 and {LONGEST_GRAM}", MODEL_GRAMS)):
         top = whole.where(kinds).orderBy(F.desc("all"), "kind", "gram").limit(most)
         flat = top.select("kind", "gram", *[F.coalesce(F.element_at("by", k), F.lit(0)).alias(f"n{i}") for i, k in enumerate(langs)]).toPandas()
         m = flat.iloc[:, 2:].to_numpy(np.float64)
         for i, (kind, gram) in enumerate(zip(flat["kind"], flat["gram"], strict=True)):
             entries.setdefault(int(kind), {})[gram] = m[i]
-    return Backoff(langs, entries)
+    return Backoff(langs, entries, np.array([seen.get(k, 0) for k in langs], float))
 
 
 def score_batch(model: Backoff, memo: _Rows, raw: list[bytes]) -> tuple[list[str], list[float]]:
     if len(memo) > MEMO:
         memo.clear()
-        memo.rows.clear()
     at: list[int] = []
     ends, real = [0], []
     for x in raw:
@@ -127,7 +135,7 @@ def score_batch(model: Backoff, memo: _Rows, raw: list[bytes]) -> tuple[list[str
         ends.append(len(at))
     if not model.langs:
         return ["und"] * len(raw), [0.0] * len(raw)
-    scores = np.array(memo.rows)[at] if at else np.zeros((0, len(model.langs)))
+    scores = memo.rows[np.array(at)].astype(float) if at else np.zeros((0, len(model.langs)))
     sums = np.concatenate([np.zeros((1, len(model.langs))), np.cumsum(scores, 0)])
     total = sums[ends[1:]] - sums[ends[:-1]]
     n = np.diff(ends)[:, None]
@@ -145,6 +153,7 @@ def identify(docs: DataFrame, model: Backoff, text_col: str = "text", keep: tupl
     A text that is null or has no letter gets ``und`` and 0; so does every text if no language was learned. Ties go to the language that sorts first. Each row is judged alone
     (repeats alike); other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     ids = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
     fields = ids.schema.fields[:-1]

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import table, texts
+from brindle.llm.common import small_batches, table, texts
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 IS_WORD = np.array([i >= 128 or chr(i).isascii() and chr(i).isalnum() for i in range(256)])
@@ -192,6 +192,7 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None, templa
     0.75 to 1 where a template accepts a run of words (more where it covers more of the text). A null text counts as empty: 0 words,
     empty labels, null places. Repeated rows give repeated rows; other columns are ignored. No shuffle; very long texts are scanned whole.
     """
+    small_batches(docs.sparkSession)
     phrases = PHRASES if phrases is None else phrases
     templates = TEMPLATES if templates is None else templates
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,start:long,stop:long>>"

@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import components, cut, mix, table, texts
+from brindle.llm.common import components, cut, mix, small_batches, table, texts
 from brindle.llm.licenses import LOWER
 
 #: Hash functions, trees, longest prefix of a tree, documents of a block of exact verification, shingles of a block, columns of a tile.
 HASHES, TREES, LONGEST, BLOCK_DOCS, BLOCK_SHINGLES, TILE = 96, 32, 8, 2048, 1 << 21, 8192
-MEMO = 400_000
+MEMO = 300_000
 _RNG = np.random.default_rng(20240501)
 MULTIPLY = _RNG.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -208,6 +208,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, tar
     kept. An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     depth = prefix_length(threshold, target)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     known = base.where("id is not null")

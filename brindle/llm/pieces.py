@@ -12,11 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import default_tokenizer, table, texts
+from brindle.llm.common import default_tokenizer, small_batches, table, texts
 
 SPACE = "▁"
 #: Entries of the memo of one worker; it starts anew beyond that.
-MEMO = 700_000
+MEMO = 450_000
 CANDIDATE_PUNCTUATION = ".,!?#$*&|;:"
 
 
@@ -151,6 +151,7 @@ def encode_texts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
     One row per input row, repeats included; a null text counts as empty (no ids, empty decoded text); other columns are ignored. Very
     long texts are encoded whole. No shuffle: a task holds one Arrow batch and a bounded memo. A disagreement with the library stops the job.
     """
+    small_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import cut, mix, partitions, table, texts
+from brindle.llm.common import cut, mix, partitions, small_batches, table, texts
 
 #: Bytes of text in one batch, of a suffix-sorted block, and stretches of one anchor that a block takes before the anchor is dealt over several.
 BATCH, BLOCK, HOT, HOT_IN_BATCH, SALTS = 2 << 20, 2 << 20, 2048, 64, 64
@@ -415,6 +415,7 @@ def remove_repeats(docs: DataFrame, least: int = 50, k: int = 20, id_col: str =
     judged on the input. One row per input row. Rows that repeat an id are not earlier than each other; a null id counts as larger than
     all others. Texts shorter than ``least`` bytes keep all. An empty table gives no rows; of the other columns those named in ``carry`` come along as ``carry_<name>``.
     """
+    small_batches(docs.sparkSession)
     more = [f"carry_{c}" for c in carry]
     base = docs.select(*[F.col(c).alias(f"carry_{c}") for c in carry], F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_DOC)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     unique = base.groupBy("id").count().where("count > 1").isEmpty()

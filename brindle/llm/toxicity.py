@@ -12,12 +12,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import crc_fold, table, texts
+from brindle.llm.common import crc_fold, small_batches, table, texts
 from brindle.llm.licenses import LOWER
 
 TERM = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Hash buckets; labelled documents learned from at most (toxic and other); terms of the model at most; least documents of a term.
-BUCKETS, TOXIC, OTHER, TERMS, LEAST, MEMO = 1 << 22, 6000, 8000, 4096, 4, 400_000
+BUCKETS, TOXIC, OTHER, TERMS, LEAST, MEMO = 1 << 22, 6000, 8000, 4096, 4, 300_000
 
 
 @dataclass
@@ -119,6 +119,7 @@ def score(docs: DataFrame, model: Machine, text_col: str = "text", keep: tuple[s
 
     A null or empty text gets the score of the bias alone. Repeated rows score alike; other columns are ignored. No shuffle.
     """
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     src = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]) + ", score double, predicted int"
