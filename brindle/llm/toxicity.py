@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from brindle.llm.common import crc_fold, small_batches, table, texts
 from brindle.llm.licenses import LOWER
 
+PREFIXES = (3, 4, 5)
 TERM = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Hash buckets; labelled documents learned from at most (toxic and other); terms of the model at most; least documents of a term.
 BUCKETS, TOXIC, OTHER, TERMS, LEAST, MEMO = 1 << 22, 6000, 8000, 4096, 4, 300_000
@@ -44,17 +45,23 @@ class Machine:
 
 
 def buckets_of(token: bytes) -> list[int]:
-    return [crc32(t) % BUCKETS for t in TERM.findall(token.translate(LOWER))]
+    """Hash buckets of the token's terms: its words, and their first three, four and five characters, which inflected and derived forms share."""
+    out = []
+    for t in TERM.findall(token.translate(LOWER)):
+        out.append(crc32(t) % BUCKETS)
+        w = t.decode("utf-8", "ignore")
+        out += [crc32(b"^%d " % n + w[:n].encode()) % BUCKETS for n in PREFIXES if len(w) > n]
+    return out
 
 
 def fit(rows: list[list[int]], label: np.ndarray, prior: float, factors: int = 6, epochs: int = 30, rate: float = 0.05, decay: float = 2e-4, seed: int = 5) -> Machine:
     """AdaGrad on the log loss. Terms are chosen by the strength of their association with the label; ``prior`` is the share of label 1
     among all labelled rows, to which the bias is set back after learning on a sample with another share."""
     n, pos = len(rows), int(label.sum())
-    if not n or pos in (0, n):
+    if not n or pos in (0, n) or not any(len(r) for r in rows):
         p = min(max(prior, 1e-3), 1 - 1e-3)
         return Machine({}, float(np.log(p / (1 - p))), np.zeros(0), np.zeros((0, factors)))
-    flat = np.concatenate([np.array(r, np.int64) for r in rows]) if any(rows) else np.zeros(0, np.int64)
+    flat = np.concatenate([np.asarray(r, np.int64) for r in rows]) if any(len(r) for r in rows) else np.zeros(0, np.int64)
     owner = np.repeat(np.arange(n), [len(r) for r in rows])
     terms, inv = np.unique(flat, return_inverse=True)
     df = np.bincount(inv, minlength=len(terms)).astype(float)
@@ -105,13 +112,14 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", toxic: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [sorted({b for t in set(x.split()) for b in buckets_of(t)}) for x in texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], ["y", "terms"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32())), batch.column(2)], ["y", "terms", "id"])
 
     # the picked labels are at most toxic + other rows of 12 bytes
     joined = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "id")
-    got = joined.select("y", "text", "id").select("y", "text").mapInArrow(run, "y int, terms array<int>").collect()
-    got.sort(key=lambda r: (r["y"], r["terms"]))
-    return fit([r["terms"] for r in got], np.array([r["y"] for r in got], float), n1 / max(1, n0 + n1))
+    got = joined.select("y", "text", "id").mapInArrow(run, "y int, terms array<int>, id long").toPandas()
+    rows = [np.asarray(t, np.int64) for t in got["terms"]]
+    order = sorted(range(len(rows)), key=lambda i: (got["id"][i], rows[i].tobytes()))  # the same order at any partitioning
+    return fit([rows[i] for i in order], got["y"].to_numpy(float)[order] if order else np.zeros(0), n1 / max(1, n0 + n1))
 
 
 def score(docs: DataFrame, model: Machine, text_col: str = "text", keep: tuple[str | Column, ...] = ("doc_id",)) -> DataFrame:
