@@ -66,21 +66,21 @@ def win_missing_runs(spark, d):
     return j.select("user_id", "last_seen", (F.col("runs") - F.col("n")).cast("long").alias("missing"), (F.col("runs") - F.col("n") >= 2).alias("disappeared"))
 
 
-@query("stream_terminal", "with l as (select user_id, max_by(event_type, ts) last_type, max(ts) last_ts, count(*) n from events group by 1), t as (select *, timestamp '2024-01-31'-last_ts>=interval 24 hour as expired from l) select user_id, last_type, n, expired, case when last_type='purchase' then 'sold' when expired then 'disappeared' else 'active' end state, row_number() over (order by case when expired then 0 else 1 end, last_ts, user_id)::integer as place from t")
+@query("stream_terminal", "with l as (select user_id, max_by(event_type, ts) last_type, max(ts) last_ts, count(*) n from events group by 1), t as (select *, timestamp '2024-01-31'-last_ts>=interval 24 hour as expired from l) select user_id, last_type, n, expired, case when last_type='purchase' then 'sold' when expired then 'disappeared' else 'active' end state, case when expired then 0 else 1 end as priority from t")
 def stream_terminal(spark, d):
-    """Expired keys come first; a terminal state is never overwritten by a time-out."""
+    """Expired keys get the top priority; a terminal state is never overwritten by a time-out."""
     g = table(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", "ts").alias("last_type"), F.max("ts").alias("last_ts"), F.count("*").alias("n"))
     expired = F.timestamp_diff("HOUR", F.col("last_ts").cast("timestamp"), F.to_timestamp(F.lit("2024-01-31"))) >= 24
     g = g.withColumn("expired", expired)
     state = F.when(F.col("last_type") == "purchase", "sold").when(F.col("expired"), "disappeared").otherwise("active")
-    place = F.row_number().over(Window.orderBy(F.when(F.col("expired"), 0).otherwise(1), "last_ts", "user_id"))
-    return g.select("user_id", "last_type", "n", "expired", state.alias("state"), place.alias("place"))
+    return g.select("user_id", "last_type", "n", "expired", state.alias("state"), F.when(F.col("expired"), 0).otherwise(1).alias("priority"))
 
 
-@query("win_round_robin", "select p_partkey, p_type, rn::integer rn, row_number() over (order by rn, p_type)::integer as place from (select *, row_number() over (partition by p_type order by p_retailprice, p_partkey) rn from part) where rn<=40")
+@query("win_round_robin", "select p_partkey, p_type, rn::integer rn from (select *, row_number() over (partition by p_type order by p_retailprice, p_partkey) rn from part) order by rn, p_type")
 def win_round_robin(spark, d):
-    p = table(spark, d, "part").withColumn("rn", F.row_number().over(Window.partitionBy("p_type").orderBy("p_retailprice", "p_partkey"))).where("rn <= 40")
-    return p.select("p_partkey", "p_type", "rn", F.row_number().over(Window.orderBy("rn", "p_type")).alias("place"))
+    """The cheapest of each type, then the second cheapest of each, and so on: a range-partitioned sort by (place, type)."""
+    rn = F.row_number().over(Window.partitionBy("p_type").orderBy("p_retailprice", "p_partkey"))
+    return table(spark, d, "part").select("p_partkey", "p_type", rn.alias("rn")).orderBy("rn", "p_type")
 
 
 @query("win_top2_model", "select p_brand, p_partkey, p_retailprice, n::integer n from (select *, row_number() over (partition by p_brand order by p_retailprice, p_partkey) n from part) where n<=2")
@@ -89,10 +89,10 @@ def win_top2_model(spark, d):
     return table(spark, d, "part").withColumn("n", F.row_number().over(w)).where("n <= 2").select("p_brand", "p_partkey", "p_retailprice", "n")
 
 
-@query("topk_price_history", "select l_partkey, l_shipdate, l_extendedprice, round_even(l_extendedprice-lag(l_extendedprice) over w,2) delta, (row_number() over w)::integer as place from lineitem where l_partkey%50=0 window w as (partition by l_partkey order by l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_extendedprice)")
+@query("topk_price_history", "select l_partkey, l_shipdate, l_extendedprice, round_even(l_extendedprice-lag(l_extendedprice) over w,2) delta, (row_number() over w)::integer as place from lineitem window w as (partition by l_partkey order by l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_extendedprice)")
 def topk_price_history(spark, d):
     w = Window.partitionBy("l_partkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
-    li = table(spark, d, "lineitem").where("l_partkey % 50 = 0")
+    li = table(spark, d, "lineitem")
     return li.select("l_partkey", "l_shipdate", "l_extendedprice", F.bround(F.col("l_extendedprice") - F.lag("l_extendedprice").over(w), 2).alias("delta"), F.row_number().over(w).alias("place"))
 
 

@@ -233,17 +233,24 @@ def sku_override(spark, d):
     return j.select("market", "sku", pick(F.col("mu"), 1).alias("q50"), pick(F.col("mu") - 1.2816 * F.col("sd"), 0).alias("q10"), pick(F.col("mu") + 1.2816 * F.col("sd"), 2).alias("q90"), F.bround(F.col("q")[1], 6).alias("model_q50"), some.alias("overridden"), (F.abs(F.col("mu") - F.col("m")) <= F.abs(F.col("q")[1] - F.col("m"))).alias("beats_baseline"))
 
 
-@query("agg_noise_floor", f"with {PR}, y as (select sku, sale_group, line, observed_at, seller, amount, ln(amount) y, count(*) over (partition by sku, market) n, market from pr), r as (select a.sku, a.market, a.sale_group, a.line, a.observed_at, a.seller, a.y, median(b.y) m from y a join y b on a.sku=b.sku and a.market=b.market and (a.sale_group,a.line,a.observed_at,a.seller,a.amount)<>(b.sale_group,b.line,b.observed_at,b.seller,b.amount) where a.n between 3 and 12 group by 1,2,3,4,5,6,7) select market, count(*) n, round_even(median(abs(exp(y-m)-1)),6) mdape, round_even(avg(case when abs(exp(y-m)-1)<=0.1 then 1.0 else 0.0 end),6) within10 from r group by 1")
+@query("agg_noise_floor", f"with {PR}, y as (select sku, sale_group, line, observed_at, seller, amount, ln(amount) y, count(*) over (partition by sku, market) n, market from pr), r as (select a.sku, a.market, a.sale_group, a.line, a.observed_at, a.seller, a.y, median(b.y) m from y a join y b on a.sku=b.sku and a.market=b.market and (a.sale_group,a.line,a.observed_at,a.seller,a.amount)<>(b.sale_group,b.line,b.observed_at,b.seller,b.amount) where a.n>=3 group by 1,2,3,4,5,6,7) select market, count(*) n, round_even(median(abs(exp(y-m)-1)),6) mdape, round_even(avg(case when abs(exp(y-m)-1)<=0.1 then 1.0 else 0.0 end),6) within10 from r group by 1")
 def agg_noise_floor(spark, d):
-    """Error of the median of an article's other sales. The lists are held to 12 sales by the where clause, as in the query's definition."""
-    y = price_records(spark, d).groupBy("sku", "market").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.ln("amount"))).alias("ys")).where("n between 3 and 12")
-    i = y.select("market", "ys", "n", F.posexplode("ys").alias("i", "y"))
-    rest = F.filter(F.transform("ys", lambda v, k: F.when(k != F.col("i"), v)), lambda v: v.isNotNull())
-    i = i.withColumn("r", rest).withColumn("k", F.col("n") - 1)
-    odd = F.element_at("r", F.floor((F.col("k") + 1) / 2).cast("int"))
-    even = (F.element_at("r", F.floor(F.col("k") / 2).cast("int")) + F.element_at("r", (F.floor(F.col("k") / 2) + 1).cast("int"))) / 2
-    e = F.abs(F.exp(F.col("y") - F.when(F.col("k") % 2 == 1, odd).otherwise(even)) - 1)
-    return i.groupBy("market").agg(F.count("*").alias("n"), F.bround(F.median(e), 6).alias("mdape"), F.bround(F.avg((e <= 0.1).cast("double")), 6).alias("within10"))
+    """Error of the median of an article's other sales. That median is made of at most three middle order statistics of all its sales, so no
+    list of the others is built."""
+    keys = ["sku", "market"]
+    y = price_records(spark, d).select(*keys, F.ln("amount").alias("y"))
+    w = Window.partitionBy(*keys)
+    y = y.withColumns({"n": F.count("*").over(w), "i": F.row_number().over(w.orderBy("y"))}).where("n >= 3")
+    y = y.withColumn("m", F.floor(F.col("n") / 2))
+    at = lambda k, name: F.max(F.when(F.col("i") == F.col("m") + k, F.col("y"))).alias(name)
+    mid = y.groupBy(*keys).agg(at(0, "y0"), at(1, "y1"), at(2, "y2"))
+    j = y.join(mid, keys)
+    first = F.when(F.col("i") > F.col("m"), F.col("y0")).otherwise(F.col("y1"))
+    second = F.when(F.col("i") > F.col("m") + 1, F.col("y1")).otherwise(F.col("y2"))
+    # n even: the others are odd in number, their middle is the m-th; n odd: the mean of the m-th and the next
+    rest = F.when(F.col("n") % 2 == 0, first).otherwise((first + second) / 2)
+    e = F.abs(F.exp(F.col("y") - rest) - 1)
+    return j.groupBy("market").agg(F.count("*").alias("n"), F.bround(F.median(e), 6).alias("mdape"), F.bround(F.avg((e <= 0.1).cast("double")), 6).alias("within10"))
 
 
 EV = LEV + ", ev as (select rng.market, rng.brand, price, q10, q50, q90, q90-q10 w, greatest(q10-price, price-q90) conf_score from rng join l2 using (market, brand))"

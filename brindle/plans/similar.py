@@ -88,14 +88,26 @@ def dedup_components(spark, d):
     return connected_components(p.select(F.col("p_partkey").alias("id")), same.union(near).where("a <> b"))
 
 
-COS = "c as (select a.vec_id q, b.vec_id v, b.label label, a.label own, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) sim from embeddings a join embeddings b on a.vec_id<>b.vec_id and a.vec_id%10=0)"
+COS = "c as (select a.vec_id q, b.vec_id v, b.label label, a.label own, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) sim from embeddings a join embeddings b on a.vec_id<>b.vec_id and a.label=b.label)"
+#: Searches over all labels take the rows whose id is divisible by 100 as queries.
+COS_ALL = COS.replace("a.label=b.label", "a.vec_id%100=0")
+
+
+def _unit(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", "label", V.normalise(F.col("embedding")).alias("u"))
 
 
 def _similar(spark, d):
-    """Queries (every tenth vector) against all others: the query side is a tenth of the table and is joined by blocks of its own number."""
-    e = table(spark, d, "embeddings").select("vec_id", "label", V.normalise(F.col("embedding")).alias("u"))
-    blocks = 4
-    q = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("q"), F.col("label").alias("own"), F.col("u").alias("uq"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"))
+    """Every vector against the others of its label."""
+    e = _unit(spark, d)
+    q = e.select(F.col("vec_id").alias("q"), "label", F.col("label").alias("own"), F.col("u").alias("uq"))
+    return q.join(e, "label").where("q <> vec_id").select("q", "own", F.col("vec_id").alias("v"), "label", V.dot(F.col("uq"), F.col("u")).alias("sim"))
+
+
+def _similar_all(spark, d, blocks: int = 8):
+    """The stated query set against all rows, in blocks of queries."""
+    e = _unit(spark, d)
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("label").alias("own"), F.col("u").alias("uq"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"))
     c = e.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
     return q.join(c, "block").where("q <> vec_id").select("q", "own", F.col("vec_id").alias("v"), "label", V.dot(F.col("uq"), F.col("u")).alias("sim"))
 
@@ -110,21 +122,21 @@ def vec_topk(spark, d):
     return _top(_similar(spark, d), 10).select("q", "v", "r", F.bround("sim", 6).alias("sim"))
 
 
-@query("topk_overfetch", f"with {COS}, t as (select *, row_number() over (partition by q order by round_even(sim,9) desc, v) r from c where label<>own) select q, v, r::integer r from t where r<=5")
+@query("topk_overfetch", f"with {COS}, t as (select *, row_number() over (partition by q order by round_even(sim,9) desc, v) r from c where q//10<>v//10) select q, v, r::integer r from t where r<=5")
 def topk_overfetch(spark, d):
     """Own group is left out before the ranking, which makes over-fetching exact."""
-    return _top(_similar(spark, d).where("label <> own"), 5).select("q", "v", "r")
+    return _top(_similar(spark, d).where("floor(q / 10) <> floor(v / 10)"), 5).select("q", "v", "r")
 
 
-@query("vec_knn_features", f"with {COS}, t as (select *, row_number() over (partition by q order by round_even(sim,9) desc, v) r from c) select q, round_even(sum(exp((sim-1)*20)*label)/sum(exp((sim-1)*20)),6) y, round_even(max(sim),6) best, round_even(avg(sim) filter (r<=5),6) mean5, round_even(ln(1+count(*)),6) n from t where r<=10 group by 1")
+@query("vec_knn_features", f"with {COS}, t as (select *, row_number() over (partition by q order by round_even(sim,9) desc, v) r from c) select q, round_even(sum(exp((sim-1)*20)*(v%7))/sum(exp((sim-1)*20)),6) y, round_even(max(sim),6) best, round_even(avg(sim) filter (r<=5),6) mean5, round_even(ln(1+count(*)),6) n from t where r<=10 group by 1")
 def vec_knn_features(spark, d):
     w = F.exp((F.col("sim") - 1) * 20)
-    return _top(_similar(spark, d), 10).groupBy("q").agg(F.bround(F.sum(w * F.col("label")) / F.sum(w), 6).alias("y"), F.bround(F.max("sim"), 6).alias("best"), F.bround(F.avg(F.when(F.col("r") <= 5, F.col("sim"))), 6).alias("mean5"), F.bround(F.log1p(F.count("*")), 6).alias("n"))
+    return _top(_similar(spark, d), 10).groupBy("q").agg(F.bround(F.sum(w * (F.col("v") % 7)) / F.sum(w), 6).alias("y"), F.bround(F.max("sim"), 6).alias("best"), F.bround(F.avg(F.when(F.col("r") <= 5, F.col("sim"))), 6).alias("mean5"), F.bround(F.log1p(F.count("*")), 6).alias("n"))
 
 
-@query("vec_vote_loo", f"with {COS}, t as (select *, row_number() over (partition by q order by round_even(sim,9) desc, v) r from c), v as (select q, own, label, sum(exp((sim-1)*20)) s from t where r<=5 group by 1,2,3), k as (select *, s/sum(s) over (partition by q) share, row_number() over (partition by q order by round_even(s,9) desc, label) p from v), b as (select own=label hit, share from k where p=1) select x.band, count(*) n, round_even(avg(case when hit then 1.0 else 0.0 end),6) accuracy from b, (select unnest([0.0,0.3,0.5,0.7])::double band) x where share>=x.band group by 1")
+@query("vec_vote_loo", f"with {COS_ALL}, t as (select *, row_number() over (partition by q order by round_even(sim,9) desc, v) r from c), v as (select q, own, label, sum(exp((sim-1)*20)) s from t where r<=5 group by 1,2,3), k as (select *, s/sum(s) over (partition by q) share, row_number() over (partition by q order by round_even(s,9) desc, label) p from v), b as (select own=label hit, share from k where p=1) select x.band, count(*) n, round_even(avg(case when hit then 1.0 else 0.0 end),6) accuracy from b, (select unnest([0.0,0.3,0.5,0.7])::double band) x where share>=x.band group by 1")
 def vec_vote_loo(spark, d):
-    v = _top(_similar(spark, d), 5).groupBy("q", "own", "label").agg(F.sum(F.exp((F.col("sim") - 1) * 20)).alias("s"))
+    v = _top(_similar_all(spark, d), 5).groupBy("q", "own", "label").agg(F.sum(F.exp((F.col("sim") - 1) * 20)).alias("s"))
     k = v.withColumns({"share": F.col("s") / F.sum("s").over(Window.partitionBy("q")), "p": F.row_number().over(Window.partitionBy("q").orderBy(F.desc(F.bround("s", 9)), "label"))}).where("p = 1")
     b = k.withColumn("band", F.explode(F.array(*[F.lit(x) for x in (0.0, 0.3, 0.5, 0.7)]))).where("share >= band")
     return b.groupBy("band").agg(F.count("*").alias("n"), F.bround(F.avg((F.col("own") == F.col("label")).cast("double")), 6).alias("accuracy"))
@@ -173,7 +185,7 @@ def knn_approx(spark, d):
 
     e = table(spark, d, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("x"))
     model = BucketedRandomProjectionLSH(inputCol="x", outputCol="h", bucketLength=2.0, numHashTables=4, seed=7).fit(e)
-    near = model.approxSimilarityJoin(e.where("vec_id % 50 = 0"), e, 1.1, "dist")
+    near = model.approxSimilarityJoin(e.where("vec_id % 100 = 0"), e, 1.1, "dist")
     return near.select(F.col("datasetA.vec_id").alias("a"), F.col("datasetB.vec_id").alias("b"), F.bround("dist", 6).alias("dist")).where("a <> b")
 
 

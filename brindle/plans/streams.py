@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from brindle.plans.base import query
 from brindle.plans.history import CHG
+from brindle.session import shared_root
 from brindle.streaming.events import change_log_stream, event_stream, run_to_memory, windowed
 
 
@@ -33,6 +33,5 @@ def stream_session(spark, d):
 
 @query("stream_change_log", f"with {CHG} select user_id, event_id, price, status from chg")
 def stream_change_log(spark, d):
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/brindle-streams"
     e = event_stream(spark, d).select("event_id", "ts", "user_id", F.when(F.col("event_id") % 7 != 0, F.floor(F.col("value") / 20)).alias("price"), F.when(F.col("event_id") % 5 != 0, F.col("event_type")).alias("status"))
-    return change_log_stream(e, f"{root}/stream-{uuid.uuid4().hex}").select("user_id", "event_id", "price", "status")
+    return change_log_stream(e, f"{shared_root(spark)}/stream-{uuid.uuid4().hex}").select("user_id", "event_id", "price", "status")

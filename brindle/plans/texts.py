@@ -125,11 +125,11 @@ def time_local_utc(spark, d):
     return spark.createDataFrame(rows, "raw string").select("raw", V.local_utc(F.col("raw")).cast("timestamp_ntz").alias("utc"))
 
 
-@query("age_format", "select o_orderkey, round_even(epoch(timestamp '2002-01-01'-o_orderdate)/86400.0,2) age_days, replace(format('{:,}', o_totalprice::bigint),',',' ') price_text, replace(replace(o_orderpriority,'&','&amp;'),'<','&lt;') label from orders where o_totalprice=floor(o_totalprice) or o_orderkey%100=0")
+@query("age_format", "select o_orderkey, round_even(epoch(timestamp '2002-01-01'-o_orderdate)/86400.0,2) age_days, replace(format('{:,}', floor(o_totalprice)::bigint),',',' ') price_text, replace(replace(o_orderpriority,'&','&amp;'),'<','&lt;') label from orders")
 def age_format(spark, d):
-    o = table(spark, d, "orders").where("o_totalprice = floor(o_totalprice) or o_orderkey % 100 = 0")
+    o = table(spark, d, "orders")
     age = F.bround((F.unix_timestamp(F.to_timestamp(F.lit("2002-01-01"))) - F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))) / 86400, 2)
-    return o.select("o_orderkey", age.alias("age_days"), F.replace(F.format_number(F.round("o_totalprice").cast("long"), 0), F.lit(","), F.lit(" ")).alias("price_text"), F.replace(F.replace("o_orderpriority", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")).alias("label"))
+    return o.select("o_orderkey", age.alias("age_days"), F.replace(F.format_number(F.floor("o_totalprice").cast("long"), 0), F.lit(","), F.lit(" ")).alias("price_text"), F.replace(F.replace("o_orderpriority", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")).alias("label"))
 
 
 @query("text_misc", "select conv_id, turn, substr(text,1,70) short, ((row_number() over (partition by conv_id order by turn, role, text)-1)//3)::integer chunk, case when turn%2=0 then 1234.5::double else 1.2345::double end amount from conversations")

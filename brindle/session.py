@@ -12,3 +12,15 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
         b = b.master(master)
     settings = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true"} | conf
     return b.config(map=settings).getOrCreate()
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The shared folder of the cluster; a local temporary folder only in local mode."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    import tempfile
+
+    return f"file://{tempfile.gettempdir()}/brindle"
