@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import uuid
@@ -71,6 +72,21 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def tidy(run):
+    """``run`` as a task of its own: what a Python worker has freed goes back to the system before other tasks use the worker."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            libc = ctypes.CDLL(None)
+            if hasattr(libc, "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return wrapped
+
+
 def crc_fold(col: str, folds: int) -> F.Column:
     """crc32 of the id as decimal text, modulo ``folds``; a null id falls in no fold (null)."""
     return F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(folds))

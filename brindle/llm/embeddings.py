@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import components, cut, partitions, table
+from brindle.llm.common import components, cut, partitions, table, tidy
 from brindle.llm.neardup import LINKS, star_edges
 
 #: Vectors of a block, blocks of which the driver holds bounds, leading principal dimensions, vectors that the axes are fitted on, dimensions of the order.
@@ -181,10 +181,10 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98, id_col:
         fit[i] /= np.sqrt((fit[i] ** 2).sum())
     axes = principal_axes(fit)
     cells = [f"g{d}" for d in range(ORDERED)]
-    projected = classes.select("id", "label", "copies", "v").mapInArrow(_project(axes, max(eps, 1e-6)), "id long, label string, copies long, v array<double>, p array<double>, " + ", ".join(f"{c} int" for c in cells))
+    projected = classes.select("id", "label", "copies", "v").mapInArrow(tidy(_project(axes, max(eps, 1e-6))), "id long, label string, copies long, v array<double>, p array<double>, " + ", ".join(f"{c} int" for c in cells))
     size = max(block, -(-number // MOST_BLOCKS))
     ordered = projected.repartitionByRange(max(1, min(partitions(spark), -(-number // size))), "label", *cells, "id").sortWithinPartitions("label", *cells, "id")
-    blocks = cut(ordered.mapInArrow(_pack(size), "block long, label string, ids binary, copies binary, vectors binary, lo array<double>, hi array<double>"))
+    blocks = cut(ordered.mapInArrow(tidy(_pack(size)), "block long, label string, ids binary, copies binary, vectors binary, lo array<double>, hi array<double>"))
     bounds = blocks.select("block", "label", "lo", "hi").orderBy("block").collect()
     by: dict[str, list] = {}
     for b in bounds:
@@ -196,7 +196,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98, id_col:
             pairs += [(names[i], names[x]) for x in range(j, k + 1)]
     side = lambda k, at: blocks.select(F.col("block").alias(at), *[F.col(c).alias(f"{k}_{c}") for c in ("ids", "copies", "vectors")])
     asked = spark.createDataFrame(pairs, "i long, j long")
-    links = cut(asked.join(side("a", "i"), "i").join(side("b", "j"), "j").repartition(partitions(spark), "i", "j").mapInArrow(_verify(threshold), LINKS))
+    links = cut(asked.join(side("a", "i"), "i").join(side("b", "j"), "j").repartition(partitions(spark), "i", "j").mapInArrow(tidy(_verify(threshold)), LINKS))
     joined = components(links.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
     per = links.groupBy("id").agg(F.sum("n_links").alias("links")).join(joined.withColumnRenamed("v", "id"), "id", "left")
     whole = classes.join(per, "id", "left").select("label", "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))

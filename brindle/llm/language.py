@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import crc_fold, cut, small_batches, table, texts
+from brindle.llm.common import crc_fold, cut, small_batches, table, texts, tidy
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Documents of each language that are learned from at most, entries of the model, and of a worker's memo.
@@ -110,7 +110,7 @@ def learn(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", k
                     part = list(counts.items())[lo : lo + 100_000]
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array([kind] * len(part), pa.int32()), pa.array([p[0] for p in part]), pa.array([p[1] for p in part], pa.int64())], ["lang", "kind", "gram", "n"])
 
-    counts = cut(sample.mapInArrow(run, "lang string, kind int, gram string, n long").groupBy("kind", "gram", "lang").agg(F.sum("n").alias("n")))
+    counts = cut(sample.mapInArrow(tidy(run), "lang string, kind int, gram string, n long").groupBy("kind", "gram", "lang").agg(F.sum("n").alias("n")))
     whole = counts.groupBy("kind", "gram").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")).where("all >= 3 or kind > 0")
     seen = {r["lang"]: r["n"] for r in counts.where(F.col("kind") == LONGEST_GRAM + 1).collect()}
     entries: dict[int, dict[str, np.ndarray]] = {}
@@ -155,8 +155,9 @@ def identify(docs: DataFrame, model: Backoff, text_col: str = "text", keep: tupl
     """
     small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
-    ids = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
-    fields = ids.schema.fields[:-1]
+    own = text_col in [k for k in keep if isinstance(k, str)]  # then the text travels once
+    ids = docs.select(*keep) if own else docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
+    at, fields = (list(keep).index(text_col), ids.schema.fields) if own else (len(keep), ids.schema.fields[:-1])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,10 +165,11 @@ def identify(docs: DataFrame, model: Backoff, text_col: str = "text", keep: tupl
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
-                lang, score = score_batch(held.value, memo, texts(part.column(part.num_columns - 1)))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*part.schema.names[:-1], "lang_pred", "score"])
+                lang, score = score_batch(held.value, memo, texts(part.column(at)))
+                n = len(fields)
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*part.schema.names[:n], "lang_pred", "score"])
 
-    return ids.mapInArrow(run, schema)
+    return ids.mapInArrow(tidy(run), schema)
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import small_batches, table, texts
+from brindle.llm.common import small_batches, table, texts, tidy
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 IS_WORD = np.array([i >= 128 or chr(i).isascii() and chr(i).isalnum() for i in range(256)])
@@ -212,7 +212,7 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None, templa
                     ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), schema)
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

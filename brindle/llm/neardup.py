@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import components, cut, mix, small_batches, table, texts
+from brindle.llm.common import components, cut, mix, small_batches, table, texts, tidy
 from brindle.llm.licenses import LOWER
 
 #: Hash functions, trees, longest prefix of a tree, documents of a block of exact verification, shingles of a block, columns of a tile.
@@ -216,7 +216,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, tar
     rows = known.select("id")
     if not unique:
         known = known.groupBy("id").agg(F.min("text").alias("text"))
-    sketch = cut(known.mapInArrow(_sketch(words, depth), SKETCH))
+    sketch = cut(known.mapInArrow(tidy(_sketch(words, depth)), SKETCH))
     real = sketch.where("n > 0")
     classes = cut(real.groupBy("h1", "h2").agg(F.min_by(F.struct("doc_id", "n", "keys"), "doc_id").alias("r"), F.count("*").alias("copies")).select("h1", "h2", F.col("r.doc_id").alias("id"), F.col("r.n").alias("n"), F.col("r.keys").alias("keys"), "copies"))
     labels = classes.select("id", F.posexplode("keys").alias("tree", "key"))
@@ -227,7 +227,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, tar
     size = members.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("all"))
     blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("all") / BLOCK_SHINGLES)).cast("int")
     members = members.join(size.select("cluster", blocks.alias("blocks")), "cluster").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    with_sets = known.join(members.select("id", "cluster", "copies", "blocks", "block").hint("shuffle_hash"), "id").mapInArrow(_sets(words), "id long, cluster long, copies long, blocks int, block int, shingles binary")
+    with_sets = known.join(members.select("id", "cluster", "copies", "blocks", "block").hint("shuffle_hash"), "id").mapInArrow(tidy(_sets(words)), "id long, cluster long, copies long, blocks int, block int, shingles binary")
     pairs = with_sets.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("*", F.least("block", "with").alias("b1"), F.greatest("block", "with").alias("b2"))
     links = cut(pairs.groupBy("cluster", "b1", "b2").applyInArrow(_verify(threshold), LINKS))
     joined = components(links.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))

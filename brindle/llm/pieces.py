@@ -12,10 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import default_tokenizer, small_batches, table, texts
+from brindle.llm.common import default_tokenizer, small_batches, table, texts, tidy
 
 SPACE = "▁"
-#: Entries of the memo of one worker; it starts anew beyond that.
+#: Entries of the memo of one task; it starts anew beyond that.
 MEMO = 450_000
 CANDIDATE_PUNCTUATION = ".,!?#$*&|;:"
 
@@ -55,7 +55,6 @@ class PieceEncoder:
                 self.parts = re.compile(rf" *[^\W\d_]+{ahead}| *[^ ]+| +")
             else:
                 self.parts = re.compile(rf" *[^\W\d_]+{ahead}| *[^ \n]+| +|\n")
-        self.memo: dict[str, tuple[list[int], str]] = {}
 
     def agenda(self, text: str) -> list[int]:
         """Merge the adjacent pair with the best score, the leftmost of equals, until no pair is a piece."""
@@ -99,11 +98,12 @@ class PieceEncoder:
                     out.append(at)
         return out
 
-    def encode(self, batch: list[str]) -> Iterator[tuple[list[int], str]]:
-        """Ids of each text, and the same as decimal text joined by commas."""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo, find = self.memo, self.parts.findall
+    def encode(self, batch: list[str], memo: dict[str, tuple[list[int], str]] | None = None) -> Iterator[tuple[list[int], str]]:
+        """Ids of each text, and the same as decimal text joined by commas. ``memo`` keeps parts from batch to batch of a task."""
+        memo = {} if memo is None else memo
+        if len(memo) > MEMO:
+            memo.clear()
+        find = self.parts.findall
         tiny = [t for t in batch if t]
         if tiny:
             check = min(tiny, key=len)
@@ -155,12 +155,12 @@ def encode_texts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(model_file)
+        enc, memo = encoder(model_file), {}
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
                 whole = [x.decode() for x in texts(part.column(1))]
-                got = list(enc.encode(whole))
+                got = list(enc.encode(whole, memo))
                 back = enc.sp.decode([g[0] for g in got]) if got else []
                 cols = [part.column(0), pa.array([len(g[0]) for g in got], pa.int64()), pa.array([hashlib.sha256(g[1].encode()).hexdigest() for g in got], pa.string()), pa.array([hashlib.sha256(b.encode()).hexdigest() for b in back], pa.string())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
@@ -169,7 +169,7 @@ def encode_texts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), schema)
 
 
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import cut, mix, partitions, small_batches, table, texts
+from brindle.llm.common import cut, mix, partitions, small_batches, table, texts, tidy
 
 #: Bytes of text in one batch, of a suffix-sorted block, and stretches of one anchor that a block takes before the anchor is dealt over several.
-BATCH, BLOCK, HOT, HOT_IN_BATCH, SALTS = 2 << 20, 2 << 20, 2048, 64, 64
+BATCH, BLOCK, HOT, HOT_IN_BATCH, SALTS = 1 << 20, 1 << 20, 2048, 64, 64
 NO_DOC = (1 << 63) - 1
 MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _POWERS: list[np.ndarray] = []
@@ -371,12 +371,12 @@ def repeated_spans(docs: DataFrame, least: int = 50, k: int = 20) -> DataFrame:
     smallest id of their windows is then found by a grouped minimum over 128-bit digests.
     """
     spark = docs.sparkSession
-    n = partitions(spark)
-    packed = docs.mapInArrow(_collect(least, k, 8 * n), f"bucket int, blob binary, {SPAN}").repartition(n, "bucket")
-    spans = cut(packed.mapInArrow(_decide(least), SPAN))
+    n = 2 * partitions(spark)  # a task holds its whole partition of anchors
+    packed = docs.mapInArrow(tidy(_collect(least, k, 4 * n)), f"bucket int, blob binary, {SPAN}").repartition(n, "bucket")
+    spans = cut(packed.mapInArrow(tidy(_decide(least)), SPAN))
     asked = spans.where(F.col("kind") != REMOVE).groupBy("id", "th").agg(F.collect_list(F.struct("s", "e", "a", "kind", "salt")).alias("at"))
-    stretches = docs.join(asked.hint("shuffle_hash"), ["id", "th"]).select("id", "th", "text", "at").mapInArrow(_cut_out, STRETCH)
-    found = cut(stretches.repartition(n, "a", "salt").sortWithinPartitions("a", "salt").mapInArrow(_sort_blocks(least), FOUND))
+    stretches = docs.join(asked.hint("shuffle_hash"), ["id", "th"]).select("id", "th", "text", "at").mapInArrow(tidy(_cut_out), STRETCH)
+    found = cut(stretches.repartition(n, "a", "salt").sortWithinPartitions("a", "salt").mapInArrow(tidy(_sort_blocks(least)), FOUND))
     many = found.where("w1 is not null")
     low = many.groupBy("w1", "w2").agg(F.min("id").alias("low"))
     late = many.join(low, ["w1", "w2"]).where("id > low").select("id", "th", "s", "e")
@@ -425,7 +425,7 @@ def remove_repeats(docs: DataFrame, least: int = 50, k: int = 20, id_col: str =
     at = spans.groupBy("id", "th").agg(F.collect_list(F.struct("s", "e")).alias("at"))
     joined = keyed.join(at.hint("shuffle_hash"), ["id", "th"], "left").select("doc_id", "text", "at", *more)
     extra = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[3:])
-    return joined.mapInArrow(_result, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary{extra}")
+    return joined.mapInArrow(tidy(_result), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary{extra}")
 
 
 def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import cut, table
+from brindle.llm.common import cut, table, tidy
 
 #: Bytes of quantised queries that one pass broadcasts, and rows of a candidate tile.
 QUERY_BYTES, TILE_ROWS, TILE_QUERIES = 32 << 20, 2048, 512
@@ -113,7 +113,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256
         q, ok = quantise(list(got["v"]), scale)
         order = np.argsort(got["vec_id"].to_numpy(np.int64)[ok], kind="stable") if len(got) else np.zeros(0, int)
         held = spark.sparkContext.broadcast((got["vec_id"].to_numpy(np.int64)[ok][order] if len(got) else np.zeros(0, np.int64), q[ok][order] if len(got) else np.zeros((0, 0))))
-        lists = _merge(cand.mapInArrow(_search(held, k, scale), "query_id long, part long, vec_id long, score long"), k)
+        lists = _merge(cand.mapInArrow(tidy(_search(held, k, scale)), "query_id long, part long, vec_id long, score long"), k)
         if blocks > 1:
             lists = cut(lists)
             held.unpersist()

@@ -12,13 +12,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import crc_fold, small_batches, table, texts
+from brindle.llm.common import crc_fold, small_batches, table, texts, tidy
 from brindle.llm.licenses import LOWER
 
 PREFIXES = (3, 4, 5)
 TERM = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Hash buckets; labelled documents learned from at most (toxic and other); terms of the model at most; least documents of a term.
-BUCKETS, TOXIC, OTHER, TERMS, LEAST, MEMO = 1 << 22, 6000, 8000, 4096, 4, 300_000
+BUCKETS, TOXIC, OTHER, TERMS, LEAST, MEMO = 1 << 22, 4000, 5000, 4096, 4, 300_000
 
 
 @dataclass
@@ -61,8 +61,8 @@ def fit(rows: list[list[int]], label: np.ndarray, prior: float, factors: int = 6
     if not n or pos in (0, n) or not any(len(r) for r in rows):
         p = min(max(prior, 1e-3), 1 - 1e-3)
         return Machine({}, float(np.log(p / (1 - p))), np.zeros(0), np.zeros((0, factors)))
-    flat = np.concatenate([np.asarray(r, np.int64) for r in rows]) if any(len(r) for r in rows) else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(n), [len(r) for r in rows])
+    flat = np.concatenate([np.asarray(r, np.int32) for r in rows]) if any(len(r) for r in rows) else np.zeros(0, np.int32)
+    owner = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
     terms, inv = np.unique(flat, return_inverse=True)
     df = np.bincount(inv, minlength=len(terms)).astype(float)
     with_pos = np.bincount(inv, weights=label[owner], minlength=len(terms))
@@ -116,8 +116,8 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", toxic: i
 
     # the picked labels are at most toxic + other rows of 12 bytes
     joined = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "id")
-    got = joined.select("y", "text", "id").mapInArrow(run, "y int, terms array<int>, id long").toPandas()
-    rows = [np.asarray(t, np.int64) for t in got["terms"]]
+    got = joined.select("y", "text", "id").mapInArrow(tidy(run), "y int, terms array<int>, id long").toPandas()
+    rows = [np.asarray(t, np.int32) for t in got["terms"]]
     order = sorted(range(len(rows)), key=lambda i: (got["id"][i], rows[i].tobytes()))  # the same order at any partitioning
     return fit([rows[i] for i in order], got["y"].to_numpy(float)[order] if order else np.zeros(0), n1 / max(1, n0 + n1))
 
@@ -149,7 +149,7 @@ def score(docs: DataFrame, model: Machine, text_col: str = "text", keep: tuple[s
                 s = 1 / (1 + np.exp(-np.clip(m.raw(np.array(flat, np.int64), np.array(ends, np.int64)), -40, 40)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*part.schema.names[:-1], "score", "predicted"])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidy(run), schema)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
