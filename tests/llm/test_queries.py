@@ -7,7 +7,7 @@ import pytest
 from conftest import SF
 
 import corpus_pipeline
-from brindle.llm import catalogue
+from brindle.llm import catalogue, mixing
 from brindle.llm.common import cut, table
 
 
@@ -46,3 +46,16 @@ def test_pipeline(spark):
             assert docs.columns == corpus_pipeline.COLUMNS, name
     assert n[1] >= 0.95 * n[0] and n[2] <= n[1] and n[3] == n[2] and n[5] == n[4]
     assert [s[0] for s in corpus_pipeline.STAGES] == ["language", "near_duplicates", "repeats", "mixing", "encoding"]
+
+
+@pytest.mark.parametrize("block", [8, 4096])
+def test_mix_meets_targets(spark, block):
+    """Also over several levels of flights: each source's words come within half of its largest document of the target."""
+    rows = mixing.mix(table(spark, SF, "documents"), block=block).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.source, []).append(r)
+    for own in by.values():
+        assert abs(sum(r.taken for r in own) - own[0].target) <= max(r.size for r in own) / 2 + 1
+        assert sum(r.size for r in own) == own[0].source_size and all(r.copies in (0, 1, 2) for r in own)
+    assert abs(sum(own[0].target for own in by.values()) - 1.5 * sum(r.size for r in rows)) < 1e-6 * sum(r.size for r in rows)
