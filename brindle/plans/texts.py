@@ -89,7 +89,7 @@ def text_condition(spark, d):
 def text_identify(spark, d):
     rows = [("Vase 06789/VBO blue",), ("Figure 15302-0-00 boxed",), ("Plate form 0722",), ("Cup No. 1985",), ("Bowl pattern vhp",), ("Box",)]
     df = spark.createDataFrame(rows, "title string").withColumn("i", T.identify(F.col("title")))
-    return df.select("title", "i.*", T.sku_key(F.lit("herend"), F.col("i.form_no"), F.col("i.pattern")).alias("sku_key"))
+    return df.select("title", "i.*", T.sku_key(F.lit("acme"), F.col("i.form_no"), F.col("i.pattern")).alias("sku_key"))
 
 
 @query("identify_update")

@@ -34,8 +34,8 @@ def test_other_sources(spark, tmp_path):
     (run / "l.csv").write_text("listing_id,title\n1,Vase\n,Cup\n")
     rows = files.legacy_csv(spark, str(run)).collect()
     assert len(rows) == 1 and str(rows[0].observed_at) == "2026-01-02 03:04:05"
-    (tmp_path / "c.csv").write_text("brand,form_no,pattern_code,name\nherend,00722,VBO,Vase\n")
-    assert files.catalog_csv(spark, str(tmp_path / "c.csv")).first().sku_key == "herend|722|VBO"
+    (tmp_path / "c.csv").write_text("brand,form_no,pattern_code,name\nacme,00722,VBO,Vase\n")
+    assert files.catalog_csv(spark, str(tmp_path / "c.csv")).first().sku_key == "acme|722|VBO"
 
 
 def test_sinks(spark, tmp_path):
