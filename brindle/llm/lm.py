@@ -10,15 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import crc_fold, cut, partitions, small_batches, table, texts, tidy
+from brindle.llm.common import crc_fold, cut, mix, partitions, small_batches, table, texts, tidy
 from brindle.llm.licenses import LOWER
 
-#: Share of all tokens from which a word is a class of its own; bytes of text in a group of documents; bins of the EM.
+#: Share of all tokens from which a word's counts are broadcast; bytes of text in a group of documents; bins of the EM.
 FREQUENT, GROUP, BINS = 2e-5, 8 << 20, 48
 END = b"\n"  # white space: no token of a text
-ODD = 0x9E3779B1
-UNDO = pow(ODD, -1, 1 << 32)
-WORDS, PAIRS, COUNTS, CELLS, TOKENS = 1, 2, 3, 4, 0
+ODD, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x5851F42D4C957F2D)
+WORDS, PAIRS, COUNTS, TOKENS = 1, 2, 3, 0
+HELD = 8  # added to WORDS and PAIRS: the held-out counts
 ROW = "g long, kind int, bucket int, tag long, blob binary"
 NAMES = ["g", "kind", "bucket", "tag", "blob"]
 
@@ -60,24 +60,27 @@ class Group:
 
 
 def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Group]]:
-    """Documents (id, fold, text) of a partition in groups of about GROUP bytes, numbered by partition and place."""
+    """Documents (id, fold, text) of a partition in groups of about GROUP bytes, numbered by partition and place. Those of fold 0 make
+    groups of their own, with odd numbers, which do not depend on the other documents."""
     from pyspark import TaskContext
 
     first = TaskContext.get().partitionId() << 32
-    raw, fold, ids, size, seq = [], [], [], 0, 0
+    parts: list[tuple[list, list, list]] = [([], [], []), ([], [], [])]
+    size, seq = [0, 0], [0, 0]
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
-            own = texts(part.column(2))
-            raw += own
-            ids += part.column(0).to_pylist()
-            fold += part.column(1).to_pylist()
-            size += sum(map(len, own))
-            if size >= GROUP:
-                yield first + seq, Group.of(raw, fold, ids)
-                raw, fold, ids, size, seq = [], [], [], 0, seq + 1
-    if raw:
-        yield first + seq, Group.of(raw, fold, ids)
+            for i, f, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts(part.column(2)), strict=True):
+                k = int(f == 0)
+                for own, value in zip(parts[k], (x, f, i), strict=True):
+                    own.append(value)
+                size[k] += len(x)
+                if size[k] >= GROUP:
+                    yield first + 2 * seq[k] + k, Group.of(*parts[k])
+                    parts[k], size[k], seq[k] = ([], [], []), 0, seq[k] + 1
+    for k in (0, 1):
+        if parts[k][0]:
+            yield first + 2 * seq[k] + k, Group.of(*parts[k])
 
 
 def bucket_of(h32: np.ndarray, buckets: int) -> np.ndarray:
@@ -140,7 +143,7 @@ def _sum(buckets: int):
 
 @dataclass
 class Vocabulary:
-    """Frequent words (hashes ascending) with their training counts; all other words are one class, and so is the start of a text."""
+    """Frequent words (hashes ascending) with their training counts, which every task holds; counts of the rare words are asked for."""
 
     hashes: np.ndarray
     n: np.ndarray
@@ -167,31 +170,54 @@ class Vocabulary:
         return np.concatenate([n, [all_ - n.sum(), self.docs - self.dev_docs if fit else self.docs]]).astype(float)
 
 
-def numbered(x: Group, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Class of each token, hash of each pair of neighbours' classes, the rare words' hashes ascending, and each token's number: class, or rare + 1 + place."""
-    cls = v.classes(x.words)
-    rare = np.flatnonzero(cls == v.rare)
+def numbered(x: Group, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Number of each token (place among the frequent words; v.rare is the start of a text; v.rare + 1 + place among the group's rare words), and
+    the rare words' hashes ascending."""
+    number = v.classes(x.words)
+    rare = np.flatnonzero(number == v.rare)
     rare = rare[np.argsort(x.words[rare])]
-    number = cls.copy()
     number[rare] = v.rare + 1 + np.arange(len(rare))
-    c = cls[x.tokens]
-    before = np.concatenate([[0], c[:-1]])
-    before[np.concatenate([[0], x.ends[:-1]])[np.diff(x.ends, prepend=0) > 0]] = v.rare + 1
-    pair = ((before << 16) | c).astype(np.uint32) * np.uint32(ODD)
-    return c, pair, x.words[rare], number[x.tokens]
+    return number[x.tokens], x.words[rare]
+
+
+def pair_keys(number: np.ndarray, ends: np.ndarray, rare: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of each token's predecessor, the distinct hashes of pairs of neighbours ascending, and each token's place among them."""
+    before = np.concatenate([[v.rare], number[:-1]])
+    before[np.concatenate([[0], ends[:-1]])] = v.rare
+    h = np.concatenate([v.hashes, np.array([START]), rare])
+    u, inv = np.unique(mix(h[before] * ODD + h[number]), return_inverse=True)
+    return before, u, inv
+
+
+def packed_keys(h: np.ndarray) -> bytes:
+    """Ascending hashes: the first, and the steps in as many bytes as the largest takes."""
+    step = np.diff(h)
+    width = max(1, (int(step.max()).bit_length() + 7) // 8) if len(step) else 1
+    return len(h).to_bytes(4, "little") + bytes([width]) + h[:1].tobytes() + step.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpacked_keys(blob: bytes) -> tuple[np.ndarray, int]:
+    """The hashes, and how many bytes they take."""
+    n, width = int.from_bytes(blob[:4], "little"), blob[4]
+    if not n:
+        return np.zeros(0, np.uint64), 5
+    step = np.zeros((n, 8), np.uint8)
+    step[1:, :width] = np.frombuffer(blob, np.uint8, (n - 1) * width, 13).reshape(-1, width)
+    h = step.view(np.uint64).ravel()
+    h[0] = np.frombuffer(blob, np.uint64, 1, 5)[0]
+    return np.cumsum(h, dtype=np.uint64), 13 + (n - 1) * width
 
 
 def _ask(held, buckets: int):
-    """What each group asks for: counts of its rare words, and of its pairs of classes, of which it tells its own counts."""
+    """What each group asks for: counts of its rare words, and of its pairs of neighbours, of which it tells its own counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g, x in groups(batches):
-            _, pair, rare, _ = numbered(x, held.value)
-            u, inv = np.unique(pair, return_inverse=True)
-            every = np.bincount(inv, weights=x.each(x.train), minlength=len(u)).astype(np.uint32)
-            dev = np.bincount(inv, weights=x.each(x.dev), minlength=len(u)).astype(np.uint32)
-            rows = [(WORDS, b, rare[lo:hi].tobytes()) for b, lo, hi in slices(high(rare), buckets)]
-            rows += [(PAIRS, b, u[lo:hi].tobytes() + every[lo:hi].tobytes() + dev[lo:hi].tobytes()) for b, lo, hi in slices(u, buckets)]
+            number, rare = numbered(x, held.value)
+            _, u, inv = pair_keys(number, x.ends, rare, held.value)
+            every = np.bincount(inv, weights=x.each(x.train), minlength=len(u)).astype(np.int64)
+            rows = [(WORDS, b, packed_keys(rare[lo:hi])) for b, lo, hi in slices(high(rare), buckets)] if len(rare) else []
+            rows += [(PAIRS, b, packed_keys(u[lo:hi]) + packed_counts(every[lo:hi])) for b, lo, hi in slices(high(u), buckets)]
             for lo in range(0, len(rows), 5000):
                 p = rows[lo : lo + 5000]
                 yield _row([g] * len(p), [r[0] for r in p], [r[1] for r in p], [len(rare) << 32 | len(u)] * len(p), [r[2] for r in p])
@@ -212,51 +238,59 @@ def middle(b: np.ndarray) -> np.ndarray:
 
 
 def context_bucket(n: np.ndarray) -> np.ndarray:
-    return np.minimum(np.log2(np.maximum(n, 1)).astype(np.int64), 40)
-
+    """0 for a predecessor that was never seen, else by the logarithm of its count."""
+    return np.where(n > 0, np.minimum(np.log2(np.maximum(n, 1)).astype(np.int64) + 1, 41), 0)
 
-def _answer(held):
-    """Counts to the groups that asked; and the cells of the EM: context bucket, bins of the pair's and the word's probability, held-out count."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v: Vocabulary = held.value
-        known: dict[int, list] = {}
-        words, pairs = [], []
-        for batch in batches:
-            for g, kind, b, tag, blob, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if kind == COUNTS:
-                    known.setdefault(b, []).append((np.frombuffer(blob, np.uint64), np.frombuffer(n, np.int64)))
-                elif kind == WORDS:
-                    words.append((g, b, tag, np.frombuffer(blob, np.uint64)))
-                else:
-                    k = len(blob) // 12
-                    pairs.append((g, b, tag, np.frombuffer(blob, np.uint32, k), np.frombuffer(blob, np.uint32, k, 4 * k), np.frombuffer(blob, np.uint32, k, 8 * k)))
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts to the groups that asked; to the held-out groups also the held-out counts."""
+    known: dict[int, list] = {}
+    words, pairs = [], []
+    for batch in batches:
+        for g, kind, b, tag, blob, n, dev in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if kind == COUNTS:
+                known.setdefault(b, []).append((np.frombuffer(blob, np.uint64), np.frombuffer(n, np.int64), np.frombuffer(dev, np.int64)))
+            elif kind == WORDS:
+                words.append((g, b, tag, unpacked_keys(blob)[0]))
+            else:
+                h, at = unpacked_keys(blob)
+                pairs.append((g, b, tag, h, unpacked_counts(blob[at:])))
+
+    def answers() -> Iterator[tuple]:
         for g, b, tag, h in words:
-            n = np.zeros(len(h), np.int64)
-            for kh, kn in known.get(b, []):
+            n, dev = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+            for kh, kn, kd in known.get(b, []):
                 at = np.searchsorted(kh, h)
                 at[at == len(kh)] = 0
                 n += np.where(kh[at] == h, kn[at], 0)
-            yield _row([g], [WORDS], [b], [tag], [packed_counts(n)])
+                dev += np.where(kh[at] == h, kd[at], 0)
+            yield g, WORDS, b, tag, packed_counts(n)
+            if g & 1:
+                yield g, WORDS + HELD, b, tag, packed_counts(dev)
         if not pairs:
             return
-        u, inv = np.unique(np.concatenate([p[3] for p in pairs]), return_inverse=True)
-        n = np.bincount(inv, weights=np.concatenate([p[4] for p in pairs])).astype(np.int64)
-        dev = np.bincount(inv, weights=np.concatenate([p[5] for p in pairs])).astype(np.int64)
+        _, inv = np.unique(np.concatenate([p[3] for p in pairs]), return_inverse=True)
+        own = np.concatenate([p[4] for p in pairs])
+        n = np.bincount(inv, weights=own).astype(np.int64)
+        own[np.repeat([not p[0] & 1 for p in pairs], [len(p[3]) for p in pairs])] = 0
+        dev = np.bincount(inv, weights=own).astype(np.int64)
         at = 0
-        for g, b, tag, h, _, _ in pairs:
-            yield _row([g], [PAIRS], [b], [tag], [packed_counts(n[inv[at : at + len(h)]])])
+        for g, b, tag, h, _ in pairs:
+            place = inv[at : at + len(h)]
+            yield g, PAIRS, b, tag, packed_counts(n[place])
+            if g & 1:
+                yield g, PAIRS + HELD, b, tag, packed_counts(dev[place])
             at += len(h)
-        code = (u * np.uint32(UNDO)).astype(np.int64)
-        context, word = code >> 16, code & 0xFFFF
-        fit, seen = v.totals(True), dev > 0
-        p2 = (n - dev) / np.maximum(fit[context], 1)
-        p1 = np.where(word < v.rare, fit[word], 0) / max(1, v.tokens - v.dev_tokens)
-        cell = (context_bucket(fit[context]) * BINS + level(p2)) * (BINS + 1) + np.where(word < v.rare, level(p1), BINS)
-        c, where = np.unique(cell[seen], return_inverse=True)
-        yield _row(np.bincount(where, weights=dev[seen]).astype(np.int64).tolist() if len(c) else [], [CELLS] * len(c), c.tolist(), [0] * len(c), [None] * len(c))
 
-    return run
+    rows, size = [], 0
+    for r in answers():
+        rows.append(r)
+        size += len(r[4])
+        if size > 1 << 20 or len(rows) >= 5000:
+            yield _row(*map(list, zip(*rows, strict=True)))
+            rows, size = [], 0
+    if rows:
+        yield _row(*map(list, zip(*rows, strict=True)))
 
 
 def packed_counts(n: np.ndarray) -> bytes:
@@ -276,7 +310,7 @@ def unpacked_counts(blob: bytes) -> np.ndarray:
 def expectation_maximisation(cells: list[tuple[int, float]], rare: list[tuple[float, float]], v: Vocabulary, rounds: int = 200) -> np.ndarray:
     """Weights (pair, word, uniform) of each context bucket, by EM on held-out counts.
 
-    ``cells``: (cell, held-out count). ``rare``: (count in the fitted part, held-out count) of rare words; a pair with the class of rare words splits by these.
+    ``cells``: (cell, held-out count). ``rare``: (count in the fitted part, held-out count) of words of which a cell tells only that they are rare; cells with whole counts need none.
     """
     fit_tokens = max(1, v.tokens - v.dev_tokens)
     uniform = 1 / (v.words + 1)
@@ -314,65 +348,71 @@ def expectation_maximisation(cells: list[tuple[int, float]], rare: list[tuple[fl
 
 
 def _tokens(held):
-    """Each group's tokens by number, packed by bytes of equal weight."""
+    """Each group's tokens by number, packed by bytes of equal weight, and the hashes of its rare words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import struct
 
         for g, x in groups(batches):
-            _, pair, rare, number = numbered(x, held.value)
-            u = len(np.unique(pair))
+            number, rare = numbered(x, held.value)
+            u = len(pair_keys(number, x.ends, rare, held.value)[1])
             planes = [((number >> s) & 0xFF).astype(np.uint8).tobytes() for s in (0, 8, 16, 24)]
             ids = np.array([0 if i is None else i for i in x.ids], np.int64)
             null = np.array([i is None for i in x.ids], np.uint8)
             packed = [pa.compress(p, codec="zstd", asbytes=True) for p in (*planes, x.ends.tobytes(), ids.tobytes(), null.tobytes())]
-            head = struct.pack("<qqq7q", len(number), len(x.ends), 0, *map(len, packed))
+            packed.append(packed_keys(rare))
+            head = struct.pack("<qq8q", len(number), len(x.ends), *map(len, packed))
             yield _row([g], [TOKENS], [0], [len(rare) << 32 | u], [head + b"".join(packed)])
 
     return run
 
 
-SCORES = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+@dataclass
+class Answered:
+    """A group's tokens and their predecessors by number, places of their pairs, ends of its texts, ids; counts by number and of the pairs."""
 
+    number: np.ndarray
+    before: np.ndarray
+    inv: np.ndarray
+    ends: np.ndarray
+    ids: pa.Array
+    count: np.ndarray
+    count2: np.ndarray
 
-def _score(held, weights, buckets: int):
-    def one(tokens: tuple, answers: list[tuple]) -> pa.RecordBatch:
+    @staticmethod
+    def of(tokens: tuple, answers: list[tuple], v: Vocabulary, fit: bool) -> Answered:
+        """``fit`` leaves the held-out part of the counts away."""
         import struct
 
-        v: Vocabulary = held.value
         tag, blob = tokens
-        n, docs, _, *sizes = struct.unpack_from("<qqq7q", blob)
-        at, parts = struct.calcsize("<qqq7q"), []
-        for size, raw in zip(sizes, (n, n, n, n, 8 * docs, 8 * docs, docs), strict=True):
-            parts.append(pa.decompress(blob[at : at + size], raw, codec="zstd", asbytes=True))
+        n, docs, *sizes = struct.unpack_from("<qq8q", blob)
+        at, parts = struct.calcsize("<qq8q"), []
+        for size, raw in zip(sizes, (n, n, n, n, 8 * docs, 8 * docs, docs, None), strict=True):
+            parts.append(blob[at : at + size] if raw is None else pa.decompress(blob[at : at + size], raw, codec="zstd", asbytes=True))
             at += size
         number = sum(np.frombuffer(p, np.uint8).astype(np.int64) << s for p, s in zip(parts[:4], (0, 8, 16, 24), strict=True))
-        ends, ids, null = np.frombuffer(parts[4], np.int64), np.frombuffer(parts[5], np.int64), np.frombuffer(parts[6], np.uint8).astype(bool)
+        ends, rare = np.frombuffer(parts[4], np.int64), unpacked_keys(parts[7])[0]
         if any(a[2] != tag for a in answers):
             raise RuntimeError("the input changed between two passes: write it to a table first")
-        cls = np.minimum(number, v.rare)
-        cls[number > v.rare] = v.rare
-        before = np.concatenate([[0], cls[:-1]])
-        before[np.concatenate([[0], ends[:-1]])] = v.rare + 1
-        pair = ((before << 16) | cls).astype(np.uint32) * np.uint32(ODD)
-        u, inv = np.unique(pair, return_inverse=True)
-        got = [{a[1]: a[3] for a in answers if a[0] == kind} for kind in (PAIRS, WORDS)]
-        count2, rare_n = (np.concatenate([np.zeros(0, np.int64), *(unpacked_counts(own[b]) for b in sorted(own))]) for own in got)
-        if len(rare_n) != tag >> 32 or len(u) != len(count2):
-            raise RuntimeError("answers are missing")
-        count = np.concatenate([v.n, [0], rare_n])[number].astype(float)
-        total = v.totals(False)
-        base = np.log10((count + 0.5) / (v.tokens + 0.5 * (v.words + 1)))
-        p2 = count2[inv] / np.maximum(total[before], 1)
-        p2 = np.where(cls == v.rare, p2 * count / max(1.0, total[v.rare]), p2)
-        lam = weights.value[context_bucket(total[before])]
-        p = lam[:, 0] * p2 + lam[:, 1] * count / max(1, v.tokens) + lam[:, 2] / (v.words + 1)
-        starts = np.concatenate([[0], ends[:-1]])
-        add = lambda a: np.add.reduceat(a, starts)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids, mask=null), pa.array(ends - starts), pa.array(add((count > 0).astype(np.int64))), pa.array(np.full(docs, v.tokens, np.int64)), pa.array(add(base)), pa.array(add(np.log10(p)))],
-            ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-        )
+        before, u, inv = pair_keys(number, ends, rare, v)
+
+        def counts(kind: int, size: int) -> np.ndarray:
+            own = {a[1]: a[3] for a in answers if a[0] == kind}
+            out = np.concatenate([np.zeros(0, np.int64), *(unpacked_counts(own[b]) for b in sorted(own))])
+            if len(out) != size:
+                raise RuntimeError("answers are missing")
+            return out
+
+        rare_n, count2 = counts(WORDS, len(rare)), counts(PAIRS, len(u))
+        if fit:
+            rare_n, count2 = rare_n - counts(WORDS + HELD, len(rare)), count2 - counts(PAIRS + HELD, len(u))
+        start = v.docs - v.dev_docs if fit else v.docs
+        ids = pa.array(np.frombuffer(parts[5], np.int64), mask=np.frombuffer(parts[6], np.uint8).astype(bool))
+        return Answered(number, before, inv, ends, ids, np.concatenate([v.n - v.dev if fit else v.n, [start], rare_n]), count2)
+
+
+def _each(one):
+    """``one`` of each group's tokens and answers, which come together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, tokens, answers = None, None, []
@@ -392,21 +432,57 @@ def _score(held, weights, buckets: int):
     return run
 
 
+def _cells(held):
+    """Cells of the EM from held-out groups: context bucket, bins of the pair's and the word's probability, held-out count."""
+
+    def one(tokens: tuple, answers: list[tuple]) -> pa.RecordBatch:
+        v: Vocabulary = held.value
+        x = Answered.of(tokens, answers, v, True)
+        total = x.count[x.before]
+        p2 = x.count2[x.inv] / np.maximum(total, 1)
+        p1 = x.count[x.number] / max(1, v.tokens - v.dev_tokens)
+        c, n = np.unique((context_bucket(total) * BINS + level(p2)) * (BINS + 1) + level(p1), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(n, pa.int64())], ["cell", "w"])
+
+    return _each(one)
+
+
+SCORES = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _score(held, weights):
+    def one(tokens: tuple, answers: list[tuple]) -> pa.RecordBatch:
+        v: Vocabulary = held.value
+        x = Answered.of(tokens, answers, v, False)
+        count, total = x.count[x.number].astype(float), x.count[x.before]
+        base = np.log10((count + 0.5) / (v.tokens + 0.5 * (v.words + 1)))
+        lam = weights.value[context_bucket(total)]
+        p = lam[:, 0] * x.count2[x.inv] / np.maximum(total, 1) + lam[:, 1] * count / max(1, v.tokens) + lam[:, 2] / (v.words + 1)
+        starts = np.concatenate([[0], x.ends[:-1]])
+        add = lambda a: np.add.reduceat(a, starts)
+        return pa.RecordBatch.from_arrays(
+            [x.ids, pa.array(x.ends - starts), pa.array(add((count > 0).astype(np.int64))), pa.array(np.full(len(x.ends), v.tokens, np.int64)), pa.array(add(base)), pa.array(add(np.log10(p)))],
+            ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+        )
+
+    return _each(one)
+
+
 def score_texts(docs: DataFrame, fold: F.Column, id_col: str = "doc_id", text_col: str = "text", frequent: float = FREQUENT) -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` of every whole text.
 
     The model mixes three maximum-likelihood estimates: of the word after its predecessor, of the word alone, and the uniform one over
-    the training words and one more. Words below the share ``frequent`` of all tokens are one class as predecessors
-    and as successors (a class pair's probability is split by the words' counts). The weights depend on a bucket of the predecessor's count and are learned by
+    the training words and one more. Every word is a predecessor and a successor of its own, however rare. The weights depend on a bucket of the predecessor's own count and are learned by
     expectation-maximisation on the training documents with fold 0, with counts of the other training documents; the final counts are
     those of all training documents (fold neither 1 nor null).
 
     All counts cover all documents. Documents go in groups of about GROUP bytes; a group asks for the counts of its distinct rare words
-    and class pairs at the tasks that own those hashes (64 bits of xxh3) and gets them back, so that only
-    distinct entries move, a hot word or pair moves once a group, and a task holds a few groups. The frequent words, at most 1 / ``frequent``, are broadcast.
+    and pairs of neighbours at the tasks that own those hashes (64 bits) and gets them back, so that only
+    distinct entries move, a hot word or pair moves once a group, and a task holds a few groups. The counts of the words above the share ``frequent`` of
+    all tokens, at most 1 / ``frequent`` words, are broadcast instead; the share changes no score. Held-out documents make groups of their own, which alone are read for the weights.
 
     A null text counts as empty: one token, the end. Rows that repeat are documents each. Rows with a null id are scored but not learned from. An
-    empty table gives no rows; other columns are ignored. The input is read three times and must be the same each time.
+    empty table gives no rows; other columns are ignored. The input is read three times, its held-out documents once more, and must be the same each time.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -415,8 +491,6 @@ def score_texts(docs: DataFrame, fold: F.Column, id_col: str = "doc_id", text_co
     src = docs.select(F.col(id_col).cast("long").alias("id"), fold.cast("int").alias("fold"), F.col(text_col).cast("string").alias("text"))
     if any(x in src._jdf.queryExecution().executedPlan().toString() for x in ("Exchange", "Sample", "InMemory", "MapIn", "Python", "Pandas")):
         src = cut(src)  # only a plain scan is the same each time
-    if frequent < 1 / 65_000:
-        raise ValueError("a class number has 16 bits")
     counts = cut(src.mapInArrow(tidy(_count(buckets)), ROW).repartition(n, "bucket").mapInArrow(tidy(_sum(buckets)), SUMMED))
     tokens, dev_tokens, words = counts.agg(F.sum("tokens"), F.sum("dev_tokens"), F.sum("words")).first()
     tokens, dev_tokens, words = tokens or 0, dev_tokens or 0, words or 0
@@ -429,32 +503,23 @@ def score_texts(docs: DataFrame, fold: F.Column, id_col: str = "doc_id", text_co
                 keep = c >= max(1, frequent * tokens)
                 yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (h, c, d)], ["h", "n", "dev"])
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of the rare words: how many held-out tokens have a word with so many tokens in the fitted part."""
-        for batch in batches:
-            for r in batch.select(["n", "dev"]).to_pylist():
-                c, d = (np.frombuffer(r[k], np.int64) for k in ("n", "dev"))
-                keep = (c < max(1, frequent * tokens)) & (d > 0)
-                fit = c[keep] - d[keep]
-                bin_ = np.where(fit > 0, np.floor(2 * np.log2(np.maximum(fit, 1))).astype(np.int64) + 1, 0)
-                k = np.bincount(bin_, minlength=1)
-                s, w = np.bincount(bin_, weights=fit * d[keep], minlength=1), np.bincount(bin_, weights=d[keep], minlength=1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(k))), pa.array(s.astype(float)), pa.array(w.astype(float))], ["bin", "s", "w"])
-
     top = counts.mapInArrow(tidy(often), "h long, n long, dev long").toPandas()
     order = np.argsort(top["h"].to_numpy(np.int64).view(np.uint64)) if len(top) else np.zeros(0, int)
     col = lambda k: top[k].to_numpy(np.int64)[order]
     v = Vocabulary(col("h").view(np.uint64), col("n"), col("dev"), tokens, dev_tokens, words, docs_n, dev_n)
-    rare = [(r["s"] / r["w"], r["w"]) for r in counts.mapInArrow(tidy(spread), "bin long, s double, w double").groupBy("bin").agg(F.sum("s").alias("s"), F.sum("w").alias("w")).where("w > 0").orderBy("bin").collect()]
     held = spark.sparkContext.broadcast(v)
-    asked = src.mapInArrow(tidy(_ask(held, buckets)), ROW).withColumn("n", F.lit(None).cast("binary"))
-    owned = counts.select(F.lit(0).cast("long").alias("g"), F.lit(COUNTS).alias("kind"), "bucket", F.lit(0).cast("long").alias("tag"), F.col("hashes").alias("blob"), "n")
-    answers = cut(asked.unionByName(owned).repartition(n, "bucket").mapInArrow(tidy(_answer(held)), ROW))
-    cells = [(r["bucket"], float(r["w"])) for r in answers.where(F.col("kind") == CELLS).groupBy("bucket").agg(F.sum("g").alias("w")).orderBy("bucket").collect()]
-    weights = spark.sparkContext.broadcast(expectation_maximisation(cells, rare, v))
-    # the scan comes first in a union: a group's number holds the number of its scan partition
-    both = src.mapInArrow(tidy(_tokens(held)), ROW).unionByName(answers.where(F.col("kind") != CELLS))
-    return both.repartition(n, "g").sortWithinPartitions("g").mapInArrow(tidy(_score(held, weights, buckets)), SCORES)
+    asked = src.mapInArrow(tidy(_ask(held, buckets)), ROW).withColumn("n", F.lit(None).cast("binary")).withColumn("dev", F.lit(None).cast("binary"))
+    owned = counts.select(F.lit(0).cast("long").alias("g"), F.lit(COUNTS).alias("kind"), "bucket", F.lit(0).cast("long").alias("tag"), F.col("hashes").alias("blob"), "n", "dev")
+    answers = cut(asked.unionByName(owned).repartition(n, "bucket").mapInArrow(tidy(_answer), ROW))
+
+    def together(own: DataFrame, told: DataFrame) -> DataFrame:
+        # the scan comes first in a union: a group's number holds the number of its scan partition
+        return own.mapInArrow(tidy(_tokens(held)), ROW).unionByName(told).repartition(n, "g").sortWithinPartitions("g")
+
+    dev = together(src.where("fold = 0"), answers.where("g % 2 = 1")).mapInArrow(tidy(_cells(held)), "cell long, w long")
+    cells = [(r["cell"], float(r["w"])) for r in dev.groupBy("cell").agg(F.sum("w").alias("w")).orderBy("cell").collect()]
+    weights = spark.sparkContext.broadcast(expectation_maximisation(cells, [], v))
+    return together(src, answers.where(F.col("kind") < HELD)).mapInArrow(tidy(_score(held, weights)), SCORES)
 
 
 def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -231,6 +231,46 @@ def test_lm(spark, docs, empty):
     assert one.train_tokens == 0 and one.n_known == 0 and one.base_score == 0
 
 
+@pytest.mark.parametrize("frequent", [lm.FREQUENT, 0.02, 1.0])
+def test_lm_counts_pairs_of_all_words(spark, frequent, monkeypatch):
+    """Also rare words are contexts of their own: scores are those of a plain count of all bigrams, whatever is broadcast."""
+    import random
+    from collections import Counter
+
+    monkeypatch.setattr(lm, "GROUP", 2000)
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(150):
+        w = [rng.choice(words)]
+        while len(w) < 40:
+            w.append(words[(words.index(w[-1]) * 7 + 1) % 120] if rng.random() < 0.7 else rng.choice(words[: rng.randint(1, 120)]))
+        rows.append((i, " ".join(w)))
+    got = {r.doc_id: r for r in lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") % 5, frequent=frequent).collect()}
+    one, two = {}, {}
+    for part in ("all", "fit"):
+        own = [["<s>", *t.split(), "\n"] for i, t in rows if i % 5 != 1 and (part == "all" or i % 5 != 0)]
+        one[part] = Counter(w for t in own for w in t)
+        two[part] = Counter(p for t in own for p in zip(t, t[1:], strict=False))
+    tokens = {k: sum(n for w, n in c.items() if w != "<s>") for k, c in one.items()}
+    estimates = lambda k, a, b: (two[k][a, b] / max(1, one[k][a]), one[k][b] / tokens[k])
+    cells = Counter()
+    for i, t in rows:
+        if i % 5 == 0:
+            w = ["<s>", *t.split(), "\n"]
+            for a, b in zip(w, w[1:], strict=False):
+                p2, p1 = (int(lm.level(np.array([p]))[0]) for p in estimates("fit", a, b))
+                cells[(int(lm.context_bucket(np.array([one["fit"][a]]))[0]) * lm.BINS + p2) * (lm.BINS + 1) + p1] += 1.0
+    n = len(one["all"]) - 1
+    v = lm.Vocabulary(np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(0, int), tokens["all"], tokens["all"] - tokens["fit"], n, 120, 30)
+    lam = lm.expectation_maximisation(sorted(cells.items()), [], v)
+    for i, t in rows:
+        w, s = ["<s>", *t.split(), "\n"], 0.0
+        for a, b in zip(w, w[1:], strict=False):
+            s += math.log10(lam[int(lm.context_bucket(np.array([one["all"][a]]))[0])] @ [*estimates("all", a, b), 1 / (n + 1)])
+        assert got[i].score == pytest.approx(s, rel=1e-6) and got[i].n_tokens == len(w) - 1
+
+
 def test_em_prefers_the_better_estimate():
     v = lm.Vocabulary(np.array([1, 2], np.uint64), np.array([60, 50]), np.array([10, 10]), 130, 20, 12, 5, 1)
     cell = (5 * lm.BINS + int(lm.level(np.array([0.5]))[0])) * (lm.BINS + 1) + int(lm.level(np.array([0.01]))[0])
