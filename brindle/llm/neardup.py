@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 from brindle.llm.common import components, cut, mix, small_batches, table, texts, tidy
 from brindle.llm.licenses import LOWER
 
-#: Hash functions, trees, longest prefix of a tree, documents of a block of exact verification, shingles of a block, columns of a tile.
-HASHES, TREES, LONGEST, BLOCK_DOCS, BLOCK_SHINGLES, TILE = 96, 32, 8, 2048, 1 << 21, 8192
+#: Trees, longest prefix of a tree, hash functions, documents of a block of exact verification, shingles of a block, columns of a tile.
+TREES, LONGEST, HASHES, BLOCK_DOCS, BLOCK_SHINGLES, TILE = 32, 8, 32 * 8, 2048, 1 << 21, 8192
 MEMO = 300_000
 _RNG = np.random.default_rng(20240501)
 MULTIPLY = _RNG.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
-#: The hash functions that each tree reads, one level after another.
-PATHS = np.stack([_RNG.permutation(HASHES)[:LONGEST] for _ in range(TREES)])
+#: The hash functions that each tree reads, one level after another: none is read twice, as the formula of prefix_length takes it.
+PATHS = np.arange(HASHES).reshape(TREES, LONGEST)
 
 
 def prefix_length(threshold: float, target: float, trees: int = TREES) -> int:
@@ -57,9 +57,9 @@ def word_hashes(memo: _Hashes, raw: bytes) -> np.ndarray:
     return np.fromiter(map(memo.__getitem__, w), np.uint64, len(w))
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
+def signatures(sets: list[np.ndarray], functions: np.ndarray) -> np.ndarray:
     """MinHash signatures (32 bits a function) of sets that are not empty, by one pass over their concatenation for each function."""
-    out = np.empty((len(sets), HASHES), np.uint64)
+    out = np.empty((len(sets), len(functions)), np.uint64)
     lo = 0
     while lo < len(sets):
         hi, size = lo, 0
@@ -68,8 +68,8 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
             hi += 1
         flat = np.concatenate(sets[lo:hi])
         starts = np.cumsum([0, *(len(s) for s in sets[lo : hi - 1])])
-        for f in range(HASHES):
-            out[lo:hi, f] = np.minimum.reduceat((flat * MULTIPLY[f] + ADD[f]) >> np.uint64(32), starts)
+        for k, f in enumerate(functions):
+            out[lo:hi, k] = np.minimum.reduceat((flat * MULTIPLY[f] + ADD[f]) >> np.uint64(32), starts)
         lo = hi
     return out
 
@@ -77,6 +77,15 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 SKETCH = "row long, doc_id long, h1 long, h2 long, n int, keys array<long>"
 
 
+def labels_of(sets: list[np.ndarray], depth: int) -> np.ndarray:
+    """Of each set that is not empty, in each tree the hash of the prefix of so many levels."""
+    sig = signatures(sets, PATHS[:, :depth].ravel()).reshape(len(sets), TREES, depth)
+    h = np.tile(np.arange(TREES, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64(1), (len(sets), 1))
+    for level in range(depth):
+        h = mix(h ^ sig[:, :, level])
+    return h
+
+
 def _sketch(words: int, depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Hashes()
@@ -87,12 +96,7 @@ def _sketch(words: int, depth: int):
                 full = [i for i, s in enumerate(sets) if len(s)]
                 keys: list = [[] for _ in sets]
                 if full:
-                    sig = signatures([sets[i] for i in full])
-                    tree = np.arange(TREES, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64(1)
-                    h = np.tile(tree, (len(full), 1))
-                    for level in range(depth):
-                        h = mix(h ^ sig[:, PATHS[:, level]])
-                    for i, k in zip(full, h.view(np.int64), strict=True):
+                    for i, k in zip(full, labels_of([sets[i] for i in full], depth).view(np.int64), strict=True):
                         keys[i] = k
                 one = np.array([int(s.sum(dtype=np.uint64)) for s in sets], np.uint64).view(np.int64)
                 two = np.array([int(mix(s).sum(dtype=np.uint64)) for s in sets], np.uint64).view(np.int64)

@@ -166,6 +166,23 @@ def test_neardup_against_brute_force(spark):
     assert [got[i].n_links for i in range(len(texts))] == [sum(row) for row in link]
 
 
+def test_recall_of_planted_pairs():
+    """Pairs at 0.80 to 0.82 meet in some tree as often as the formula says: no hash function serves two trees."""
+    used = neardup.PATHS[:, : neardup.prefix_length(0.8, 0.99999)].ravel()
+    assert len(set(used.tolist())) == len(used)
+    rng = np.random.default_rng(7)
+    missed, pairs = 0, 0
+    for shared, apart in ((80, 20), (81, 19), (82, 18)):
+        for _ in range(10):
+            x = rng.integers(0, 1 << 63, (2500, shared + apart), dtype=np.uint64)
+            half = apart // 2
+            a, b = x[:, : shared + half], np.concatenate([x[:, :shared], x[:, shared + half :]], axis=1)
+            one, two = (neardup.labels_of(list(y), neardup.prefix_length(0.8, 0.99999)) for y in (a, b))
+            missed += int((~(one == two).any(1)).sum())
+            pairs += len(x)
+    assert pairs == 75_000 and missed <= 2  # the formula: fewer than 0.1 of them
+
+
 def test_jaccard_tiles_and_prefix(monkeypatch):
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 500, 200).astype(np.uint64)) for _ in range(20)]
