@@ -1,4 +1,4 @@
-"""N-gram Jaccard join by a MinHash LSH forest with exact verification (operator 3)."""
+"""N-gram Jaccard join by MinHash banding with exact verification (operator 3)."""
 
 from __future__ import annotations
 
@@ -23,7 +23,7 @@ PATHS = np.arange(HASHES).reshape(TREES, LONGEST)
 
 
 def prefix_length(threshold: float, target: float, trees: int = TREES) -> int:
-    """Shortens the matched prefix from the longest until pairs at the threshold meet in some tree with the target probability."""
+    """Longest prefix at which pairs at the threshold meet in some tree with the target probability: one for all texts, as each must reach that recall."""
     for k in range(LONGEST, 0, -1):
         if 1 - (1 - threshold**k) ** trees >= target:
             return k
@@ -200,8 +200,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, tar
     """``doc_id, n_links, component_id, kept`` of every document: links are pairs of documents whose sets of word n-grams have a Jaccard
     similarity of at least ``threshold``.
 
-    1. Documents with one set of shingles are a class; its smallest id stands for it. 2. Each class has a signature and a label in each tree of the
-    forest: the prefix of the tree's path through the signature, of the length at which pairs at the threshold meet in some tree with
+    1. Documents with one set of shingles are a class; its smallest id stands for it. 2. Each class has a signature and a label in each tree (band): the prefix of the tree's path through the signature, of the length at which pairs at the threshold meet in some tree with
     probability ``target``. 3. Classes that share a prefix are candidates; each links to the smallest of its prefix, and the connected candidates make a
     cluster. 4. Within a cluster every pair is verified exactly, block by block; a large cluster is many pairs of blocks. Links are
     counted there and never written as pairs.
