@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from brindle.llm.common import crc_fold, cut, small_batches, table, texts, tidy
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Documents of each language that are learned from at most, entries of the model, and of a worker's memo.
-SAMPLE_PER_LANG, MODEL_WORDS, MODEL_GRAMS, MEMO = 4000, 60_000, 60_000, 300_000
+#: Documents of each language that are learned from at most, entries of a worker's memo.
+SAMPLE_PER_LANG, MEMO = 4000, 300_000
 LONGEST_GRAM = 4
 
 
@@ -80,7 +80,7 @@ class _Rows(dict):
 
 def learn(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", key_col: str = "doc_id", per_lang: int = SAMPLE_PER_LANG) -> Backoff:
     """A model from rows whose label is not null: at most about ``per_lang`` of each language, chosen by a hash of the key (a bounded
-    sample of labelled rows, as the size of the model is bounded by MODEL_WORDS and MODEL_GRAMS)."""
+    sample of labelled rows). The model has every gram of the sample and every word of at least 3 of its documents, so that its size follows the sample, not the input."""
     small_batches(labelled.sparkSession)
     rows = labelled.where(F.col(lang_col).isNotNull())
     count = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col).cast("string")).count().collect()}
@@ -114,12 +114,10 @@ def learn(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", k
     whole = counts.groupBy("kind", "gram").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")).where("all >= 3 or kind > 0")
     seen = {r["lang"]: r["n"] for r in counts.where(F.col("kind") == LONGEST_GRAM + 1).collect()}
     entries: dict[int, dict[str, np.ndarray]] = {}
-    for kinds, most in (("kind = 0", MODEL_WORDS), (f"kind between 1 and {LONGEST_GRAM}", MODEL_GRAMS)):
-        top = whole.where(kinds).orderBy(F.desc("all"), "kind", "gram").limit(most)
-        flat = top.select("kind", "gram", *[F.coalesce(F.element_at("by", k), F.lit(0)).alias(f"n{i}") for i, k in enumerate(langs)]).toPandas()
-        m = flat.iloc[:, 2:].to_numpy(np.float64)
-        for i, (kind, gram) in enumerate(zip(flat["kind"], flat["gram"], strict=True)):
-            entries.setdefault(int(kind), {})[gram] = m[i]
+    flat = whole.where(f"kind <= {LONGEST_GRAM}").select("kind", "gram", *[F.coalesce(F.element_at("by", k), F.lit(0)).alias(f"n{i}") for i, k in enumerate(langs)]).toPandas()
+    m = flat.iloc[:, 2:].to_numpy(np.float64)
+    for i, (kind, gram) in enumerate(zip(flat["kind"], flat["gram"], strict=True)):
+        entries.setdefault(int(kind), {})[gram] = m[i]
     return Backoff(langs, entries, np.array([seen.get(k, 0) for k in langs], float))
 
 

@@ -211,6 +211,17 @@ def test_language(spark, docs, empty):
     assert language.identify(empty, model).count() == 0
 
 
+def test_language_keeps_words_of_small_languages(spark):
+    """A large language does not push the words of a small one out of the model, whose words come last in code point order."""
+    import itertools
+
+    large = " ".join(itertools.islice(map("".join, itertools.product("abcdefghijkl", repeat=5)), 61_000))
+    small = [f"ž{c}ů" for c in "abcdefghij"]
+    rows = [(i, large, "xx") for i in range(4)] + [(10 + i, " ".join(small), "yy") for i in range(3)]
+    model = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(small) <= set(model.tables[0][0]) and len(model.tables[0][0]) == 61_010
+
+
 def test_backoff_reaches_shorter_grams():
     m = language.Backoff(["x", "y"], {0: {"abc": np.array([5, 1]), "def": np.array([5, 9])}, 2: {" q": np.array([1, 9]), "ab": np.array([5, 5])}, 1: {"z": np.array([9, 1]), "a": np.array([5, 9])}})
     assert m.word("abc")[0] > m.word("abc")[1] and m.word("qqq")[1] > m.word("qqq")[0] and m.word("zz")[0] > m.word("zz")[1]
