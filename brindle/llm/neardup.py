@@ -196,7 +196,7 @@ def _verify(threshold: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, target: float = 0.99999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, target: float = 0.99999, id_col: str = "doc_id", text_col: str = "text", hashes: bool = False) -> DataFrame:
     """``doc_id, n_links, component_id, kept`` of every document: links are pairs of documents whose sets of word n-grams have a Jaccard
     similarity of at least ``threshold``.
 
@@ -206,8 +206,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, tar
     counted there and never written as pairs.
 
     ``n_links`` counts other documents, copies included; ``component_id`` is the smallest id reachable by links, itself included; ``kept`` says that
-    the id is that one. Texts with fewer words than n have one shingle of all words; texts without words (null, empty) link with
-    nothing. Rows that repeat an id are one document, whose text is the smallest of theirs; each gets its row. Rows with a null id take no part: 0 links, null component,
+    the document is the first of them. Texts with fewer words than n have one shingle of all words; texts without words (null, empty) link with
+    nothing. Rows that repeat an id and a text are one document; each gets its row. Rows of one id with unequal texts are documents each, of which the smaller
+    text comes first. ``hashes`` adds ``th``, which tells the documents of an id apart: xxhash64 of the text, or 0 where no id repeats. Rows with a null id take no part: 0 links, null component,
     kept. An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -216,9 +217,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, tar
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     known = base.where("id is not null")
     unique = known.groupBy("id").count().where("count > 1").isEmpty()
-    rows = known.select("id")
-    if not unique:
-        known = known.groupBy("id").agg(F.min("text").alias("text"))
+    if not unique:  # documents get numbers that ascend with the id
+        rows = known.select(F.col("id").alias("doc_id"), F.xxhash64("text").alias("th"))
+        known = cut(known.distinct().orderBy("id", "text").select(F.monotonically_increasing_id().alias("v"), "id", "text"))
+        names = known.select("v", F.col("id").alias("doc_id"), F.xxhash64("text").alias("th"))
+        known = known.select(F.col("v").alias("id"), "text")
     sketch = cut(known.mapInArrow(tidy(_sketch(words, depth)), SKETCH))
     real = sketch.where("n > 0")
     classes = cut(real.groupBy("h1", "h2").agg(F.min_by(F.struct("doc_id", "n", "keys"), "doc_id").alias("r"), F.count("*").alias("copies")).select("h1", "h2", F.col("r.doc_id").alias("id"), F.col("r.n").alias("n"), F.col("r.keys").alias("keys"), "copies"))
@@ -239,10 +242,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, tar
     out = real.select("doc_id", "h1", "h2").join(whole, ["h1", "h2"]).select("doc_id", "n_links", "component_id")
     alone = sketch.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id"))
     out = out.unionByName(alone)
-    if not unique:
-        out = rows.withColumnRenamed("id", "doc_id").join(out, "doc_id")
-    lost = base.where("id is null").select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return out.unionByName(lost).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    if unique:
+        out = out.withColumn("th", F.lit(0).cast("long"))
+    else:
+        first = names.select(F.col("v").alias("component_id"), F.col("doc_id").alias("first"))
+        out = out.withColumnRenamed("doc_id", "v").join(names, "v").join(first, "component_id").drop("component_id").withColumnRenamed("first", "component_id")
+        out = rows.join(out.drop("v"), ["doc_id", "th"])
+    lost = base.where("id is null").select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"), F.lit(0).cast("long").alias("th"))
+    return out.unionByName(lost).select("doc_id", "n_links", "component_id", "kept", *["th"] * hashes)
 
 
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

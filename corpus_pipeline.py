@@ -23,14 +23,16 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays; of rows that repeat an id one stays. Rows without an id stay."""
-    groups = neardup.near_duplicates(docs).where("doc_id is not null")
-    dropped = groups.where("not kept").select("doc_id").distinct()
-    repeated = not groups.where("kept").groupBy("doc_id").count().where("count > 1").isEmpty()
-    out = docs.join(dropped.hint("shuffle_hash"), "doc_id", "left_anti").select(COLUMNS)
+    """Of each group of near duplicates the document with the smallest id stays; of rows that repeat an id and a text one stays. Texts of one id are
+    judged each. Rows without an id stay."""
+    repeated = not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+    key = ["doc_id", "th"] if repeated else ["doc_id"]
+    dropped = neardup.near_duplicates(docs, hashes=True).where("doc_id is not null and not kept").select(key).distinct()
+    out = docs.withColumn("th", F.xxhash64("text")).join(dropped.hint("shuffle_hash"), key, "left_anti")
     if repeated:
-        out = out.where("doc_id is null").unionByName(out.where("doc_id is not null").dropDuplicates(["doc_id"]))
-    return out
+        one = out.where("doc_id is not null").groupBy(key).agg(F.min(F.struct(*COLUMNS)).alias("r")).select("r.*")
+        out = out.where("doc_id is null").select(COLUMNS).unionByName(one)
+    return out.select(COLUMNS)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from brindle.llm import embeddings, language, licenses, lm, mixing, neardup, pieces, suffixes, topk, toxicity
 from brindle.llm.common import components, default_tokenizer
 
@@ -166,6 +167,19 @@ def test_neardup_against_brute_force(spark):
     assert [got[i].n_links for i in range(len(texts))] == [sum(row) for row in link]
 
 
+def test_texts_of_one_id_are_judged_each(spark):
+    base = "the quick brown fox jumps over the lazy dog and runs far away from the angry bear today"
+    clean = [f"{w} text number {w} that nobody else has written {w} so far" for w in ("zebra", "apple", "mango")]
+    rows = [(1, base), (1, clean[0]), (2, base + " again"), (2, clean[1]), (2, clean[1]), (3, clean[2]), (4, clean[2]), (None, base)]
+    df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], DOCS)
+    got = sorted((r.doc_id, r.th, r.n_links, r.component_id, r.kept) for r in neardup.near_duplicates(df, hashes=True).where("doc_id is not null").collect())
+    th = {r.text: r.th for r in df.select("text", F.xxhash64("text").alias("th")).collect()}
+    assert got == sorted([(1, th[base], 1, 1, True), (1, th[clean[0]], 0, 1, True), (2, th[base + " again"], 1, 1, False), *[(2, th[clean[1]], 0, 2, True)] * 2, (3, th[clean[2]], 1, 3, True), (4, th[clean[2]], 1, 3, False)])
+    left = corpus_pipeline.without_near_duplicates(spark, df, "")
+    assert left.columns == corpus_pipeline.COLUMNS
+    assert sorted((r.doc_id or 0, r.text) for r in left.collect()) == sorted([(0, base), (1, base), (1, clean[0]), (2, clean[1]), (3, clean[2])])
+
+
 def test_recall_of_planted_pairs():
     """Pairs at 0.80 to 0.82 meet in some tree as often as the formula says: no hash function serves two trees."""
     used = neardup.PATHS[:, : neardup.prefix_length(0.8, 0.99999)].ravel()
