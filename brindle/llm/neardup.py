@@ -1,4 +1,4 @@
-"""N-gram Jaccard join by MinHash banding with exact verification (operator 3)."""
+"""N-gram Jaccard join by a MinHash LSH forest with exact verification (operator 3)."""
 
 from __future__ import annotations
 
@@ -9,25 +9,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import components, cut, mix, small_batches, table, texts, tidy
+from brindle.llm.common import components, cut, mix, partitions, small_batches, table, texts, tidy
 from brindle.llm.licenses import LOWER
 
-#: Trees, longest prefix of a tree, hash functions, documents of a block of exact verification, shingles of a block, columns of a tile.
-TREES, LONGEST, HASHES, BLOCK_DOCS, BLOCK_SHINGLES, TILE = 32, 8, 32 * 8, 2048, 1 << 21, 8192
+#: Trees, levels of a tree at most, bits of a path, company at a prefix that every text puts up with, documents of a block of exact verification, shingles of a block, columns of a tile.
+TREES, LONGEST, PATH_BITS, COMPANY, BLOCK_DOCS, BLOCK_SHINGLES, TILE = 32, 8, 64, 32, 2048, 1 << 21, 8192
 MEMO = 300_000
 _RNG = np.random.default_rng(20240501)
-MULTIPLY = _RNG.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-ADD = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
-#: The hash functions that each tree reads, one level after another: none is read twice, as the formula of prefix_length takes it.
-PATHS = np.arange(HASHES).reshape(TREES, LONGEST)
+MULTIPLY = _RNG.integers(1, 1 << 31, TREES * LONGEST, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+FLIP = _RNG.integers(0, 1 << 32, TREES * LONGEST, dtype=np.uint32)
+#: The hash functions that each tree reads, one level after another: none is read twice, so that trees are independent.
+PATHS = np.arange(TREES * LONGEST).reshape(TREES, LONGEST)
 
 
-def prefix_length(threshold: float, target: float, trees: int = TREES) -> int:
-    """Longest prefix at which pairs at the threshold meet in some tree with the target probability: one for all texts, as each must reach that recall."""
-    for k in range(LONGEST, 0, -1):
-        if 1 - (1 - threshold**k) ** trees >= target:
-            return k
-    return 1
+def evidence(threshold: float) -> np.ndarray:
+    """For each depth, the logarithm of 1 / (chance that a pair at the threshold does not share that prefix of one tree). Trees add up."""
+    return -np.log1p(-(min(threshold, 1 - 1e-9) ** np.arange(LONGEST + 1, dtype=float).clip(1e-9)))
+
+
+def shortest_prefix(threshold: float, target: float) -> int:
+    """Depth to which a prefix may be shortened: one level less than the depth at which all trees together reach the target, so that crowded trees can keep more."""
+    whole = np.flatnonzero(TREES * evidence(threshold) >= -np.log1p(-target)).max(initial=1)
+    return max(1, min(LONGEST, int(whole)) - 1)
+
+
+def shape(threshold: float, target: float) -> tuple[int, int, int]:
+    """Shortest prefix, levels and bits of a level: the shortest prefix has 32 bits or more."""
+    least = shortest_prefix(threshold, target)
+    levels = min(LONGEST, 2 * least)
+    return least, levels, PATH_BITS // levels
 
 
 class _Hashes(dict):
@@ -59,34 +69,35 @@ def word_hashes(memo: _Hashes, raw: bytes) -> np.ndarray:
 
 def signatures(sets: list[np.ndarray], functions: np.ndarray) -> np.ndarray:
     """MinHash signatures (32 bits a function) of sets that are not empty, by one pass over their concatenation for each function."""
-    out = np.empty((len(sets), len(functions)), np.uint64)
+    out = np.empty((len(sets), len(functions)), np.uint32)
     lo = 0
     while lo < len(sets):
         hi, size = lo, 0
         while hi < len(sets) and (hi == lo or size + len(sets[hi]) <= 1 << 16):
             size += len(sets[hi])
             hi += 1
-        flat = np.concatenate(sets[lo:hi])
+        flat = (np.concatenate(sets[lo:hi]) >> np.uint64(32)).astype(np.uint32)
         starts = np.cumsum([0, *(len(s) for s in sets[lo : hi - 1])])
         for k, f in enumerate(functions):
-            out[lo:hi, k] = np.minimum.reduceat((flat * MULTIPLY[f] + ADD[f]) >> np.uint64(32), starts)
+            out[lo:hi, k] = np.minimum.reduceat((flat ^ FLIP[f]) * MULTIPLY[f], starts)
         lo = hi
     return out
 
 
-SKETCH = "row long, doc_id long, h1 long, h2 long, n int, keys array<long>"
+SKETCH = "row long, doc_id long, h1 long, h2 long, n int, paths array<long>"
 
 
-def labels_of(sets: list[np.ndarray], depth: int) -> np.ndarray:
-    """Of each set that is not empty, in each tree the hash of the prefix of so many levels."""
-    sig = signatures(sets, PATHS[:, :depth].ravel()).reshape(len(sets), TREES, depth)
-    h = np.tile(np.arange(TREES, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64(1), (len(sets), 1))
-    for level in range(depth):
-        h = mix(h ^ sig[:, :, level])
-    return h
+def paths_of(sets: list[np.ndarray], levels: int, bits: int) -> np.ndarray:
+    """Of each set that is not empty its path in each tree: some bits of one MinHash value a level, the first level highest, so that the order of
+    the numbers is the order of the trie."""
+    sig = signatures(sets, PATHS[:, :levels].ravel()).reshape(len(sets), TREES, levels)
+    out = np.zeros((len(sets), TREES), np.uint64)
+    for level in range(levels):
+        out = (out << np.uint64(bits)) | (mix(sig[:, :, level].astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits))
+    return out << np.uint64(PATH_BITS - levels * bits)
 
 
-def _sketch(words: int, depth: int):
+def _sketch(words: int, levels: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Hashes()
         for batch in batches:
@@ -94,17 +105,105 @@ def _sketch(words: int, depth: int):
                 part = batch.slice(lo, 256)
                 sets = [shingles(word_hashes(memo, x), words) for x in texts(part.column(1))]
                 full = [i for i, s in enumerate(sets) if len(s)]
-                keys: list = [[] for _ in sets]
+                paths: list = [[] for _ in sets]
                 if full:
-                    for i, k in zip(full, labels_of([sets[i] for i in full], depth).view(np.int64), strict=True):
-                        keys[i] = k
+                    for i, k in zip(full, paths_of([sets[i] for i in full], levels, bits).view(np.int64), strict=True):
+                        paths[i] = k
                 one = np.array([int(s.sum(dtype=np.uint64)) for s in sets], np.uint64).view(np.int64)
                 two = np.array([int(mix(s).sum(dtype=np.uint64)) for s in sets], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(0), pa.array(one), pa.array(two), pa.array([len(s) for s in sets], pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["row", "doc_id", "h1", "h2", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(0), pa.array(one), pa.array(two), pa.array([len(s) for s in sets], pa.int32()), pa.array(paths, pa.list_(pa.int64()))], ["row", "doc_id", "h1", "h2", "n", "paths"])
+
+    return run
+
+
+def crowds(tree: np.ndarray, path: np.ndarray, least: int, levels: int, bits: int) -> np.ndarray:
+    """For entries of tries in sorted order (tree, path): how many share each prefix of ``least`` to ``levels`` levels, by the common prefixes of neighbours."""
+    out = np.zeros((len(path), levels - least + 1), np.int64)
+    for k, depth in enumerate(range(least, levels + 1)):
+        p = path >> np.uint64(PATH_BITS - depth * bits)
+        first = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (tree[1:] != tree[:-1])])) if len(p) else np.zeros(0, np.int64)
+        size = np.diff(np.concatenate([first, [len(p)]]))
+        out[:, k] = np.repeat(size, size)
+    return out
+
+
+def _crowd(least: int, levels: int, bits: int):
+    """Sorted entries of the tries, batch by batch; a run that goes on in the next batch counts less, which only makes its prefix look cheaper."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tree, path = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            size = np.minimum(crowds(tree, path.view(np.uint64), least, levels, bits), (1 << 31) - 1).astype(np.int32)
+            flat = pa.array(size.ravel(), pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(np.arange(0, size.size + 1, size.shape[1], dtype=np.int32), flat)], ["id", "tree", "path", "crowd"])
 
     return run
 
 
+def depths(crowd: np.ndarray, least: int, threshold: float, target: float) -> np.ndarray:
+    """Depth to which a text shortens its prefix in each tree, from its crowds (texts x trees x depths from ``least``).
+
+    Every tree starts with its whole path. The crowd that a text puts up with starts at COMPANY and doubles until the recall of its search reaches the target: each tree then goes up to the
+    shortest prefix that no larger crowd shares. Uncrowded trees go up at once, crowded ones only where the others do not suffice. One partner more or less
+    does not change a choice (but where the crowd is just at the limit), so that the choice does not shun the very pairs that are searched for.
+    """
+    levels = least + crowd.shape[2] - 1
+    gain, want = evidence(threshold), -np.log1p(-target)
+    out = np.full(crowd.shape[:2], levels)
+    open_ = np.ones(len(crowd), bool)
+    most = COMPANY
+    while open_.any():
+        fits = crowd[open_] <= most
+        depth = np.where(fits.any(2), least + fits.argmax(2), levels)
+        out[open_] = depth
+        reached = (gain[depth].sum(1) >= want) | fits[:, :, 0].all(1)
+        open_[np.flatnonzero(open_)[reached]] = False
+        most *= 2
+    return out
+
+
+NODES = "id long, tree int, depth int, prefix long, searches boolean"
+
+
+def _search(least: int, levels: int, bits: int, threshold: float, target: float):
+    """Each text's searches, and its entries at the shorter prefixes where others may search."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2000):
+                part = batch.slice(lo, 2000)
+                ids, at = part.column(0).to_numpy(), part.column(1)
+                row = np.repeat(np.arange(part.num_rows), np.diff(at.offsets.to_numpy()))
+                flat = at.flatten()
+                tree, path = flat.field("tree").to_numpy(), flat.field("path").to_numpy().view(np.uint64)
+                size = flat.field("crowd").flatten().to_numpy().reshape(len(tree), -1)
+                crowd = np.ones((part.num_rows, TREES, levels - least + 1), np.int64)
+                crowd[row, tree] = size
+                depth = depths(crowd, least, threshold, target)[row, tree]
+                rows = np.repeat(np.arange(len(row)), depth - least + 1)
+                d = least + np.arange(len(rows)) - np.repeat(np.cumsum(depth - least + 1) - (depth - least + 1), depth - least + 1)
+                prefix = (path[rows] >> (np.uint64(PATH_BITS) - (d * bits).astype(np.uint64))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row[rows]]), pa.array(tree[rows].astype(np.int32)), pa.array(d.astype(np.int32)), pa.array(prefix), pa.array(d == depth[rows])], ["id", "tree", "depth", "prefix", "searches"])
+
+    return run
+
+
+def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of the members of clusters, which come sorted by cluster and path: neighbours in the trie share a block."""
+    from pyspark import TaskContext
+
+    block = TaskContext.get().partitionId() << 32
+    now, docs, size = None, 0, 0
+    for batch in batches:
+        out = []
+        for cluster, n in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            if now is not None and (cluster != now or docs >= BLOCK_DOCS or size + n > BLOCK_SHINGLES):
+                block, docs, size = block + 1, 0, 0
+            now, docs, size = cluster, docs + 1, size + n
+            out.append(block)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4), pa.array(out, pa.int64())], ["id", "cluster", "copies", "block"])
+
+
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Hashes()
@@ -200,9 +299,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, tar
     """``doc_id, n_links, component_id, kept`` of every document: links are pairs of documents whose sets of word n-grams have a Jaccard
     similarity of at least ``threshold``.
 
-    1. Documents with one set of shingles are a class; its smallest id stands for it. 2. Each class has a signature and a label in each tree (band): the prefix of the tree's path through the signature, of the length at which pairs at the threshold meet in some tree with
-    probability ``target``. 3. Classes that share a prefix are candidates; each links to the smallest of its prefix, and the connected candidates make a
-    cluster. 4. Within a cluster every pair is verified exactly, block by block; a large cluster is many pairs of blocks. Links are
+    1. Documents with one set of shingles are a class; its smallest id stands for it. 2. Each class has a path in each tree of a forest, one MinHash value a level. 3. The paths that share their
+    shortest prefix with another are sorted tree by tree, where common prefixes of neighbours tell how many texts share each prefix. 4. Each class shortens its prefixes, the
+    uncrowded ones first, until its search finds a pair at the threshold with probability ``target``. A pair is a candidate if either finds the other. 5. Connected candidates make a cluster, sorted by
+    path into blocks; blocks that share a searched prefix (and each with itself) are verified exactly, by products of 0/1 matrices. Links are
     counted there and never written as pairs.
 
     ``n_links`` counts other documents, copies included; ``component_id`` is the smallest id reachable by links, itself included; ``kept`` says that
@@ -213,7 +313,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, tar
     """
     spark = docs.sparkSession
     small_batches(spark)
-    depth = prefix_length(threshold, target)
+    least, levels, bits = shape(threshold, target)
+    parts = partitions(spark)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     known = base.where("id is not null")
     unique = known.groupBy("id").count().where("count > 1").isEmpty()
@@ -222,20 +323,29 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, tar
         known = cut(known.distinct().orderBy("id", "text").select(F.monotonically_increasing_id().alias("v"), "id", "text"))
         names = known.select("v", F.col("id").alias("doc_id"), F.xxhash64("text").alias("th"))
         known = known.select(F.col("v").alias("id"), "text")
-    sketch = cut(known.mapInArrow(tidy(_sketch(words, depth)), SKETCH))
+    sketch = cut(known.mapInArrow(tidy(_sketch(words, levels, bits)), SKETCH))
     real = sketch.where("n > 0")
-    classes = cut(real.groupBy("h1", "h2").agg(F.min_by(F.struct("doc_id", "n", "keys"), "doc_id").alias("r"), F.count("*").alias("copies")).select("h1", "h2", F.col("r.doc_id").alias("id"), F.col("r.n").alias("n"), F.col("r.keys").alias("keys"), "copies"))
-    labels = classes.select("id", F.posexplode("keys").alias("tree", "key"))
-    low = labels.groupBy("tree", "key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("tree", "key", "low")
-    met = labels.join(low, ["tree", "key"]).where("id > low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
-    cluster = cut(components(met).select(F.col("v").alias("id"), F.col("component").alias("cluster")))
-    members = cluster.join(classes.select("id", "n", "copies"), "id")
-    size = members.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("all"))
-    blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("all") / BLOCK_SHINGLES)).cast("int")
-    members = members.join(size.select("cluster", blocks.alias("blocks")), "cluster").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    with_sets = known.join(members.select("id", "cluster", "copies", "blocks", "block").hint("shuffle_hash"), "id").mapInArrow(tidy(_sets(words)), "id long, cluster long, copies long, blocks int, block int, shingles binary")
-    pairs = with_sets.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("*", F.least("block", "with").alias("b1"), F.greatest("block", "with").alias("b2"))
-    links = cut(pairs.groupBy("cluster", "b1", "b2").applyInArrow(_verify(threshold), LINKS))
+    classes = cut(real.groupBy("h1", "h2").agg(F.min_by(F.struct("doc_id", "n", "paths"), "doc_id").alias("r"), F.count("*").alias("copies")).select("h1", "h2", F.col("r.doc_id").alias("id"), F.col("r.n").alias("n"), F.col("r.paths").alias("paths"), "copies"))
+    entries = classes.select("id", F.posexplode("paths").alias("tree", "path")).withColumn("p", F.shiftrightunsigned("path", PATH_BITS - least * bits))
+    shared = entries.groupBy("tree", "p").agg(F.count("*").alias("c")).where("c > 1").select("tree", "p")
+    tries = entries.join(shared, ["tree", "p"], "left_semi").select("id", "tree", "path").repartitionByRange(parts, "tree", "path", "id").sortWithinPartitions("tree", "path")
+    seen = tries.mapInArrow(tidy(_crowd(least, levels, bits)), "id long, tree int, path long, crowd array<int>")
+    own = seen.groupBy("id").agg(F.collect_list(F.struct("tree", "path", "crowd")).alias("at"))
+    nodes = cut(own.mapInArrow(tidy(_search(least, levels, bits, threshold, target)), NODES))
+    node = ["tree", "depth", "prefix"]
+    low = nodes.groupBy(*node).agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max("searches").alias("s")).where("s and low < high").select(*node, "low")
+    met = nodes.join(low, node).where("id > low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
+    cluster = components(met).select(F.col("v").alias("id"), F.col("component").alias("cluster"))
+    members = cluster.join(classes.select("id", F.col("paths")[0].alias("lead"), "n", "copies"), "id").select("id", "cluster", "lead", "n", "copies")
+    members = cut(members.repartitionByRange(parts, "cluster", "lead", "id").sortWithinPartitions("cluster", "lead", "id").mapInArrow(tidy(_deal), "id long, cluster long, copies long, block long"))
+    many = members.groupBy("cluster").agg(F.min("block").alias("one"), F.max("block").alias("two")).where("one < two").select("cluster")
+    searched = nodes.join(members.join(many, "cluster", "left_semi").select("id", "block"), "id").join(low, node, "left_semi").select(*node, "block").distinct()
+    across = searched.join(searched.withColumnRenamed("block", "b2"), node).where("block < b2").select(F.col("block").alias("b1"), "b2").distinct()
+    both = cut(across.unionByName(members.select(F.col("block").alias("b1"), F.col("block").alias("b2")).distinct()))
+    asked = both.select(F.col("b1").alias("block"), "b1", "b2").unionByName(both.where("b1 < b2").select(F.col("b2").alias("block"), "b1", "b2"))
+    with_sets = known.join(members.select("id", "copies", "block").hint("shuffle_hash"), "id").mapInArrow(tidy(_sets(words)), "id long, copies long, block long, shingles binary")
+    pairs = with_sets.join(asked, "block")
+    links = cut(pairs.groupBy("b1", "b2").applyInArrow(_verify(threshold), LINKS))
     joined = components(links.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
     per = links.groupBy("id").agg(F.sum("n_links").alias("links")).join(joined.withColumnRenamed("v", "id"), "id", "left")
     whole = classes.select("h1", "h2", "id", "copies").join(per, "id", "left").select("h1", "h2", F.col("id").alias("rep"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
