@@ -93,43 +93,72 @@ def test_topk_large_numbers():
     assert s[0, 0] == topk.LONG_MAX and topk.products(np.array([[3.0, 4.0]]), np.array([[1.0, 2.0]]))[0, 0] == 11
 
 
-def test_embeddings(spark):
+def brute_vectors(rows, threshold=0.98):
+    """Links and smallest reachable id of each row, in the order of ``rows`` (id, vector, label)."""
+    from fractions import Fraction
+
+    fine = [i for i, (k, v, lab) in enumerate(rows) if k is not None and v is not None and lab is not None and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    links, low = {i: set() for i in fine}, {i: rows[i][0] for i in fine}
+    exact = {i: [Fraction(x) for x in rows[i][1]] for i in fine}
+    for x in fine:
+        for y in fine:
+            if x < y and rows[x][2] == rows[y][2]:
+                a, b = exact[x], exact[y]
+                dot = sum(p * q for p, q in zip(a, b, strict=False))
+                if dot > 0 and dot * dot >= Fraction(threshold) ** 2 * sum(p * p for p in a) * sum(q * q for q in b):
+                    links[x].add(y)
+                    links[y].add(x)
+    for _ in range(len(fine)):
+        new = {i: min([low[i], *(low[j] for j in links[i])]) for i in fine}
+        if new == low:
+            break
+        low = new
+    return [(k, len(links.get(i, ())), low.get(i, k), low.get(i, k) == k) for i, (k, _, _) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("kind", ["double", "float"])
+def test_embeddings(spark, kind):
     rng = np.random.default_rng(3)
-    base = rng.normal(size=(30, 8))
-    rows = [(i, base[i % 30] + rng.normal(size=8) * 0.02 * (i >= 30), i % 2) for i in range(90)]
-    rows = [(i, v.tolist(), lab) for i, v, lab in rows] + [(90, base[0].tolist(), 0), (91, (2 * base[0]).tolist(), 0), (92, None, 0), (93, [0.0] * 8, 0), (94, [float("inf")] * 8, 0), (95, base[0].tolist(), None), (None, base[0].tolist(), 0), (0, base[0].tolist(), 0)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("id", F.lit("x")).withColumn("v", F.lit(1))
-    for block in (4, 1024):
-        got = embeddings.near_duplicate_vectors(df, block=block).collect()
-        assert len(got) == len(rows)
-        fine = [(i, np.array(v), lab) for i, v, lab in rows if i is not None and v is not None and lab is not None and np.isfinite(v).all() and any(v)]
-        links = {}
-        near = {i: {i} for i, _, _ in fine}
-        for x, (i, v, lab) in enumerate(fine):
-            n = 0
-            for y, (j, w, other) in enumerate(fine):
-                if x != y and lab == other and v @ w / np.linalg.norm(v) / np.linalg.norm(w) >= 0.98:
-                    n += 1
-                    near[i].add(j)
-            links.setdefault(i, []).append(n)
-        low = {i: i for i in near}
-        for _ in range(50):
-            low = {i: min(low[j] for j in near[i]) for i in near}
-        for i in low:
-            assert sorted(r.n_links for r in got if r.vec_id == i) == sorted(links[i])
-            assert all(r.component_id == low[i] and r.kept == (low[i] == i) for r in got if r.vec_id == i)
-        assert all(r.n_links == 0 and r.kept for r in got if r.vec_id in (92, 93, 94, 95))
+    base = rng.normal(size=(30, 8)).astype(np.float32).astype(float)
+    rows = [(i, (base[i % 30] + (rng.normal(size=8) * 0.02 * (i >= 30)).astype(np.float32)).astype(np.float32).astype(float).tolist(), i % 2) for i in range(90)]
+    rows += [(90, base[0].tolist(), 0), (91, (2 * base[0]).tolist(), 0), (92, None, 0), (93, [0.0] * 8, 0), (94, [float("inf")] * 8, 0), (95, base[0].tolist(), None), (None, base[0].tolist(), 0), (96, [1.0, None], 0), (97, [], 0)]
+    rows += [(100, [1.0, 2.0], 0), (101, [1.0, 2.0, 0.0], 0), (102, [2.0**-100, 2.0**-99], 0), (103, [2.0**100, 2.0**101], 0), (104, [2.0**-100, 2.0**-99], 0)]
+    if kind == "double":
+        rows += [(105, [1e-300, 2e-300], 0), (106, [1e300, 2e300], 0), (107, [5e-324, 1e-323], 0)]
+    for extra in ([], [(0, base[0].tolist(), 0), (0, base[1].tolist(), 0), (1, base[7].tolist(), 1), (107, base[3].tolist(), 1)]):
+        own = rows + extra
+        df = spark.createDataFrame(own, f"vec_id long, embedding array<{kind}>, label int").withColumn("id", F.lit("x")).withColumn("v", F.lit(1))
+        want = sorted(brute_vectors(own), key=str)
+        for tile, segment in ((4, 7), (512, None)):
+            got = embeddings.near_duplicate_vectors(df, tile=tile, segment=segment).collect()
+            assert sorted(((r.vec_id, r.n_links, r.component_id if r.vec_id is not None else None, r.kept if r.vec_id is not None else None == r.vec_id) for r in got), key=str) == want
     assert embeddings.near_duplicate_vectors(df.where("false")).count() == 0
 
 
+def test_embeddings_many_segments(spark):
+    """A crowded label over many segments and partitions, and many small labels that share one: as brute force says, and what is sent stays small."""
+    rng = np.random.default_rng(12)
+    centre = rng.normal(size=(40, 16))
+    v = centre[rng.integers(0, 40, 1500)] + rng.normal(size=(1500, 16)) * 0.05
+    label = np.where(np.arange(1500) < 1100, 0, np.arange(1500) // 3)
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    link = (u @ u.T >= 0.98) & (label[:, None] == label[None, :])
+    np.fill_diagonal(link, False)
+    df = spark.createDataFrame([(i, x.tolist(), int(y)) for i, (x, y) in enumerate(zip(v, label, strict=True))], "vec_id long, embedding array<double>, label int").repartition(3)
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicate_vectors(df, tile=16, segment=90).collect()}
+    assert [got[i] for i in range(1500)] == link.sum(1).tolist() and link.sum() > 5000
+
+
 def test_interval_pairs_skip_and_keep():
     rng = np.random.default_rng(1)
     p = rng.random((40, 3))
     lo, hi = p, p + 0.02
-    got = {(i, x) for i, j, k in embeddings.interval_pairs(lo, hi, 0.2) for x in range(j, k + 1)}
+    got = set(embeddings.interval_pairs(lo, hi, 0.2))
     gap = np.maximum(0, np.maximum(lo[:, None] - hi[None], lo[None] - hi[:, None]))
     want = {(i, j) for i in range(40) for j in range(i, 40) if (gap[i, j] ** 2).sum() <= 0.04 + 1e-9}
     assert got == want and len(got) < 40 * 41 / 2
+    both = set(embeddings.interval_pairs(lo[:15], hi[:15], 0.2, (lo[15:], hi[15:])))
+    assert both == {(i, j - 15) for i, j in want if i < 15 <= j}
 
 
 def test_neardup_edges(spark, docs, empty):
