@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import embeddings, language, licenses, lm, mixing, neardup, pieces, suffixes, topk, toxicity
+from brindle.llm import embeddings, language, licenses, lm, mixing, neardup, pieces, stages, suffixes, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_topk": topk.op1_topk, "op2_embeddings": embeddings.op2_embeddings, "op3_neardup": neardup.op3_neardup, "op4_pieces": pieces.op4_pieces, "op5_language": language.op5_language, "op6_licenses": licenses.op6_licenses, "op7_lm": lm.op7_lm, "op8_mixing": mixing.op8_mixing, "op9_toxicity": toxicity.op9_toxicity, "op10_suffixes": suffixes.op10_suffixes, "pipeline": corpus_pipeline.run}
+    return {"op1_topk": topk.op1_topk, "op2_embeddings": embeddings.op2_embeddings, "op3_neardup": neardup.op3_neardup, "op4_pieces": pieces.op4_pieces, "op5_language": language.op5_language, "op6_licenses": licenses.op6_licenses, "op7_lm": lm.op7_lm, "op8_mixing": mixing.op8_mixing, "op9_toxicity": toxicity.op9_toxicity, "op10_suffixes": suffixes.op10_suffixes, "pipeline": stages.run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,7 +100,7 @@ def _fly(level: int, last: bool, seed: int):
     return run
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 7, block: int = BLOCK) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 7, block: int = BLOCK, carry: tuple[str, ...] = ()) -> DataFrame:
     """How often each document is taken: ``doc_id, source, size, source_size, target, copies, taken, key``.
 
     Each source's target is as in :func:`source_targets`. A document's expected number of copies is target / source size, so it is the whole part
@@ -109,14 +110,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     level of flights (a tree), until one flight per source is left, where the landing picks the nearest total.
 
     A null text has size 0, a null source is a source of its own (last), a document of size 0 is taken with 0 words. Repeated rows are documents each; they
-    are told apart by a running number among equal rows. ``key`` is a hash of id, source and text. An empty table gives no rows. Decisions follow from
-    the hash of each row and the seed, so reruns agree. Other columns are ignored.
+    are told apart by a running number among equal rows, and dealt over several flights where they are more than a quarter of one. ``key`` is a hash of id, source and text. An empty table gives no rows. Decisions follow from
+    the hash of each row and the seed, so reruns agree. Other columns are ignored but for those named in ``carry``, which come along.
     """
     spark = docs.sparkSession
     base = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64("doc_id", "source", "text").alias("key"),
+        F.xxhash64("doc_id", "source", "text").alias("key"), *carry,
     )
     base = cut(base)
     sums = {r["source"]: (r["s"], r["n"]) for r in base.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()}
@@ -127,8 +128,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     df = df.select("*", F.floor("rate").alias("whole"), (F.col("rate") - F.floor("rate")).alias("pi"), F.xxhash64("key", F.lit(seed)).alias("h"), F.coalesce("doc_id", F.lit(-1)).alias("doc_key"))
     # equal rows differ by a number only; rows of one key are few and alike, so any order among them gives the same decisions
     df = df.withColumn("twin", F.monotonically_increasing_id())
-    cols = ["doc_id", "source", "size", "source_size", "target", "whole", "pi", "h", "doc_key", "twin", "key", "source_no", "blocks", "block"]
-    df = df.withColumn("block", F.pmod(F.shiftright("h", 1), "blocks")).select(*cols)
+    cols = ["doc_id", "source", "size", "source_size", "target", "whole", "pi", "h", "doc_key", "twin", "key", "source_no", "blocks", "block", *carry]
+    # keys of which so many rows are equal that they would crowd a flight: at most 4 / block of all rows
+    crowds = base.groupBy("key").count().where(F.col("count") > block // 4).select("key", F.ceil(F.col("count") / (block // 4)).alias("salts"))
+    df = df.join(crowds, "key", "left").withColumn("salt", F.when(F.col("salts").isNotNull(), F.pmod("twin", "salts")).otherwise(0))
+    df = df.withColumn("block", F.pmod(F.when(F.col("salt") == 0, F.shiftright("h", 1)).otherwise(F.xxhash64("h", "salt")), "blocks")).select(*cols)
     schema = df.schema
     done = []
     level, most_blocks = 0, max((r[5] for r in rows), default=1)
@@ -147,14 +151,26 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     for d in done[1:]:
         out = out.unionByName(d)
     copies = (F.col("whole") + F.round("pi")).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "key")
+    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "key", *carry)
 
 
-def repeat(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it, with the columns of ``docs``."""
-    n = mixed.groupBy(F.col("key").alias("__key")).agg(F.sum("copies").alias("__copies")).where("__copies > 0")
-    one = docs.withColumn("__key", F.xxhash64("doc_id", "source", "text")).dropDuplicates(["__key"])
-    return one.join(n, "__key").withColumn("__at", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+def located(docs: DataFrame) -> DataFrame:
+    """``docs`` with the place of each row in its files (``__file``, ``__at``), which is the same at each reading. What is no plain scan of files is written first."""
+    place = [F.xxhash64(F.col("_metadata.file_path")).alias("__file"), F.col("_metadata.row_index").alias("__at")]
+    try:
+        return docs.select("*", *place)
+    except AnalysisException:
+        return cut(docs).select("*", *place)
+
+
+def repeat(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it, with the columns of ``docs``; ``options`` are those of :func:`mix`.
+
+    Copies go by row, not by id or content: rows that are equal, or differ in other columns only, are taken each by its own decision. An empty table gives no rows.
+    """
+    own = located(docs)
+    taken = mix(own, carry=("__file", "__at"), **options).where("copies > 0").select("__file", "__at", "copies")
+    return own.join(taken, ["__file", "__at"]).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

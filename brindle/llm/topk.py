@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.common import cut, table, tidy
@@ -74,8 +74,8 @@ def select(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.
 class TopLists:
     """Running top lists of a block of queries; merging two of them is one more partial selection."""
 
-    def __init__(self, qids: np.ndarray, k: int):
-        self.k, self.qids = k, qids
+    def __init__(self, qids: np.ndarray, copies: np.ndarray, k: int):
+        self.k, self.qids, self.copies = k, qids, copies
         self.best: list[list[tuple]] = [[] for _ in qids]
 
     def add(self, first: int, scores: np.ndarray, ids: np.ndarray) -> None:
@@ -85,35 +85,44 @@ class TopLists:
             if floor[i] is None or (new and new[0] < floor[i]):
                 self.best[first + i] = sorted(self.best[first + i] + new)[: self.k]
 
-    def rows(self) -> Iterator[tuple[int, int, int]]:
-        for q, b in zip(self.qids.tolist(), self.best, strict=True):
+    def rows(self) -> Iterator[tuple[int, int, int, int]]:
+        for q, c, b in zip(self.qids.tolist(), self.copies.tolist(), self.best, strict=True):
             for s, d in b:
-                yield q, d, int(-s)
+                yield q, c, d, int(-s)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vec_col: str = "embedding", query_bytes: int = QUERY_BYTES) -> DataFrame:
-    """The k best candidates of every query by integer inner product of the quantised vectors: ``query_id, rank, vec_id, score``.
+    """The k best candidates of every query by integer inner product of the quantised vectors: ``query_id, query_copy, rank, vec_id, score``.
 
     Queries are taken in blocks whose packed size is at most ``query_bytes``; each block is broadcast once (its size is
     proven) and meets every candidate partition as tiles of a matrix product. Each tile gives a partial selection, each task one
     merged list per query, and a two-level tree of shuffles merges the tasks' lists. A candidate with the query's own id is left out;
-    repeated ids are candidates each. Rows with a null id, a null vector or a null or non-finite component take no part. With
+    repeated ids are candidates each. Query rows that repeat an id and a vector are one query; unequal vectors of one id are queries each, numbered from 1 by
+    ``query_copy`` in the order of their vectors. Rows with a null id, a null vector or a null or non-finite component take no part. With
     fewer candidates than k, all are returned; empty tables give no rows. Ties go to the smaller id. Other columns are ignored.
     """
     spark = vectors.sparkSession
     cand = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v")).where("vec_id is not null and v is not null")
     asked = queries.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v")).where("vec_id is not null and v is not null")
+    asked = asked.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (F.size("v") > 0))
+    if asked.groupBy("vec_id").count().where("count > 1").isEmpty():
+        asked = asked.withColumn("copy", F.lit(1))
+    else:
+        asked = asked.distinct().withColumn("copy", F.row_number().over(Window.partitionBy("vec_id").orderBy("v")))
     n, width = asked.agg(F.count("*"), F.max(F.size("v"))).first()
     per = max(1, query_bytes // (8 * max(1, width or 1)))
     blocks = max(1, -(-n // per))
+    if blocks > 1:  # sorted by block, so that each pass reads its own rows
+        asked = cut(asked.withColumn("block", F.pmod(F.xxhash64("vec_id", "copy"), F.lit(blocks))).repartitionByRange("block").sortWithinPartitions("block"))
     out = None
     for block in range(blocks):
-        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block)
-        got = part.toPandas()
-        q, ok = quantise(list(got["v"]), scale)
-        order = np.argsort(got["vec_id"].to_numpy(np.int64)[ok], kind="stable") if len(got) else np.zeros(0, int)
-        held = spark.sparkContext.broadcast((got["vec_id"].to_numpy(np.int64)[ok][order] if len(got) else np.zeros(0, np.int64), q[ok][order] if len(got) else np.zeros((0, 0))))
-        lists = _merge(cand.mapInArrow(tidy(_search(held, k, scale)), "query_id long, part long, vec_id long, score long"), k)
+        part = asked if blocks == 1 else asked.where(F.col("block") == block)
+        got = part.select("vec_id", "copy", "v").toPandas()
+        q, _ = quantise(list(got["v"]), scale)
+        ids, copies = got["vec_id"].to_numpy(np.int64), got["copy"].to_numpy(np.int64)
+        order = np.lexsort((copies, ids))
+        held = spark.sparkContext.broadcast((ids[order], copies[order], q[order]))
+        lists = _merge(cand.mapInArrow(tidy(_search(held, k, scale)), "query_id long, query_copy int, part long, vec_id long, score long"), k)
         if blocks > 1:
             lists = cut(lists)
             held.unpersist()
@@ -125,8 +134,8 @@ def _search(held, k: int, scale: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        qids, q = held.value
-        lists = TopLists(qids, k)
+        qids, copies, q = held.value
+        lists = TopLists(qids, copies, k)
         for batch in batches:
             if not len(qids):
                 continue
@@ -146,9 +155,9 @@ def _search(held, k: int, scale: float):
                         s[same] = -np.inf
                     lists.add(first, *select(s, tile_ids, k))
         got = list(lists.rows())
-        a = np.array(got, np.int64).reshape(-1, 3)
+        a = np.array(got, np.int64).reshape(-1, 4)
         part = TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(np.full(len(a), part)), pa.array(a[:, 1]), pa.array(a[:, 2])], ["query_id", "part", "vec_id", "score"])
+        yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1].astype(np.int32)), pa.array(np.full(len(a), part)), pa.array(a[:, 2]), pa.array(a[:, 3])], ["query_id", "query_copy", "part", "vec_id", "score"])
 
     return run
 
@@ -157,9 +166,9 @@ def _merge(lists: DataFrame, k: int, fan: int = 64) -> DataFrame:
     """Tree of merges: lists of ``fan`` tasks first, then the rest, so that no group holds more than a few thousand entries."""
     best = lambda c: F.slice(F.array_sort(F.collect_list(c)), 1, k)
     entry = F.struct((-F.col("score").cast("decimal(20,0)")).alias("s"), "vec_id", "score")
-    first = lists.groupBy("query_id", F.floor(F.col("part") / fan).alias("node")).agg(best(entry).alias("top"))
-    merged = first.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, k).alias("top"))
-    return merged.select("query_id", F.posexplode("top").alias("at", "e")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("e.vec_id").alias("vec_id"), F.col("e.score").alias("score"))
+    first = lists.groupBy("query_id", "query_copy", F.floor(F.col("part") / fan).alias("node")).agg(best(entry).alias("top"))
+    merged = first.groupBy("query_id", "query_copy").agg(F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, k).alias("top"))
+    return merged.select("query_id", "query_copy", F.posexplode("top").alias("at", "e")).select("query_id", "query_copy", (F.col("at") + 1).cast("int").alias("rank"), F.col("e.vec_id").alias("vec_id"), F.col("e.score").alias("score"))
 
 
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,8 +179,10 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = """
 with v as (select row_number() over () rn, vec_id, embedding from embeddings where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and vec_id is not null),
-q as (select vec_id, rn, list_transform(embedding, lambda x: floor(256 * x::double)) e from v),
-s as (select a.vec_id query_id, b.vec_id vec_id, b.rn, list_sum(list_transform(list_zip(a.e, b.e), lambda p: p[1] * p[2]))::bigint score from q a join q b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
-r as (select *, row_number() over (partition by query_id order by score desc, vec_id, rn) rk from s)
-select query_id, rk::integer as rank, vec_id, score from r where rk <= 5
+c as (select vec_id, rn, list_transform(embedding, lambda x: floor(256 * x::double)) e from v),
+d as (select distinct vec_id, embedding from v where vec_id % 50 = 0),
+q as (select vec_id, row_number() over (partition by vec_id order by embedding) query_copy, list_transform(embedding, lambda x: floor(256 * x::double)) e from d),
+s as (select a.vec_id query_id, a.query_copy, b.vec_id vec_id, b.rn, list_sum(list_transform(list_zip(a.e, b.e), lambda p: p[1] * p[2]))::bigint score from q a join c b on a.vec_id <> b.vec_id),
+r as (select *, row_number() over (partition by query_id, query_copy order by score desc, vec_id, rn) rk from s)
+select query_id, query_copy::integer as query_copy, rk::integer as rank, vec_id, score from r where rk <= 5
 """

@@ -7,8 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from brindle.llm import embeddings, language, licenses, lm, mixing, neardup, pieces, suffixes, topk, toxicity
+from brindle.llm import embeddings, language, licenses, lm, mixing, neardup, pieces, stages, suffixes, topk, toxicity
 from brindle.llm.common import components, default_tokenizer
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -68,20 +67,19 @@ def test_agenda_is_the_library(seed):
 
 
 def test_topk(spark):
-    rows = [(i, [float(i % 5), 1.0, -0.5], 1) for i in range(40)] + [(40, None, 1), (41, [float("nan"), 1.0, 1.0], 1), (42, [None, 1.0, 1.0], 1), (None, [1.0, 1.0, 1.0], 1), (10, [9.0, 9.0, 9.0], 1)]
-    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int")
-    q = v.where("vec_id % 10 = 0")
-    q_rows = [(i, x) for i, x, _ in rows if i is not None and i % 10 == 0 and i != 40]
+    rows = [(i, [float(i % 5), 1.0, -0.5], 1) for i in range(40)] + [(40, None, 1), (41, [float("nan"), 1.0, 1.0], 1), (42, [None, 1.0, 1.0], 1), (None, [1.0, 1.0, 1.0], 1), (10, [9.0, 9.0, 9.0], 1), (50, [], 1)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int").withColumn("part", F.lit("clash")).withColumn("query_copy", F.lit("clash"))
+    # an id with two vectors is two queries, a repeated row is one
+    asked = [(i, x) for i, x, _ in rows if i is not None and i % 10 == 0] + [(0, [0.0, 1.0]), (0, [1.0, 0.0]), (0, [1.0, 0.0])]
+    q = spark.createDataFrame(asked, "vec_id long, embedding array<double>")
+    fine = [(i, [math.floor(256 * y) for y in x]) for i, x, _ in rows if i is not None and x and all(y is not None and math.isfinite(y) for y in x)]
+    want = []
+    for i in {i for i, x in asked if x}:
+        for copy, x in enumerate(sorted({tuple(x) for j, x in asked if j == i}), 1):
+            scores = sorted((-sum(math.floor(256 * a) * b for a, b in zip(x, y, strict=False)), j) for j, y in fine if j != i)
+            want += [(i, copy, rank, j, -s) for rank, (s, j) in enumerate(scores[:3], 1)]
     for qb in (1 << 20, 64):  # one block of queries and many
-        got = sorted(tuple(r) for r in topk.top_k(v, q, 3, query_bytes=qb).collect())
-        best = {}
-        fine = [(i, [math.floor(256 * y) for y in x]) for i, x, _ in rows if i is not None and x is not None and all(y is not None and math.isfinite(y) for y in x)]
-        for i, x in q_rows:
-            x = [math.floor(256 * y) for y in x]
-            best.setdefault(i, []).extend((-sum(a * b for a, b in zip(x, y, strict=True)), j) for j, y in fine if j != i)
-        for i, c in best.items():
-            own = [(r[1], -r[3], r[2]) for r in got if r[0] == i]
-            assert [(s, j) for _, s, j in sorted(own)] == sorted(c)[:3]
+        assert sorted(tuple(r) for r in topk.top_k(v, q, 3, query_bytes=qb).collect()) == sorted(want)
     assert topk.top_k(v.where("false"), q, 3).count() == 0 and topk.top_k(v, q.where("false"), 3).count() == 0
     assert topk.top_k(v.where("vec_id < 2"), v.where("vec_id = 0"), 5).count() == 1
 
@@ -204,8 +202,8 @@ def test_texts_of_one_id_are_judged_each(spark):
     got = sorted((r.doc_id, r.th, r.n_links, r.component_id, r.kept) for r in neardup.near_duplicates(df, hashes=True).where("doc_id is not null").collect())
     th = {r.text: r.th for r in df.select("text", F.xxhash64("text").alias("th")).collect()}
     assert got == sorted([(1, th[base], 1, 1, True), (1, th[clean[0]], 0, 1, True), (2, th[base + " again"], 1, 1, False), *[(2, th[clean[1]], 0, 2, True)] * 2, (3, th[clean[2]], 1, 3, True), (4, th[clean[2]], 1, 3, False)])
-    left = corpus_pipeline.without_near_duplicates(spark, df, "")
-    assert left.columns == corpus_pipeline.COLUMNS
+    left = stages.without_near_duplicates(spark, df, "")
+    assert left.columns == stages.COLUMNS
     assert sorted((r.doc_id or 0, r.text) for r in left.collect()) == sorted([(0, base), (1, base), (1, clean[0]), (2, clean[1]), (3, clean[2])])
 
 
@@ -407,10 +405,28 @@ def test_mixing(spark, docs, empty):
     assert len(got) == docs.count() and key(got) == key(again)
     assert all(r.taken <= 2 * r.size and r.taken == r.copies * r.size for r in got) and all(r.size == 0 for r in got if r.doc_id in (4, 5, 6))
     assert mixing.mix(empty).count() == 0
-    out = mixing.repeat(docs, mixing.mix(docs))
+    out = mixing.repeat(docs)
     assert out.columns == docs.columns and out.count() == sum(r.copies for r in got)
 
 
+def test_mixing_keeps_rows_apart(spark, tmp_path):
+    """Rows that differ in another column only, or in nothing, are taken each by its own decision; a crowd of equal rows is dealt over flights."""
+    rows = [(1, "a b c", lang, "s") for lang in ("en", "de", "fr")] + [(2, "x " * 7, "en", "s")] * 300 + [(3, "y", "en", "t"), (None, "z z", None, None)] + [(i, "w " * (i % 9), "en", "t") for i in range(10, 60)]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame([(i, t, la, so, len(t)) for i, t, la, so in rows], DOCS).repartition(3).write.parquet(path)
+    docs = spark.read.parquet(path)
+    got = mixing.mix(docs, block=64).collect()
+    assert len(got) == len(rows)
+    for source in ("s", "t", None):
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= max(r.size for r in own)
+    out = [tuple(r) for r in mixing.repeat(docs, block=64).collect()]
+    assert len(out) == sum(r.copies for r in got) and out and set(out) <= {tuple(r) for r in docs.collect()}
+    most = 2
+    assert all(sum(r[:3] == (1, "a b c", lang) for r in out) <= most for lang in ("en", "de", "fr"))
+    assert sorted(map(str, out)) == sorted(str(tuple(r)) for r in mixing.repeat(docs, block=64).collect())
+
+
 def test_targets():
     t = mixing.source_targets({"a": 100, "b": 10, None: 100})
     assert t["b"] == 20 - 0 or t["b"] < 20

@@ -7,7 +7,7 @@ import pytest
 from conftest import SF
 
 import corpus_pipeline
-from brindle.llm import catalogue, mixing
+from brindle.llm import catalogue, mixing, stages
 from brindle.llm.common import cut, table
 
 
@@ -19,7 +19,7 @@ def test_topk_oracle(spark):
     db = duckdb.connect()
     db.sql(f"create view embeddings as select * from '{SF}/embeddings.parquet'")
     want = sorted(db.sql(catalogue.oracle_sql()["op1_topk"]).fetchall())
-    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in catalogue.queries()["op1_topk"](spark, SF).collect()) == want
+    assert sorted((r.query_id, r.query_copy, r.rank, r.vec_id, r.score) for r in catalogue.queries()["op1_topk"](spark, SF).collect()) == want
 
 
 @pytest.mark.parametrize("name,folds,held", [("op5_language", 3, 1), ("op7_lm", 5, 1), ("op9_toxicity", 5, 0)])
@@ -37,13 +37,14 @@ def test_folds(spark, name, folds, held):
 
 
 def test_pipeline(spark):
+    assert corpus_pipeline.STAGES is stages.STAGES and corpus_pipeline.run is stages.run
     docs = table(spark, SF, "documents")
     n = [docs.count()]
     for name, stage in corpus_pipeline.STAGES:
         docs = cut(stage(spark, docs, SF))
         n.append(docs.count())
         if name != "encoding":
-            assert docs.columns == corpus_pipeline.COLUMNS, name
+            assert docs.columns == stages.COLUMNS, name
     assert n[1] >= 0.95 * n[0] and n[2] <= n[1] and n[3] == n[2] and n[5] == n[4]
     assert [s[0] for s in corpus_pipeline.STAGES] == ["language", "near_duplicates", "repeats", "mixing", "encoding"]
 
