@@ -7,13 +7,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm.common import cut, mix, partitions, small_batches, table, texts, tidy
 
-#: Bytes of text in one batch, of a suffix-sorted block, and stretches of one anchor that a block takes before the anchor is dealt over several.
-BATCH, BLOCK, HOT, HOT_IN_BATCH, SALTS = 1 << 20, 1 << 20, 2048, 64, 64
+#: Bytes of text in one batch, of a suffix-sorted block, and stretches of one anchor that a block takes before the anchor is dealt over several; bits of a place among hashes.
+BATCH, BLOCK, HOT, HOT_IN_BATCH, SALTS, PLACE_BITS = 1 << 20, 1 << 20, 2048, 64, 64, 23
+#: Salts of blocks that hold copies only.
+COPIES = 1 << 20
 NO_DOC = (1 << 63) - 1
 MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _POWERS: list[np.ndarray] = []
@@ -40,12 +43,28 @@ def anchors(text: np.ndarray, ends: np.ndarray, least: int, k: int) -> tuple[np.
     none = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     if n < least:
         return none
+    most = (1 << PLACE_BITS) - least
+    if n > most:  # very long texts in pieces that overlap; a run of windows cut in two is two runs
+        got = []
+        for lo in range(0, n, most):
+            piece = text[lo : lo + most + least - 1]
+            inner = ends[(ends > lo) & (ends < lo + len(piece))] - lo
+            if len(piece) >= least:
+                x = _anchors(piece, np.append(inner, len(piece)), least, k)
+                got.append((x[0], x[1], x[2] + lo, x[3] + lo))
+        return tuple(np.concatenate(c) for c in zip(*got, strict=True)) if got else none
+    return _anchors(text, ends, least, k)
+
+
+def _anchors(text: np.ndarray, ends: np.ndarray, least: int, k: int) -> tuple[np.ndarray, ...]:
+    n = len(text)
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     power, inverse = _powers(n + 1)
     sums = np.empty(n + 1, np.uint64)
     sums[0] = 0
     np.cumsum(BYTE[text] * power[:n], out=sums[1:])
     h = mix((sums[k:] - sums[:-k]) * inverse[: n - k + 1])
-    bits = np.uint64(max(1, int(n).bit_length()))
+    bits = np.uint64(PLACE_BITS)  # the same in every batch: equal windows choose alike, the leftmost of equal hashes
     m = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)
     w, span = least - k + 1, 1
     while span * 2 <= w:
@@ -160,8 +179,22 @@ def _columns(names: list[str], *cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names)
 
 
+def equal_bytes(text: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, most: int = 1 << 22) -> np.ndarray:
+    """Whether the bytes from ``a`` and from ``b`` are equal over ``size`` places, each pair on its own."""
+    out = np.ones(len(a), bool)
+    lo = 0
+    while lo < len(a):
+        hi = max(lo + 1, int(np.searchsorted(np.cumsum(size[lo:]), most)) + lo)
+        n = size[lo:hi]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        same = text[np.repeat(a[lo:hi], n) + step] == text[np.repeat(b[lo:hi], n) + step]
+        out[lo:hi] = np.logical_and.reduceat(same, np.cumsum(n) - n)
+        lo = hi
+    return out
+
+
 def _collect(least: int, k: int, buckets: int):
-    """Documents to packed anchors. A stretch that occurs in several documents of a batch stays with the smallest; the others are decided."""
+    """Documents to packed anchors. A stretch that occurs in several documents of a batch, byte for byte, stays with the smallest; the others are decided."""
 
     def one(ids: list[np.ndarray], ths: list[np.ndarray], raw: list[bytes]) -> Iterator[pa.RecordBatch]:
         doc_id, doc_th = np.concatenate(ids), np.concatenate(ths)
@@ -176,14 +209,16 @@ def _collect(least: int, k: int, buckets: int):
         did = doc_id[row]
         order = np.lexsort((did, c))
         head = np.concatenate([[True], c[order][1:] != c[order][:-1]])
-        low = did[order][np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
-        gone = order[did[order] > low]
+        first_of = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+        late = did[order] > did[first_of]
+        late[late] = equal_bytes(text, first[order[late]], first[first_of[late]], last[order[late]] - first[order[late]] + least)
+        gone = order[late]
         m, s, e = _merge(row[gone], first[gone] - start[gone], last[gone] - start[gone] + least)
         names = ["bucket", "blob", *SPAN_COLS]
         if len(m):
             z = np.zeros(len(m), np.int32)
             yield _columns(names, (m % buckets).astype(np.int32), pa.nulls(len(m), pa.binary()), doc_id[m], doc_th[m], s.astype(np.int32), e.astype(np.int32), np.zeros(len(m), np.int64), z, z)
-        stay = order[did[order] == low]
+        stay = order[~late]
         stay = stay[np.lexsort((did[stay], c[stay], a[stay]))]
         a32 = (a[stay] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         spread = (a[stay] >> np.uint64(32)).astype(np.int64)
@@ -244,69 +279,98 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _decide(least: int):
-    """Anchors of one partition: stretches that are whole in a smaller document are decided; anchors with several different stretches give candidates."""
+    """Anchors bucket by bucket: those in several documents, or with several different stretches, give candidates; a hash only chooses which stretches are compared."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recs, ths = [], []
-        for batch in batches:
-            blobs = batch.column(1)
-            for b in blobs.to_pylist():
-                if b is not None:
-                    r, t = _unpack(b)
-                    recs.append(r)
-                    ths.append(t)
-            if blobs.null_count:
-                yield pa.RecordBatch.from_arrays(pa.Table.from_batches([batch]).filter(blobs.is_null()).select(SPAN_COLS).combine_chunks().to_batches()[0].columns, SPAN_COLS)
-        if not recs:
-            return
-        r, th = np.concatenate(recs), np.concatenate(ths)
-        del recs, ths
+    def bucket(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        got = [_unpack(b) for b in blobs]
+        r, th = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
         order = np.lexsort((r["id"], r["c"], r["a"]))
         r, th = r[order], th[order]
         new_a = np.concatenate([[True], r["a"][1:] != r["a"][:-1]])
         new_c = new_a | np.concatenate([[True], r["c"][1:] != r["c"][:-1]])
-        low = r["id"][np.maximum.accumulate(np.where(new_c, np.arange(len(r)), 0))]
-        gone, stay = np.flatnonzero((r["id"] > low) & (r["hot"] < 2)), np.flatnonzero((r["id"] == low) & (r["hot"] < 2))
-        group = np.cumsum(new_a) - 1
-        marked = np.bincount(group, weights=r["hot"] == 2) > 0
+        head = np.maximum.accumulate(np.where(new_c, np.arange(len(r)), 0))
+        group, real = np.cumsum(new_a) - 1, r["hot"] < 2
+        marked = np.bincount(group, weights=~real) > 0
         kinds = np.bincount(group[new_c])  # different stretches, and a mark
-        group = group[stay]
-        split = marked[group] | (r["hot"][stay] == 1) | (kinds[group] > HOT)
-        wanted = (kinds[group] > 1) | split
-        stay, split, salts = stay[wanted], split[wanted], np.maximum(SALTS, -(-kinds[group[wanted]] // HOT))
-        salt = np.where(split, (r["c"][stay] >> np.uint64(8)).astype(np.int64) % salts, 0)
-        both = np.concatenate([gone, stay])
-        kind = np.concatenate([np.full(len(gone), REMOVE), np.where(split, SPLIT, CANDIDATE)]).astype(np.int32)
-        salt = np.concatenate([np.zeros(len(gone), np.int64), salt]).astype(np.int32)
+        rows = np.bincount(group)
+        copy = real & (r["id"] > r["id"][head])
+        copied = np.zeros(len(r), bool)
+        copied[head[copy]] = True
+        split = marked[group] | (r["hot"] == 1) | (kinds[group] > HOT)
+        stay = np.flatnonzero(real & ~copy & ((kinds[group] > 1) | split | copied[head]))
+        salts = np.maximum(SALTS, -(-kinds[group] // HOT))
+        salt = np.where(split, (r["c"] >> np.uint64(8)).astype(np.int64) % salts, 0)
+        # copies meet the first of their kind: in its block, or where the anchor is crowded in blocks of their own to which it goes too
+        late = np.flatnonzero(copy)
+        crowded = rows[group[late]] > HOT
+        far = late[crowded]
+        again = np.zeros(0, np.int64)
+        if len(far):
+            new = np.concatenate([[True], head[far][1:] != head[far][:-1]])
+            at = np.arange(len(far)) - np.maximum.accumulate(np.where(new, np.arange(len(far)), 0))
+            chunk = np.cumsum(new | (at % HOT == 0)) - 1
+            salt[far] = COPIES + chunk
+            again = head[far[np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]]))]]
+        both = np.concatenate([stay, late, again])
+        kind = np.concatenate([np.where(split[stay], SPLIT, CANDIDATE), np.full(len(late) + len(again), CANDIDATE)]).astype(np.int32)
+        salt = np.concatenate([salt[stay], salt[late], COPIES + np.arange(len(again))]).astype(np.int32)
         for lo in range(0, len(both), 100_000):
             x = both[lo : lo + 100_000]
             s = r["s"][x].astype(np.int32)
             yield _columns(SPAN_COLS, r["id"][x], th[x], s, s + r["n"][x].astype(np.int32) + np.int32(least), r["a"][x].astype(np.int64), kind[lo : lo + 100_000], salt[lo : lo + 100_000])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            blobs = batch.column(1)
+            for at, b in zip(batch.column(0).to_pylist(), blobs.to_pylist(), strict=True):
+                if b is not None:
+                    if held and at != now:
+                        yield from bucket(held)
+                        held = []
+                    now = at
+                    held.append(b)
+            if blobs.null_count:
+                yield pa.RecordBatch.from_arrays(pa.Table.from_batches([batch]).filter(blobs.is_null()).select(SPAN_COLS).combine_chunks().to_batches()[0].columns, SPAN_COLS)
+        if held:
+            yield from bucket(held)
+
     return run
 
 
 STRETCH = "id long, th long, s int, a long, kind int, salt int, stretch binary"
 
 
-def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut_out(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The bytes of each stretch that is asked for, by one gather over the texts of a few documents."""
     for batch in batches:
-        for lo in range(0, batch.num_rows, 500):
-            part = batch.slice(lo, 500)
-            cols: list[list] = [[] for _ in range(7)]
-            for i, t, x, at in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts(part.column(2)), part.column(3).to_pylist(), strict=True):
-                for p in at:
-                    for c, v in zip(cols, (i, t, p["s"], p["a"], p["kind"], p["salt"], x[p["s"] : p["e"]]), strict=True):
-                        c.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["id", "th", "s", "a", "kind", "salt", "stretch"])
+        for lo in range(0, batch.num_rows, 200):
+            part = batch.slice(lo, 200)
+            raw = texts(part.column(2))
+            text = np.frombuffer(b"".join(raw), np.uint8)
+            base = np.cumsum([0, *map(len, raw)])[:-1]
+            at = part.column(3)
+            row = np.repeat(np.arange(part.num_rows), np.diff(at.offsets.to_numpy()))
+            s, e, a, kind, salt = (at.flatten().field(k).to_numpy() for k in ("s", "e", "a", "kind", "salt"))
+            ids, ths = part.column(0).to_numpy(), part.column(1).to_numpy()
+            size, start = (e - s).astype(np.int64), base[row] + s
+            ends = np.cumsum(size)
+            i = 0
+            while i < len(size):
+                j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most)))
+                n = size[i:j]
+                offsets = np.concatenate([[0], np.cumsum(n)])
+                data = text[np.repeat(start[i:j] - offsets[:-1], n) + np.arange(offsets[-1])]
+                binary = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row[i:j]]), pa.array(ths[row[i:j]]), pa.array(s[i:j]), pa.array(a[i:j]), pa.array(kind[i:j]), pa.array(salt[i:j]), binary], ["id", "th", "s", "a", "kind", "salt", "stretch"])
+                i = j
 
 
 FOUND = "id long, th long, s int, e int, w1 long, w2 long"
 
 
-def block_repeats(stretches: list[bytes], ids: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """By one suffix array over the stretches: for each window (stretch number, offset) whether it also starts in one with a smaller id, and its key hash."""
+def block_repeats(stretches: list[bytes], ids: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By one suffix array over the stretches: for each window (stretch number, offset) the smallest id of those in which it also starts."""
     sizes = np.array([len(x) for x in stretches], np.int64)
     t = np.frombuffer(b"\0".join(stretches) + b"\0", np.uint8)
     starts = np.cumsum(sizes + 1) - sizes - 1
@@ -315,48 +379,72 @@ def block_repeats(stretches: list[bytes], ids: np.ndarray, least: int) -> tuple[
     within = np.arange(len(t)) - starts[owner]
     sa = sa[within[sa] + least <= sizes[owner[sa]]]
     if not len(sa):
-        z = np.zeros(0, np.int64)
-        return z, z, z.astype(bool), z
+        return (np.zeros(0, np.int64),) * 3
     prefix = common_prefixes(key, sa, least)
-    new = np.flatnonzero(prefix < least)
-    low = np.minimum.reduceat(ids[owner[sa]], new)
-    group = np.cumsum(prefix < least) - 1
-    return owner[sa], within[sa], ids[owner[sa]] > low[group], sa
+    low = np.minimum.reduceat(ids[owner[sa]], np.flatnonzero(prefix < least))
+    return owner[sa], within[sa], low[np.cumsum(prefix < least) - 1]
 
 
 def _sort_blocks(least: int):
-    """Stretches of one partition, block by block; an anchor that is not dealt out lies in one block whole."""
-
-    def block(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        ids = np.array([r[0] for r in rows], np.int64)
-        own, off, gone, _ = block_repeats([r[6] for r in rows], ids, least)
-        ths, s = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
-        names = ["id", "th", "s", "e", "w1", "w2"]
-        d, lo, hi = _merge(own[gone], s[own[gone]] + off[gone], s[own[gone]] + off[gone] + least)
+    """Stretches of one partition, block by block; an anchor that is not dealt out lies in one block whole. Equal stretches (by their bytes) are sorted once, with the smallest id."""
+    names = ["id", "th", "s", "e", "w1", "w2"]
+
+    def block(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        ids, ths, s, kind = (t.column(k).to_numpy().astype(np.int64) for k in ("id", "th", "s", "kind"))
+        raw = t.column("stretch").to_pylist()
+        number: dict[bytes, int] = {}
+        of = np.array([number.setdefault(x, len(number)) for x in raw], np.int64)
+        different = list(number)
+        least_id = np.full(len(different), NO_DOC)
+        np.minimum.at(least_id, of, ids)
+        own, off, low = block_repeats(different, least_id, least)
+        # every window of a copy is a window of the first of its kind, which has a smaller id
+        copy = ids > least_id[of]
+        later = np.flatnonzero(copy)
+        size = np.array([len(x) for x in different], np.int64)[of]
+        # windows of the first ones, for each row that holds them
+        first = np.flatnonzero(~copy)
+        first = first[np.argsort(of[first], kind="stable")]
+        count = np.bincount(of[first], minlength=len(different))
+        begin = np.cumsum(count) - count
+        window = np.repeat(np.arange(len(own)), count[own])
+        row = first[begin[own[window]] + np.arange(len(window)) - np.repeat(np.cumsum(count[own]) - count[own], count[own])]
+        gone = ids[row] > low[window]
+        place = s[row] + off[window]
+        d, lo, hi = _merge(np.concatenate([row[gone], later]), np.concatenate([place[gone], s[later]]), np.concatenate([place[gone] + least, s[later] + size[later]]))
         if len(d):
             null = pa.nulls(len(d), pa.int64())
             yield _columns(names, ids[d], ths[d], lo.astype(np.int32), hi.astype(np.int32), null, null)
-        split = np.array([r[4] == SPLIT for r in rows])
-        rest = np.flatnonzero(split[own] & ~gone) if len(own) else np.zeros(0, np.int64)
+        rest = np.flatnonzero((kind[row] == SPLIT) & ~gone)
         for at in range(0, len(rest), 50_000):
             x = rest[at : at + 50_000]
-            digest = [hashlib.blake2b(rows[o][6][f : f + least], digest_size=16).digest() for o, f in zip(own[x].tolist(), off[x].tolist(), strict=True)]
+            digest = [hashlib.blake2b(raw[o][f : f + least], digest_size=16).digest() for o, f in zip(row[x].tolist(), off[window[x]].tolist(), strict=True)]
             w = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
-            p = s[own[x]] + off[x]
-            yield _columns(names, ids[own[x]], ths[own[x]], p.astype(np.int32), (p + least).astype(np.int32), w[:, 0], w[:, 1])
+            p = place[x]
+            yield _columns(names, ids[row[x]], ths[row[x]], p.astype(np.int32), (p + least).astype(np.int32), w[:, 0], w[:, 1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size, last = [], 0, None
+        held, size, last = [], 0, None
         for batch in batches:
-            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size >= BLOCK and (r[3], r[5]) != last:
-                    yield from block(rows)
-                    rows, size = [], 0
-                last = (r[3], r[5])
-                rows.append(r)
-                size += len(r[6]) + 1
-        if rows:
-            yield from block(rows)
+            a, salt = batch.column(3).to_numpy(), batch.column(5).to_numpy()
+            ends = np.cumsum(pc.binary_length(batch.column(6)).to_numpy().astype(np.int64) + 1)
+            new = np.flatnonzero(np.concatenate([[last is not None and (int(a[0]), int(salt[0])) != last], (a[1:] != a[:-1]) | (salt[1:] != salt[:-1])])) if len(a) else np.zeros(0, np.int64)
+            done = 0
+            for cut_at in new.tolist():
+                if size + int(ends[cut_at - 1] if cut_at else 0) - int(ends[done - 1] if done else 0) >= BLOCK:
+                    if cut_at > done:
+                        held.append(batch.slice(done, cut_at - done))
+                    if held:
+                        yield from block(held)
+                    held, size, done = [], 0, cut_at
+            if len(a):
+                if done < len(a):
+                    held.append(batch.slice(done))
+                    size += int(ends[-1]) - int(ends[done - 1] if done else 0)
+                last = (int(a[-1]), int(salt[-1]))
+        if held:
+            yield from block(held)
 
     return run
 
@@ -364,15 +452,15 @@ def _sort_blocks(least: int):
 def repeated_spans(docs: DataFrame, least: int = 50, k: int = 20) -> DataFrame:
     """Stretches (``id, th, s, e``) of each document that lie in ``least``-byte strings which also start in a document with a smaller id.
 
-    1. Every window of ``least`` bytes belongs to an anchor, the smallest hash of its k-byte substrings; windows of one anchor make a stretch. Packed
-    anchors are dealt by a hash. 2. A stretch that is whole in a smaller document is decided at once (exact copies, the inside of near
-    copies). 3. Anchors that occur with different stretches go, one copy of each, to blocks whose suffix array (two-stage sorting) and
-    adjacent common prefixes tell which windows recur. 4. Anchors with very many stretches are dealt over many blocks; the
+    1. Every window of ``least`` bytes belongs to an anchor, the smallest hash of its k-byte substrings; windows of one anchor make a stretch. Stretches that repeat within a batch of documents are
+    compared byte by byte and stay with the smallest document. Packed anchors are dealt by a hash. 2. Anchors that occur in several documents, or with different stretches, send their stretches to blocks. 3. Each
+    block compares its stretches by their bytes; the different ones make a suffix array (two-stage sorting), whose adjacent common prefixes tell in which
+    documents each window recurs. 4. Copies of one stretch beyond HOT go to blocks of their own, each with the first of them. Anchors with very many different stretches are dealt over many blocks; the
     smallest id of their windows is then found by a grouped minimum over 128-bit digests.
     """
     spark = docs.sparkSession
-    n = 2 * partitions(spark)  # a task holds its whole partition of anchors
-    packed = docs.mapInArrow(tidy(_collect(least, k, 4 * n)), f"bucket int, blob binary, {SPAN}").repartition(n, "bucket")
+    n = 2 * partitions(spark)  # a task holds one bucket of anchors, a quarter of its partition
+    packed = docs.mapInArrow(tidy(_collect(least, k, 4 * n)), f"bucket int, blob binary, {SPAN}").repartition(n, "bucket").sortWithinPartitions("bucket")
     spans = cut(packed.mapInArrow(tidy(_decide(least)), SPAN))
     asked = spans.where(F.col("kind") != REMOVE).groupBy("id", "th").agg(F.collect_list(F.struct("s", "e", "a", "kind", "salt")).alias("at"))
     stretches = docs.join(asked.hint("shuffle_hash"), ["id", "th"]).select("id", "th", "text", "at").mapInArrow(tidy(_cut_out), STRETCH)

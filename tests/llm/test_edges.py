@@ -494,11 +494,14 @@ def test_suffix_edges(spark, docs, empty):
     assert suffixes.remove_repeats(empty).count() == 0
 
 
-@pytest.mark.parametrize("hot", [False, True])
-def test_suffix_against_brute_force(spark, hot):
-    """Passages of many lengths, low-entropy texts and one line that nearly all documents share."""
+@pytest.mark.parametrize("hot,small", [(False, False), (True, False), (False, True), (True, True)])
+def test_suffix_against_brute_force(spark, hot, small, monkeypatch):
+    """Passages of many lengths, low-entropy texts and one line that nearly all documents share; with small batches of mixed lengths and few places for copies, also in crowded anchors."""
     import random
 
+    if small:
+        for name, value in (("BATCH", 400), ("HOT", 3), ("HOT_IN_BATCH", 2), ("BLOCK", 2000), ("SALTS", 4)):
+            monkeypatch.setattr(suffixes, name, value)
     rng = random.Random(11)
     letters = "abcdefghij é"
     text = lambda n: "".join(rng.choice(letters) for _ in range(n))
@@ -517,6 +520,26 @@ def test_suffix_against_brute_force(spark, hot):
     assert repeats(df) == brute_repeats(rows)
 
 
+def test_anchors_in_pieces(monkeypatch):
+    """A text longer than the places of a hash is taken in pieces: each window has one anchor still, and equal windows have equal ones in any batch."""
+    rng = np.random.default_rng(0)
+    t = rng.integers(97, 101, 5000).astype(np.uint8)
+    t[3000:3600] = t[200:800]
+    ends = np.array([1500, 1500, 1530, 5000])
+    monkeypatch.setattr(suffixes, "PLACE_BITS", 10)
+    got = [x.tolist() for x in suffixes.anchors(t, ends, 50, 20)]
+    of = {w: (a, w) for a, _, f, e in zip(*got, strict=True) for w in range(f, e + 1)}
+    assert len(of) == sum(e - f + 1 for _, _, f, e in zip(*got, strict=True)) == 1451 + 3421
+    assert all(of[3000 + i][0] == of[200 + i][0] for i in range(551))
+    alone = [x.tolist() for x in suffixes.anchors(t[200:800], np.array([600]), 50, 20)]
+    assert all(of[200 + w][0] == a for a, _, f, e in zip(*alone, strict=True) for w in range(f, e + 1))
+
+
+def test_equal_bytes():
+    t = np.frombuffer(b"abcabdabc", np.uint8)
+    assert suffixes.equal_bytes(t, np.array([0, 0, 3]), np.array([3, 6, 6]), np.array([2, 3, 3]), most=1).tolist() == [True, True, False]
+
+
 def test_two_stage_sort():
     import random
 
