@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm.common import small_batches, table, texts, tidy
+from brindle.llm.license_texts import TEMPLATES
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 IS_WORD = np.array([i >= 128 or chr(i).isascii() and chr(i).isalnum() for i in range(256)])
@@ -20,33 +21,16 @@ LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 # The three base phrases and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-# Public license notices as templates. <<o>>...<</o>> may be left out, <<v N>> stands for up to N words of any kind,
-# <<a|b>> for one of several wordings; all other words are mandatory.
-TEMPLATES = {
-    "mit": [
-        "<<released|licensed|distributed|available>> under <<o>>the terms of<</o>> the mit license",
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice <<o>>including the next paragraph<</o>> shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall <<v 8>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
-    ],
-    "apache-2": ["<<o>>this work is<</o>> licensed under the apache license version 2 <<o>>0<</o>>"],
-    "cc-by-nc": ["licensed under <<o>>a<</o>> <<cc|creative commons>> <<by nc|attribution noncommercial|attribution non commercial>> <<v 1>> <<o>>0<</o>>"],
-    "gpl-3": [
-        "licensed under the <<o>>terms of the<</o>> gnu general public license version 3",
-        "free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or <<o>>at your option<</o>> any later version",
-    ],
-    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
-    "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"],
-}
-
-
 @dataclass
 class Automaton:
-    """States 0..n over tokens: ``step[s]`` maps a word to next states, ``free[s]`` to next states on any word, ``skip[s]`` needs no word."""
+    """States 0..n over tokens: ``step[s]`` maps a word to next states, ``free[s]`` to next states on any word, ``skip[s]`` needs no word. ``anchor``
+    is a mandatory word, null if there is none."""
 
     step: list[dict[bytes, list[int]]]
     free: list[list[int]]
     skip: list[list[int]]
     last: int
-    anchor: bytes
+    anchor: bytes | None
     size: int
 
     def close(self, states: set[int]) -> set[int]:
@@ -76,8 +60,12 @@ class Automaton:
         return end
 
 
+def template_words(text: str) -> list[bytes]:
+    return WORD.findall(text.encode().translate(LOWER))
+
+
 def compile_template(text: str) -> Automaton:
-    """Token automaton of a template with optional (``<<o>>``), replaceable (``<<v N>>``) and alternative (``<<a|b>>``) regions."""
+    """Token automaton of a template with optional (``<<o>>``), replaceable (``<<v N>>``) and alternative (``<<a|b>>``) regions. Its words are taken like those of a text."""
     step: list[dict] = [{}]
     free: list[list[int]] = [[]]
     skip: list[list[int]] = [[]]
@@ -91,9 +79,9 @@ def compile_template(text: str) -> Automaton:
         return len(step) - 1
 
     def words(start: int, run: str) -> int:
-        for w in run.split():
+        for w in template_words(run):
             new = state()
-            step[start].setdefault(w.encode(), []).append(new)
+            step[start].setdefault(w, []).append(new)
             start = new
         return start
 
@@ -119,13 +107,14 @@ def compile_template(text: str) -> Automaton:
             at = state()
             for e in ends:
                 skip[e].append(at)
-            size += max(len(a.split()) for a in part[2:-2].split("|"))
+            size += max(len(template_words(a)) for a in part[2:-2].split("|"))
         else:
             at = words(at, part)
-            size += len(part.split())
+            own = template_words(part)
+            size += len(own)
             if not opened:
-                fixed += [w.encode() for w in part.split()]
-    return Automaton(step, free, skip, at, max(fixed, key=len), size)
+                fixed += own
+    return Automaton(step, free, skip, at, max(fixed, key=len, default=None), size)
 
 
 class Scanner:
@@ -134,11 +123,11 @@ class Scanner:
     def __init__(self, phrases: dict[str, str], templates: dict[str, list[str]]):
         self.base = [(compile_template(p), label) for p, label in phrases.items()]
         self.more = [(compile_template(t), label) for label, ts in templates.items() for t in ts]
-        anchors = sorted({a.anchor for a, _ in self.base + self.more})
-        self.hint = re.compile(b"|".join(map(re.escape, anchors)))
+        self.anchors = sorted({a.anchor for a, _ in self.base + self.more if a.anchor})
+        self.always = any(a.anchor is None for a, _ in self.base + self.more)
 
     def scan(self, low: bytes) -> tuple[int, int | None, int | None, str, str, float, list]:
-        if not self.hint.search(low):
+        if not self.always and not any(a in low for a in self.anchors):
             return 0, None, None, "", "", 0.0, []
         found = list(WORD.finditer(low))
         words = [m.group() for m in found]
@@ -147,7 +136,7 @@ class Scanner:
             where.setdefault(w, []).append(i)
 
         def runs(auto: Automaton) -> Iterator[tuple[int, int]]:
-            if auto.anchor in where:
+            if auto.anchor is None or auto.anchor in where:
                 starts = set()
                 for s in auto.close({0}):
                     for w in auto.step[s]:
@@ -194,7 +183,7 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None, templa
     """
     small_batches(docs.sparkSession)
     phrases = PHRASES if phrases is None else phrases
-    templates = TEMPLATES if templates is None else templates
+    templates = TEMPLATES if templates is None else templates  # label: templates, see license_texts
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,start:long,stop:long>>"
     span = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("stop", pa.int64())]))
 
