@@ -68,6 +68,13 @@ def small_batches(spark: SparkSession, most: int = 8 * MB) -> None:
         spark.conf.set(name, str(most))
 
 
+def steady_scans(spark: SparkSession) -> None:
+    """From now on the session cuts files into the same scan partitions, whatever executors come or go, so that a table read twice is numbered alike."""
+    name = "spark.sql.files.minPartitionNum"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(max(1, spark.sparkContext.defaultParallelism)))
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import crc_fold, cut, mix, partitions, small_batches, table, texts, tidy
+from brindle.llm.common import crc_fold, cut, mix, partitions, small_batches, steady_scans, table, texts, tidy
 from brindle.llm.licenses import LOWER
 
-#: Share of all tokens from which a word's counts are broadcast; bytes of text in a group of documents; bins of the EM.
-FREQUENT, GROUP, BINS = 2e-5, 8 << 20, 48
+#: Share of all tokens from which a word's counts are broadcast; bytes of text in a group of documents; bins of the EM's table and the ratio of their limits.
+FREQUENT, GROUP, BINS, RATIO = 2e-5, 8 << 20, 512, 1.1
 END = b"\n"  # white space: no token of a text
 ODD, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x5851F42D4C957F2D)
 WORDS, PAIRS, COUNTS, TOKENS = 1, 2, 3, 0
@@ -226,47 +226,40 @@ def _ask(held, buckets: int):
 
 
 def level(p: np.ndarray) -> np.ndarray:
-    """Bin of a probability: 0 for none, else by its logarithm to base 1.6."""
+    """Bin of a probability: 0 for none, else by its logarithm to base RATIO."""
     out = np.zeros(len(p), np.int64)
     some = p > 0
-    out[some] = np.clip(np.floor(np.log(p[some]) / np.log(1.6)).astype(np.int64) + BINS - 1, 1, BINS - 1)
+    out[some] = np.clip(np.floor(np.log(p[some]) / np.log(RATIO)).astype(np.int64) + BINS - 1, 1, BINS - 1)
     return out
 
 
-def middle(b: np.ndarray) -> np.ndarray:
-    return np.where(b == 0, 0.0, 1.6 ** (b - BINS + 1.5))
-
-
 def context_bucket(n: np.ndarray) -> np.ndarray:
     """0 for a predecessor that was never seen, else by the logarithm of its count."""
     return np.where(n > 0, np.minimum(np.log2(np.maximum(n, 1)).astype(np.int64) + 1, 41), 0)
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts to the groups that asked; to the held-out groups also the held-out counts."""
-    known: dict[int, list] = {}
-    words, pairs = [], []
-    for batch in batches:
-        for g, kind, b, tag, blob, n, dev in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if kind == COUNTS:
-                known.setdefault(b, []).append((np.frombuffer(blob, np.uint64), np.frombuffer(n, np.int64), np.frombuffer(dev, np.int64)))
-            elif kind == WORDS:
-                words.append((g, b, tag, unpacked_keys(blob)[0]))
-            else:
+    """Counts to the groups that asked, bucket by bucket; to the held-out groups also the held-out counts."""
+
+    def answers(rows: list[tuple]) -> Iterator[tuple]:
+        known = [(np.frombuffer(blob, np.uint64), np.frombuffer(n, np.int64), np.frombuffer(dev, np.int64)) for _, kind, _, _, blob, n, dev in rows if kind == COUNTS]
+        for g, kind, b, tag, blob, _, _ in rows:
+            if kind == WORDS:
+                h = unpacked_keys(blob)[0]
+                n, dev = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+                for kh, kn, kd in known:
+                    at = np.searchsorted(kh, h)
+                    at[at == len(kh)] = 0
+                    n += np.where(kh[at] == h, kn[at], 0)
+                    dev += np.where(kh[at] == h, kd[at], 0)
+                yield g, WORDS, b, tag, packed_counts(n)
+                if g & 1:
+                    yield g, WORDS + HELD, b, tag, packed_counts(dev)
+        pairs = []
+        for g, kind, b, tag, blob, _, _ in rows:
+            if kind == PAIRS:
                 h, at = unpacked_keys(blob)
                 pairs.append((g, b, tag, h, unpacked_counts(blob[at:])))
-
-    def answers() -> Iterator[tuple]:
-        for g, b, tag, h in words:
-            n, dev = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
-            for kh, kn, kd in known.get(b, []):
-                at = np.searchsorted(kh, h)
-                at[at == len(kh)] = 0
-                n += np.where(kh[at] == h, kn[at], 0)
-                dev += np.where(kh[at] == h, kd[at], 0)
-            yield g, WORDS, b, tag, packed_counts(n)
-            if g & 1:
-                yield g, WORDS + HELD, b, tag, packed_counts(dev)
         if not pairs:
             return
         _, inv = np.unique(np.concatenate([p[3] for p in pairs]), return_inverse=True)
@@ -282,8 +275,19 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield g, PAIRS + HELD, b, tag, packed_counts(dev[place])
             at += len(h)
 
+    def buckets() -> Iterator[tuple]:
+        held: list[tuple] = []
+        for batch in batches:
+            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and r[2] != held[0][2]:
+                    yield from answers(held)
+                    held = []
+                held.append(r)
+        if held:
+            yield from answers(held)
+
     rows, size = [], 0
-    for r in answers():
+    for r in buckets():
         rows.append(r)
         size += len(r[4])
         if size > 1 << 20 or len(rows) >= 5000:
@@ -307,42 +311,27 @@ def unpacked_counts(blob: bytes) -> np.ndarray:
     return n
 
 
-def expectation_maximisation(cells: list[tuple[int, float]], rare: list[tuple[float, float]], v: Vocabulary, rounds: int = 200) -> np.ndarray:
-    """Weights (pair, word, uniform) of each context bucket, by EM on held-out counts.
-
-    ``cells``: (cell, held-out count). ``rare``: (count in the fitted part, held-out count) of words of which a cell tells only that they are rare; cells with whole counts need none.
-    """
-    fit_tokens = max(1, v.tokens - v.dev_tokens)
-    uniform = 1 / (v.words + 1)
-    rare_total = max(1.0, v.totals(True)[v.rare])
-    share = sum(w for _, w in rare) or 1.0
-    by: dict[int, list] = {}
-    for cell, weight in cells:
-        rest, i1 = divmod(cell, BINS + 1)
-        bucket, i2 = divmod(rest, BINS)
-        p2 = float(middle(np.array([i2]))[0])
-        if i1 < BINS:
-            by.setdefault(bucket, []).append((p2, float(middle(np.array([i1]))[0]), weight))
-        else:
-            by.setdefault(bucket, []).extend((p2 * c / rare_total, c / fit_tokens, weight * w / share) for c, w in rare)
+def expectation_maximisation(bucket: np.ndarray, pair: np.ndarray, word: np.ndarray, count: np.ndarray, uniform: float, rounds: int = 200) -> np.ndarray:
+    """Weights (pair, word, uniform) of each context bucket, by EM on held-out counts: ``count`` held-out tokens whose estimates from the fitted part are ``pair`` and ``word``."""
     out = np.tile(np.array([0.6, 0.3, 0.1]), (64, 1))
-    learned = sorted(by)
+    learned = sorted(set(bucket.tolist()))
     for b in learned:
-        m = np.array(by[b])
-        p = np.column_stack([m[:, 0], m[:, 1], np.full(len(m), uniform)])
+        own = bucket == b
+        p = np.column_stack([pair[own], word[own], np.full(own.sum(), uniform)])
+        n = count[own].astype(float)
         lam = out[b].copy()
         for _ in range(rounds):
             mixed = p * lam
             mixed /= mixed.sum(1, keepdims=True)
-            new = (mixed * m[:, 2:3]).sum(0) / m[:, 2].sum()
-            new = np.maximum(new, 1e-6)
+            new = np.maximum((mixed * n[:, None]).sum(0) / n.sum(), 1e-6)
             new /= new.sum()
-            if np.abs(new - lam).max() < 1e-7:
-                break
+            done = np.abs(new - lam).max() < 1e-7
             lam = new
+            if done:
+                break
         out[b] = lam
     for b in range(64):  # a bucket without held-out counts takes the nearest one's weights
-        if learned and b not in by:
+        if learned and b not in learned:
             out[b] = out[min(learned, key=lambda x: (abs(x - b), x))]
     return out
 
@@ -432,8 +421,11 @@ def _each(one):
     return run
 
 
+CELLS = "cell long, w long, pair double, word double"
+
+
 def _cells(held):
-    """Cells of the EM from held-out groups: context bucket, bins of the pair's and the word's probability, held-out count."""
+    """Table of the EM from held-out groups: held-out tokens with like contexts and estimates, their number and the sums of their estimates."""
 
     def one(tokens: tuple, answers: list[tuple]) -> pa.RecordBatch:
         v: Vocabulary = held.value
@@ -441,8 +433,8 @@ def _cells(held):
         total = x.count[x.before]
         p2 = x.count2[x.inv] / np.maximum(total, 1)
         p1 = x.count[x.number] / max(1, v.tokens - v.dev_tokens)
-        c, n = np.unique((context_bucket(total) * BINS + level(p2)) * (BINS + 1) + level(p1), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(n, pa.int64())], ["cell", "w"])
+        c, at, n = np.unique((context_bucket(total) * BINS + level(p2)) * BINS + level(p1), return_inverse=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(n, pa.int64()), pa.array(np.bincount(at, weights=p2)), pa.array(np.bincount(at, weights=p1))], ["cell", "w", "pair", "word"])
 
     return _each(one)
 
@@ -473,7 +465,8 @@ def score_texts(docs: DataFrame, fold: F.Column, id_col: str = "doc_id", text_co
 
     The model mixes three maximum-likelihood estimates: of the word after its predecessor, of the word alone, and the uniform one over
     the training words and one more. Every word is a predecessor and a successor of its own, however rare. The weights depend on a bucket of the predecessor's own count and are learned by
-    expectation-maximisation on the training documents with fold 0, with counts of the other training documents; the final counts are
+    expectation-maximisation on the training documents with fold 0, whose estimates come from the counts of the other training documents; held-out tokens of one bucket whose
+    estimates differ by less than RATIO share a row of its table, with their mean estimates. The final counts are
     those of all training documents (fold neither 1 nor null).
 
     All counts cover all documents. Documents go in groups of about GROUP bytes; a group asks for the counts of its distinct rare words
@@ -486,6 +479,7 @@ def score_texts(docs: DataFrame, fold: F.Column, id_col: str = "doc_id", text_co
     """
     spark = docs.sparkSession
     small_batches(spark)
+    steady_scans(spark)
     n = partitions(spark)
     buckets = 4 * n
     src = docs.select(F.col(id_col).cast("long").alias("id"), fold.cast("int").alias("fold"), F.col(text_col).cast("string").alias("text"))
@@ -510,15 +504,17 @@ def score_texts(docs: DataFrame, fold: F.Column, id_col: str = "doc_id", text_co
     held = spark.sparkContext.broadcast(v)
     asked = src.mapInArrow(tidy(_ask(held, buckets)), ROW).withColumn("n", F.lit(None).cast("binary")).withColumn("dev", F.lit(None).cast("binary"))
     owned = counts.select(F.lit(0).cast("long").alias("g"), F.lit(COUNTS).alias("kind"), "bucket", F.lit(0).cast("long").alias("tag"), F.col("hashes").alias("blob"), "n", "dev")
-    answers = cut(asked.unionByName(owned).repartition(n, "bucket").mapInArrow(tidy(_answer), ROW))
+    answers = cut(asked.unionByName(owned).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_answer), ROW))
 
     def together(own: DataFrame, told: DataFrame) -> DataFrame:
         # the scan comes first in a union: a group's number holds the number of its scan partition
         return own.mapInArrow(tidy(_tokens(held)), ROW).unionByName(told).repartition(n, "g").sortWithinPartitions("g")
 
-    dev = together(src.where("fold = 0"), answers.where("g % 2 = 1")).mapInArrow(tidy(_cells(held)), "cell long, w long")
-    cells = [(r["cell"], float(r["w"])) for r in dev.groupBy("cell").agg(F.sum("w").alias("w")).orderBy("cell").collect()]
-    weights = spark.sparkContext.broadcast(expectation_maximisation(cells, [], v))
+    dev = together(src.where("fold = 0"), answers.where("g % 2 = 1")).mapInArrow(tidy(_cells(held)), CELLS)
+    cells = dev.groupBy("cell").agg(F.sum("w").alias("w"), F.sum("pair").alias("pair"), F.sum("word").alias("word")).toPandas().sort_values("cell")
+    cell, w = cells["cell"].to_numpy(np.int64), cells["w"].to_numpy(float)
+    lam = expectation_maximisation(cell // BINS**2, cells["pair"].to_numpy(float) / w, cells["word"].to_numpy(float) / w, w, 1 / (v.words + 1))
+    weights = spark.sparkContext.broadcast(lam)
     return together(src, answers.where(F.col("kind") < HELD)).mapInArrow(tidy(_score(held, weights)), SCORES)
 
 
