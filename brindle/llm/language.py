@@ -30,24 +30,24 @@ def grams_of(word: str, n: int) -> list[str]:
 
 
 class Backoff:
-    """Log frequencies (over documents) of words and of character n-grams by language.
+    """Log frequencies of words and of character n-grams by language.
 
     A known word scores by its own log frequencies. An unseen word falls back to its character 4-grams, then 3-, 2- and
     1-grams: the first length of which a gram is known decides, by the mean of the known ones.
     """
 
-    def __init__(self, langs: list[str], entries: dict[int, dict[str, np.ndarray]], docs: np.ndarray | None = None):
+    def __init__(self, langs: list[str], entries: dict[int, dict[str, np.ndarray]] | None = None):
         self.langs = langs
-        self.tables = {}
-        for kind, rows in entries.items():
-            if rows:
-                counts = np.array(list(rows.values()), np.float64)
-                # a word's share of the language's documents; a gram's share of the language's grams
-                total = docs if kind == 0 and docs is not None else counts.sum(0)
-                logs = np.log((counts + 0.1) / (total + 0.1 * len(rows) * (kind > 0) + 0.2))
-                logs -= logs.mean(1, keepdims=True)
-                self.tables[kind] = (dict(zip(rows, range(len(rows)), strict=True)), logs)
+        self.tables: dict[int, tuple[dict[str, int], np.ndarray]] = {}
         self.unknown = np.zeros(len(langs))
+        for kind, rows in (entries or {}).items():
+            if rows:
+                self.add(kind, list(rows), np.array(list(rows.values()), np.float64))
+
+    def add(self, kind: int, keys: list[str], counts: np.ndarray) -> None:
+        """Words (kind 0) or n-grams (kind n) with their counts, a column a language; what is equally frequent in all languages says nothing."""
+        logs = np.log((counts + 0.1) / (counts.sum(0) + 0.1 * len(keys)))
+        self.tables[kind] = (dict(zip(keys, range(len(keys)), strict=True)), logs - logs.mean(1, keepdims=True))
 
     def word(self, w: str) -> np.ndarray:
         known = self.tables.get(0)
@@ -80,7 +80,7 @@ class _Rows(dict):
 
 def learn(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", key_col: str = "doc_id", per_lang: int = SAMPLE_PER_LANG) -> Backoff:
     """A model from rows whose label is not null: at most about ``per_lang`` of each language, chosen by a hash of the key (a bounded
-    sample of labelled rows). The model has every gram of the sample and every word of at least 3 of its documents, so that its size follows the sample, not the input."""
+    sample of labelled rows; rows that share a key are chosen together). The model has every word and every gram of the sample with its frequency, in which repeats within a document are damped to the logarithm, so that its size follows the sample, not the input."""
     small_batches(labelled.sparkSession)
     rows = labelled.where(F.col(lang_col).isNotNull())
     count = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col).cast("string")).count().collect()}
@@ -94,31 +94,31 @@ def learn(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, Counter] = {}
-        docs = Counter()
         for batch in batches:
             for lang, raw in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
-                docs[lang] += 1
-                total.setdefault(lang, Counter()).update(set(words_of(raw.decode())))  # once a document: one repetitive text must not outweigh the others
+                own = total.setdefault(lang, Counter())
+                for w, c in Counter(words_of(raw.decode())).items():
+                    own[w] += c.bit_length()  # 1, 2 for two and three, 3 for four to seven: one repetitive text must not outweigh the others
         for lang, words in total.items():
             grams = [words, *(Counter() for _ in range(LONGEST_GRAM))]
             for w, c in words.items():
                 for n in range(1, LONGEST_GRAM + 1):
                     for g in grams_of(w, n):
                         grams[n][g] += c
-            for kind, counts in enumerate([*grams, Counter({"": docs[lang]})]):
-                for lo in range(0, len(counts), 100_000):
-                    part = list(counts.items())[lo : lo + 100_000]
+            for kind, counts in enumerate(grams):
+                rows = list(counts.items())
+                for lo in range(0, len(rows), 100_000):
+                    part = rows[lo : lo + 100_000]
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array([kind] * len(part), pa.int32()), pa.array([p[0] for p in part]), pa.array([p[1] for p in part], pa.int64())], ["lang", "kind", "gram", "n"])
 
-    counts = cut(sample.mapInArrow(tidy(run), "lang string, kind int, gram string, n long").groupBy("kind", "gram", "lang").agg(F.sum("n").alias("n")))
-    whole = counts.groupBy("kind", "gram").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")).where("all >= 3 or kind > 0")
-    seen = {r["lang"]: r["n"] for r in counts.where(F.col("kind") == LONGEST_GRAM + 1).collect()}
-    entries: dict[int, dict[str, np.ndarray]] = {}
-    flat = whole.where(f"kind <= {LONGEST_GRAM}").select("kind", "gram", *[F.coalesce(F.element_at("by", k), F.lit(0)).alias(f"n{i}") for i, k in enumerate(langs)]).toPandas()
-    m = flat.iloc[:, 2:].to_numpy(np.float64)
-    for i, (kind, gram) in enumerate(zip(flat["kind"], flat["gram"], strict=True)):
-        entries.setdefault(int(kind), {})[gram] = m[i]
-    return Backoff(langs, entries, np.array([seen.get(k, 0) for k in langs], float))
+    counts = sample.mapInArrow(tidy(run), "lang string, kind int, gram string, n long").groupBy("kind", "gram").agg(*[F.sum(F.when(F.col("lang") == k, F.col("n")).otherwise(0)).alias(f"n{i}") for i, k in enumerate(langs)])
+    counts = cut(counts)
+    model = Backoff(langs)
+    for kind in range(LONGEST_GRAM + 1):
+        own = counts.where(F.col("kind") == kind).drop("kind").toPandas()
+        if len(own):
+            model.add(kind, own["gram"].tolist(), own.iloc[:, 1:].to_numpy(np.float64))
+    return model
 
 
 def score_batch(model: Backoff, memo: _Rows, raw: list[bytes]) -> tuple[list[str], list[float]]:
