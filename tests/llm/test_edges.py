@@ -315,6 +315,66 @@ def test_language_keeps_words_of_small_languages(spark):
     assert set(small) <= set(model.tables[0][0]) and len(model.tables[0][0]) == 61_010
 
 
+def brute_language(rows, asked):
+    """Word-first backoff by plain counts: language and probability of each text."""
+    import re
+    from collections import Counter
+
+    words = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    langs = sorted({la for _, la in rows if la is not None})
+    tables = []
+    for n in range(5):
+        c = {la: Counter() for la in langs}
+        for t, la in rows:
+            if la is not None:
+                for w, k in Counter(words(t)).items():
+                    for g in [w] if n == 0 else [f" {w} "[i : i + n] for i in range(len(w) + 3 - n)]:
+                        c[la][g] += 1 + int(math.log2(k))
+        keys = set().union(*c.values()) if c else set()
+        total = {la: sum(c[la].values()) for la in langs}
+        logs = {k: [math.log((c[la][k] + 0.1) / (total[la] + 0.1 * len(keys))) for la in langs] for k in keys}
+        tables.append({k: [x - sum(v) / len(v) for x in v] for k, v in logs.items()})
+
+    def score(w):
+        if w in tables[0]:
+            return tables[0][w]
+        for n in (4, 3, 2, 1):
+            known = [tables[n][g] for g in [f" {w} "[i : i + n] for i in range(len(w) + 3 - n)] if g in tables[n]]
+            if known:
+                return [sum(x) / len(known) for x in zip(*known, strict=True)]
+        return [0.0] * len(langs)
+
+    out = []
+    for t in asked:
+        w = words(t)
+        if not any(c.isalpha() for x in w for c in x) or not langs:
+            out.append(("und", 0.0))
+            continue
+        mean = [sum(x) / len(w) * min(len(w), 24) for x in zip(*map(score, w), strict=True)]
+        e = [math.exp(x - max(mean)) for x in mean]
+        out.append((langs[e.index(max(e))], max(e) / sum(e)))
+    return out
+
+
+def test_language_against_plain_counts(spark, docs):
+    """All documents of the smallest table and odd texts, learned from two thirds: as plain counts say. Ties go to the language that sorts first; very long texts count whole."""
+    import zlib
+
+    from brindle.llm import catalogue
+    from brindle.llm.common import table
+
+    d = table(spark, SF, "documents").select("doc_id", "text", "lang").collect()
+    want = brute_language([(r.text, r.lang) for r in d if zlib.crc32(str(r.doc_id).encode()) % 3 != 1], [r.text for r in d])
+    got = {r.doc_id: r for r in catalogue.queries()["op5_language"](spark, SF).collect()}
+    for r, (lang, score) in zip(d, want, strict=True):
+        assert (got[r.doc_id].lang_pred, round(got[r.doc_id].score, 4)) == (lang, round(score, 4))
+    rows = [("der die das und", "de"), ("the and of", "en"), ("same", "de"), ("same", "en"), (None, "de"), ("nur", None)]
+    ask = ["same", "und the", "UND die", "12 3", None, "", "the " * 40_000 + "und", "unbekannt", "ß", "andthe"]
+    model = language.learn(spark.createDataFrame([(i, t, la) for i, (t, la) in enumerate(rows)], "doc_id long, text string, lang string"))
+    got = language.identify(spark.createDataFrame(list(enumerate(ask)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert [(r.lang_pred, round(r.score, 4)) for r in got] == [(la, round(s, 4)) for la, s in brute_language(rows, ask)]
+
+
 def test_backoff_reaches_shorter_grams():
     m = language.Backoff(["x", "y"], {0: {"abc": np.array([5, 1]), "def": np.array([5, 9])}, 2: {" q": np.array([1, 9]), "ab": np.array([5, 5])}, 1: {"z": np.array([9, 1]), "a": np.array([5, 9])}})
     assert m.word("abc")[0] > m.word("abc")[1] and m.word("qqq")[1] > m.word("qqq")[0] and m.word("zz")[0] > m.word("zz")[1]
@@ -486,6 +546,30 @@ def test_machine_learns_a_pair():
     assert s[2] > 0 > max(s[:2])
 
 
+def test_toxic_only_in_company(spark):
+    """A word that is as frequent in clean documents as in toxic ones is in the model if it tells in company; with it a pair is found that no sum of weights finds. Scores are those of a plain evaluation."""
+    import random
+
+    rng = random.Random(3)
+    filler = [f"word{i}" for i in range(300)]
+    rows, labels = [], []
+    for i in range(3000):
+        insult = rng.random() < 0.3
+        group = rng.random() < (0.5 if insult else 0.4)
+        rows.append((i, " ".join([*rng.sample(filler, 12), *["dolt"] * insult, *["zorbs"] * group])))
+        toxic = insult and group
+        labels.append((i, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.learn(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    ask = ["dolt " + " ".join(filler[:12]), "zorbs " + " ".join(filler[:12]), "dolt zorbs " + " ".join(filler[:12]), "Dolt, ZORBS!", "", None, "x " * 50_000 + "dolt zorbs"]
+    got = [r.score for r in toxicity.score(spark.createDataFrame(list(enumerate(ask)), "doc_id long, text string"), model).orderBy("doc_id").collect()]
+    assert got[2] > 0.5 > max(got[:2]) and got[3] > 0.5 and got[6] > 0.5 and got[4] == got[5] < 0.5
+    for text, score in zip(ask, got, strict=True):
+        own = sorted({model.at[b] for t in (text or "").split() for b in toxicity.buckets_of(t.encode()) if b in model.at})
+        raw = model.bias + sum(model.weight[i] for i in own) + sum(model.factor[i] @ model.factor[j] for x, i in enumerate(own) for j in own[:x])
+        assert score == pytest.approx(1 / (1 + math.exp(-raw)), abs=1e-9)
+
+
 def brute_repeats(rows, least=50):
     raw = [(i, (t or "").encode()) for i, t in rows]
     seen = {}
