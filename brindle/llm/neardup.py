@@ -188,22 +188,6 @@ def _search(least: int, levels: int, bits: int, threshold: float, target: float)
     return run
 
 
-def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of the members of clusters, which come sorted by cluster and path: neighbours in the trie share a block."""
-    from pyspark import TaskContext
-
-    block = TaskContext.get().partitionId() << 32
-    now, docs, size = None, 0, 0
-    for batch in batches:
-        out = []
-        for cluster, n in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            if now is not None and (cluster != now or docs >= BLOCK_DOCS or size + n > BLOCK_SHINGLES):
-                block, docs, size = block + 1, 0, 0
-            now, docs, size = cluster, docs + 1, size + n
-            out.append(block)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4), pa.array(out, pa.int64())], ["id", "cluster", "copies", "block"])
-
-
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Hashes()
@@ -301,7 +285,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, tar
 
     1. Documents with one set of shingles are a class; its smallest id stands for it. 2. Each class has a path in each tree of a forest, one MinHash value a level. 3. The paths that share their
     shortest prefix with another are sorted tree by tree, where common prefixes of neighbours tell how many texts share each prefix. 4. Each class shortens its prefixes, the
-    uncrowded ones first, until its search finds a pair at the threshold with probability ``target``. A pair is a candidate if either finds the other. 5. Connected candidates make a cluster, sorted by
+    uncrowded ones first, until its search finds a pair at the threshold with probability ``target``. A pair is a candidate if either finds the other. 5. Connected candidates make a cluster, dealt by
     path into blocks; blocks that share a searched prefix (and each with itself) are verified exactly, by products of 0/1 matrices. Links are
     counted there and never written as pairs.
 
@@ -334,13 +318,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, tar
     nodes = cut(own.mapInArrow(tidy(_search(least, levels, bits, threshold, target)), NODES))
     node = ["tree", "depth", "prefix"]
     low = nodes.groupBy(*node).agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max("searches").alias("s")).where("s and low < high").select(*node, "low")
-    met = nodes.join(low, node).where("id > low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
+    # a text links to the smallest of all its prefixes, and that one to the others' smallest, which are few
+    lows = nodes.join(low, node).groupBy("id").agg(F.collect_set("low").alias("lows")).withColumn("b", F.array_min("lows"))
+    met = lows.select(F.col("id").alias("a"), "b").unionByName(lows.select(F.explode("lows").alias("a"), "b").distinct())
     cluster = components(met).select(F.col("v").alias("id"), F.col("component").alias("cluster"))
-    members = cluster.join(classes.select("id", F.col("paths")[0].alias("lead"), "n", "copies"), "id").select("id", "cluster", "lead", "n", "copies")
-    members = cut(members.repartitionByRange(parts, "cluster", "lead", "id").sortWithinPartitions("cluster", "lead", "id").mapInArrow(tidy(_deal), "id long, cluster long, copies long, block long"))
-    many = members.groupBy("cluster").agg(F.min("block").alias("one"), F.max("block").alias("two")).where("one < two").select("cluster")
-    searched = nodes.join(members.join(many, "cluster", "left_semi").select("id", "block"), "id").join(low, node, "left_semi").select(*node, "block").distinct()
-    across = searched.join(searched.withColumnRenamed("block", "b2"), node).where("block < b2").select(F.col("block").alias("b1"), "b2").distinct()
+    # a cluster of several blocks is dealt by the shortest prefix of the first tree, so that likely partners share a block; a crowded prefix over several
+    lead = F.shiftrightunsigned(F.col("paths")[0], PATH_BITS - least * bits).alias("lead")
+    members = cluster.join(classes.select("id", lead, "n", "copies"), "id")
+    groups = members.groupBy("cluster", "lead").agg(F.count("*").alias("docs"), F.sum("n").alias("all"))
+    share = lambda part: F.greatest(F.ceil(F.col("docs") * part / BLOCK_DOCS), F.ceil(F.col("all") * part / BLOCK_SHINGLES))
+    many = groups.groupBy("cluster").agg(F.sum("docs").alias("docs"), F.sum("all").alias("all")).select("cluster", share(1).alias("blocks")).where("blocks > 1")
+    dealt = groups.join(many, "cluster").select("cluster", "lead", "blocks", share(2).alias("salts"))
+    number = F.pmod(F.xxhash64("lead", F.pmod(F.xxhash64("id"), "salts")), "blocks")
+    members = cut(members.join(dealt, ["cluster", "lead"], "left").select("id", "copies", F.col("blocks").isNotNull().alias("large"), F.when(F.col("blocks").isNull(), F.xxhash64("cluster")).otherwise(F.xxhash64("cluster", number)).alias("block")))
+    searched = nodes.join(members.where("large").select("id", "block"), "id").join(low, node, "left_semi").select(*node, "block").distinct()
+    sets = searched.groupBy(*node).agg(F.sort_array(F.collect_set("block")).alias("of")).where(F.size("of") > 1).select("of").distinct()
+    across = sets.select("of", F.explode("of").alias("b1")).select("b1", F.explode("of").alias("b2")).where("b1 < b2").distinct()
     both = cut(across.unionByName(members.select(F.col("block").alias("b1"), F.col("block").alias("b2")).distinct()))
     asked = both.select(F.col("b1").alias("block"), "b1", "b2").unionByName(both.where("b1 < b2").select(F.col("b2").alias("block"), "b1", "b2"))
     with_sets = known.join(members.select("id", "copies", "block").hint("shuffle_hash"), "id").mapInArrow(tidy(_sets(words)), "id long, copies long, block long, shingles binary")
