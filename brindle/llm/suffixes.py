@@ -7,7 +7,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +14,8 @@ from brindle.llm.common import cut, mix, partitions, small_batches, table, texts
 
 #: Bytes of text in one batch, of a suffix-sorted block, and stretches of one anchor that a block takes before the anchor is dealt over several; bits of a place among hashes.
 BATCH, BLOCK, HOT, HOT_IN_BATCH, SALTS, PLACE_BITS = 1 << 20, 1 << 20, 2048, 64, 64, 23
-#: Salts of blocks that hold copies only.
-COPIES = 1 << 20
+#: Salts of blocks that hold copies only; spans that a task holds before it packs them.
+COPIES, MOST_SPANS = 1 << 20, 1 << 20
 NO_DOC = (1 << 63) - 1
 MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _POWERS: list[np.ndarray] = []
@@ -170,9 +169,70 @@ def _merge(doc: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, n
 
 
 ANCHOR = np.dtype([("a", "<u4"), ("c", "<u8"), ("id", "<i8"), ("s", "<u4"), ("n", "u1"), ("hot", "u1")])
-SPAN_COLS = ["id", "th", "s", "e", "a", "kind", "salt"]
-SPAN = "id long, th long, s int, e int, a long, kind int, salt int"
 REMOVE, CANDIDATE, SPLIT = 0, 1, 2
+SPAN = np.dtype([("id", "<i8"), ("th", "<i8"), ("s", "<u4"), ("n", "<u4"), ("a", "<u4"), ("salt", "<i4"), ("kind", "u1")])
+
+
+def pack(rec: np.ndarray, tail: bytes = b"") -> bytes:
+    """Records column by column and what follows them, compressed; columns of zeros are left out."""
+    full = [f for f in rec.dtype.names if rec[f].any()]
+    mask = sum(1 << i for i, f in enumerate(rec.dtype.names) if f in full)
+    blob = b"".join([len(rec).to_bytes(4, "little"), mask.to_bytes(2, "little"), *(np.ascontiguousarray(rec[f]).tobytes() for f in full), tail])
+    return len(blob).to_bytes(4, "little") + pa.compress(blob, codec="zstd", asbytes=True)
+
+
+def unpack(blob: bytes, kind: np.dtype) -> tuple[np.ndarray, bytes]:
+    """The records, and what follows them."""
+    blob = pa.decompress(memoryview(blob)[4:], int.from_bytes(blob[:4], "little"), codec="zstd", asbytes=True)
+    n, mask, at = int.from_bytes(blob[:4], "little"), int.from_bytes(blob[4:6], "little"), 6
+    rec = np.zeros(n, kind)
+    for i, f in enumerate(kind.names):
+        if mask >> i & 1:
+            rec[f] = np.frombuffer(blob, kind[f], n, at)
+            at += n * kind[f].itemsize
+    return rec, blob[at:]
+
+
+def place_of(ids: np.ndarray, ths: np.ndarray, places: int) -> np.ndarray:
+    """Where the documents of these ids and text hashes meet their spans; :func:`placed` says the same in Spark."""
+    return np.mod(np.mod(ids, places) + np.mod(ths, places), places)
+
+
+def placed(places: int) -> F.Column:
+    return F.pmod(F.pmod("id", F.lit(places)) + F.pmod("th", F.lit(places)), F.lit(places)).cast("int")
+
+
+def prime(n: int) -> int:
+    """The smallest prime from n on: ids that ascend by any other step spread evenly over it."""
+    n = max(2, n)
+    while any(n % d == 0 for d in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
+
+
+def dealt(rec: np.ndarray, bucket: np.ndarray, tail=None) -> Iterator[tuple[int, bytes]]:
+    """Records packed by bucket."""
+    order = np.argsort(bucket, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
+        yield int(bucket[part[0]]), pack(rec[part], tail(part) if tail else b"")
+
+
+def blob_rows(rows: Iterator[tuple[int, bytes]], names: tuple[str, str], lead: list[str] | None = None) -> Iterator[pa.RecordBatch]:
+    """Batches of (bucket, blob), after null columns of the names in ``lead``."""
+    held, size = [], 0
+
+    def batch() -> pa.RecordBatch:
+        empty = [pa.nulls(len(held), pa.int32()), pa.nulls(len(held), pa.binary())][: len(lead or [])]
+        return pa.RecordBatch.from_arrays([*empty, pa.array([r[0] for r in held], pa.int32()), pa.array([r[1] for r in held], pa.binary())], [*(lead or []), *names])
+
+    for r in rows:
+        held.append(r)
+        size += len(r[1])
+        if size >= 4 << 20 or len(held) >= 4000:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
 
 
 def _columns(names: list[str], *cols) -> pa.RecordBatch:
@@ -193,7 +253,7 @@ def equal_bytes(text: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray
     return out
 
 
-def _collect(least: int, k: int, buckets: int):
+def _collect(least: int, k: int, buckets: int, places: int):
     """Documents to packed anchors. A stretch that occurs in several documents of a batch, byte for byte, stays with the smallest; the others are decided."""
 
     def one(ids: list[np.ndarray], ths: list[np.ndarray], raw: list[bytes]) -> Iterator[pa.RecordBatch]:
@@ -214,10 +274,10 @@ def _collect(least: int, k: int, buckets: int):
         late[late] = equal_bytes(text, first[order[late]], first[first_of[late]], last[order[late]] - first[order[late]] + least)
         gone = order[late]
         m, s, e = _merge(row[gone], first[gone] - start[gone], last[gone] - start[gone] + least)
-        names = ["bucket", "blob", *SPAN_COLS]
-        if len(m):
-            z = np.zeros(len(m), np.int32)
-            yield _columns(names, (m % buckets).astype(np.int32), pa.nulls(len(m), pa.binary()), doc_id[m], doc_th[m], s.astype(np.int32), e.astype(np.int32), np.zeros(len(m), np.int64), z, z)
+        spans = np.zeros(len(m), SPAN)
+        spans["id"], spans["th"], spans["s"], spans["n"] = doc_id[m], doc_th[m], s, e - s
+        for x in blob_rows(dealt(spans, place_of(spans["id"], spans["th"], places)), ("place", "spans"), ["bucket", "blob"]):
+            yield x.set_column(0, "bucket", x.column(2))  # any task may pass them on
         stay = order[~late]
         stay = stay[np.lexsort((did[stay], c[stay], a[stay]))]
         a32 = (a[stay] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
@@ -243,11 +303,9 @@ def _collect(least: int, k: int, buckets: int):
             r = rec[part]
             # column by column: the shuffle compresses like values that stand together
             blobs.append(b"".join([len(part).to_bytes(4, "little"), b"\0" if plain else b"\1", *(np.ascontiguousarray(r[f]).tobytes() for f in ANCHOR.names), b"" if plain else th[part].tobytes()]))
-        n = len(bs)
-        for lo in range(0, n, 4000):
-            hi = min(n, lo + 4000)
-            zero, null = np.zeros(hi - lo, np.int32), np.zeros(hi - lo, np.int64)
-            yield _columns(names, np.array(bs[lo:hi], np.int32), pa.array(blobs[lo:hi], pa.binary()), null, null, zero, zero, null, zero, zero)
+        for lo in range(0, len(bs), 4000):
+            hi = min(len(bs), lo + 4000)
+            yield _columns(["bucket", "blob", "place", "spans"], np.array(bs[lo:hi], np.int32), pa.array(blobs[lo:hi], pa.binary()), pa.nulls(hi - lo, pa.int32()), pa.nulls(hi - lo, pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, ths, raw, size = [], [], [], 0
@@ -278,10 +336,10 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return rec, np.zeros(n, np.int64) if blob[4] == 0 else np.frombuffer(blob, np.int64, n, at)
 
 
-def _decide(least: int):
+def _decide(least: int, places: int):
     """Anchors bucket by bucket: those in several documents, or with several different stretches, give candidates; a hash only chooses which stretches are compared."""
 
-    def bucket(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def bucket(blobs: list[bytes]) -> np.ndarray:
         got = [_unpack(b) for b in blobs]
         r, th = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
         order = np.lexsort((r["id"], r["c"], r["a"]))
@@ -314,59 +372,111 @@ def _decide(least: int):
         both = np.concatenate([stay, late, again])
         kind = np.concatenate([np.where(split[stay], SPLIT, CANDIDATE), np.full(len(late) + len(again), CANDIDATE)]).astype(np.int32)
         salt = np.concatenate([salt[stay], salt[late], COPIES + np.arange(len(again))]).astype(np.int32)
-        for lo in range(0, len(both), 100_000):
-            x = both[lo : lo + 100_000]
-            s = r["s"][x].astype(np.int32)
-            yield _columns(SPAN_COLS, r["id"][x], th[x], s, s + r["n"][x].astype(np.int32) + np.int32(least), r["a"][x].astype(np.int64), kind[lo : lo + 100_000], salt[lo : lo + 100_000])
+        out = np.zeros(len(both), SPAN)
+        out["id"], out["th"], out["s"], out["n"], out["a"] = r["id"][both], th[both], r["s"][both], r["n"][both].astype(np.uint32) + least, r["a"][both]
+        out["salt"], out["kind"] = salt, kind
+        return out
+
+    def told(spans: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        out = np.concatenate([np.zeros(0, SPAN), *spans])
+        for x in blob_rows(dealt(out, place_of(out["id"], out["th"], places)), ("place", "spans")):
+            yield x.append_column("asked", pa.array([True] * x.num_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        now, held, out = None, [], []
         for batch in batches:
             blobs = batch.column(1)
             for at, b in zip(batch.column(0).to_pylist(), blobs.to_pylist(), strict=True):
                 if b is not None:
                     if held and at != now:
-                        yield from bucket(held)
+                        out.append(bucket(held))
                         held = []
+                        if sum(map(len, out)) > MOST_SPANS:
+                            yield from told(out)
+                            out = []
                     now = at
                     held.append(b)
             if blobs.null_count:
-                yield pa.RecordBatch.from_arrays(pa.Table.from_batches([batch]).filter(blobs.is_null()).select(SPAN_COLS).combine_chunks().to_batches()[0].columns, SPAN_COLS)
+                told_before = pa.Table.from_batches([batch]).filter(blobs.is_null()).select(["place", "spans"]).combine_chunks().to_batches()[0]
+                yield pa.RecordBatch.from_arrays([*told_before.columns, pa.array([False] * told_before.num_rows)], ["place", "spans", "asked"])
         if held:
-            yield from bucket(held)
+            out.append(bucket(held))
+        yield from told(out)
 
     return run
 
 
-STRETCH = "id long, th long, s int, a long, kind int, salt int, stretch binary"
+class Spans:
+    """Spans of the documents of a place, in the order of id and text hash."""
+
+    def __init__(self, blobs: list[bytes]):
+        rec = np.concatenate([np.zeros(0, SPAN), *(unpack(b, SPAN)[0] for b in blobs)])
+        self.rec = rec[np.lexsort((rec["s"], rec["th"], rec["id"]))]
+        ids, ths = self.rec["id"], self.rec["th"]
+        head = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (ths[1:] != ths[:-1])])) if len(ids) else np.zeros(0, np.int64)
+        self.at = dict(zip(zip(ids[head].tolist(), ths[head].tolist(), strict=True), zip(head.tolist(), [*head[1:].tolist(), len(ids)][: len(head)], strict=True), strict=True))
 
+    def of(self, id_: int, th: int) -> tuple[int, int]:
+        return self.at.get((id_, th), (0, 0))
 
-def _cut_out(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The bytes of each stretch that is asked for, by one gather over the texts of a few documents."""
+
+def with_spans(batches: Iterator[pa.RecordBatch], size: int = 200) -> Iterator[tuple[Spans, pa.RecordBatch]]:
+    """Rows sorted by place, spans before documents: the spans of a place with each batch of its documents. The first columns are place, spans (null for documents)."""
+    now, blobs, spans = None, [], None
     for batch in batches:
-        for lo in range(0, batch.num_rows, 200):
-            part = batch.slice(lo, 200)
-            raw = texts(part.column(2))
+        place, empty = batch.column(0).to_numpy(), batch.column(1).is_null().to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero((place[1:] != place[:-1]) | (empty[1:] != empty[:-1])) + 1
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(place)], strict=True):
+            if hi <= lo:
+                continue
+            if place[lo] != now:
+                now, blobs, spans = place[lo], [], None
+            if not empty[lo]:
+                blobs += batch.column(1).slice(lo, hi - lo).to_pylist()
+                continue
+            if spans is None:
+                spans = Spans(blobs)
+            for at in range(lo, hi, size):
+                yield spans, batch.slice(at, min(size, hi - at))
+
+
+STRETCH = np.dtype([("id", "<i8"), ("th", "<i8"), ("s", "<u4"), ("n", "<u4"), ("a", "<u4"), ("salt", "<i4"), ("kind", "u1")])
+
+
+def gathered(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of stretches of ``text``, one after another."""
+    return text[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+
+
+def _cut_out(buckets: int, most: int = 4 << 20):
+    """The bytes of each stretch that is asked for, by one gather over the texts of a few documents, dealt by anchor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for spans, part in with_spans(batches, 2000):
+            raw = texts(part.column(4))
+            ranges = [spans.of(i, t) for i, t in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+            count = np.array([e - s for s, e in ranges])
+            rec = spans.rec[np.concatenate([np.arange(s, e) for s, e in ranges])] if count.any() else spans.rec[:0]
+            base = np.repeat(np.cumsum([0, *map(len, raw)])[:-1], count)
+            wanted = rec["kind"] != REMOVE
+            rec, base = rec[wanted], base[wanted]
             text = np.frombuffer(b"".join(raw), np.uint8)
-            base = np.cumsum([0, *map(len, raw)])[:-1]
-            at = part.column(3)
-            row = np.repeat(np.arange(part.num_rows), np.diff(at.offsets.to_numpy()))
-            s, e, a, kind, salt = (at.flatten().field(k).to_numpy() for k in ("s", "e", "a", "kind", "salt"))
-            ids, ths = part.column(0).to_numpy(), part.column(1).to_numpy()
-            size, start = (e - s).astype(np.int64), base[row] + s
-            ends = np.cumsum(size)
+            ends = np.cumsum(rec["n"].astype(np.int64))
             i = 0
-            while i < len(size):
-                j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most)))
-                n = size[i:j]
-                offsets = np.concatenate([[0], np.cumsum(n)])
-                data = text[np.repeat(start[i:j] - offsets[:-1], n) + np.arange(offsets[-1])]
-                binary = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row[i:j]]), pa.array(ths[row[i:j]]), pa.array(s[i:j]), pa.array(a[i:j]), pa.array(kind[i:j]), pa.array(salt[i:j]), binary], ["id", "th", "s", "a", "kind", "salt", "stretch"])
+            while i < len(rec):
+                j = max(i + 1, int(np.searchsorted(ends, (int(ends[i - 1]) if i else 0) + most)))
+                own, start = rec[i:j], base[i:j] + rec["s"][i:j]
+                size = own["n"].astype(np.int64)
+                bucket = ((own["a"].astype(np.int64) * 31 + own["salt"]) % buckets).astype(np.int32)
+                tail = lambda x, start=start, size=size: gathered(text, start[x], size[x]).tobytes()  # noqa: E731, B023
+                yield from blob_rows(dealt(own, bucket, tail), ("bucket", "blob"))
                 i = j
 
+    return run
 
-FOUND = "id long, th long, s int, e int, w1 long, w2 long"
+
+WINDOW = np.dtype([("w1", "<u8"), ("w2", "<u8"), ("id", "<i8"), ("th", "<i8"), ("s", "<u4")])
+FOUND = "place int, spans binary, bucket int, windows binary"
 
 
 def block_repeats(stretches: list[bytes], ids: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -385,20 +495,28 @@ def block_repeats(stretches: list[bytes], ids: np.ndarray, least: int) -> tuple[
     return owner[sa], within[sa], low[np.cumsum(prefix < least) - 1]
 
 
-def _sort_blocks(least: int):
+def _sort_blocks(least: int, places: int):
     """Stretches of one partition, block by block; an anchor that is not dealt out lies in one block whole. Equal stretches (by their bytes) are sorted once, with the smallest id."""
-    names = ["id", "th", "s", "e", "w1", "w2"]
+    names = ["place", "spans", "bucket", "windows"]
 
-    def block(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(held).combine_chunks()
-        ids, ths, s, kind = (t.column(k).to_numpy().astype(np.int64) for k in ("id", "th", "s", "kind"))
-        raw = t.column("stretch").to_pylist()
+    def block(rec: np.ndarray, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids, ths, s, kind = (rec[k].astype(np.int64) for k in ("id", "th", "s", "kind"))
         number: dict[bytes, int] = {}
         of = np.array([number.setdefault(x, len(number)) for x in raw], np.int64)
         different = list(number)
         least_id = np.full(len(different), NO_DOC)
         np.minimum.at(least_id, of, ids)
-        own, off, low = block_repeats(different, least_id, least)
+        # an anchor with one form only has nothing to sort: its copies are equal
+        anchor = np.cumsum(np.concatenate([[0], (rec["a"][1:] != rec["a"][:-1]) | (rec["salt"][1:] != rec["salt"][:-1])]))
+        form = np.zeros(int(anchor[-1]) + 1, np.int64)
+        form[anchor] = of
+        several = np.zeros(len(form), bool)
+        several[anchor[of != form[anchor]]] = True
+        sort = np.zeros(len(different), bool)
+        sort[of[several[anchor] | (kind == SPLIT)]] = True
+        chosen = np.flatnonzero(sort)
+        own, off, low = block_repeats([different[i] for i in chosen], least_id[chosen], least) if len(chosen) else (np.zeros(0, np.int64),) * 3
+        own = chosen[own] if len(own) else own
         # every window of a copy is a window of the first of its kind, which has a smaller id
         copy = ids > least_id[of]
         later = np.flatnonzero(copy)
@@ -413,44 +531,54 @@ def _sort_blocks(least: int):
         gone = ids[row] > low[window]
         place = s[row] + off[window]
         d, lo, hi = _merge(np.concatenate([row[gone], later]), np.concatenate([place[gone], s[later]]), np.concatenate([place[gone] + least, s[later] + size[later]]))
-        if len(d):
-            null = pa.nulls(len(d), pa.int64())
-            yield _columns(names, ids[d], ths[d], lo.astype(np.int32), hi.astype(np.int32), null, null)
+        spans = np.zeros(len(d), SPAN)
+        spans["id"], spans["th"], spans["s"], spans["n"] = ids[d], ths[d], lo, hi - lo
         rest = np.flatnonzero((kind[row] == SPLIT) & ~gone)
-        for at in range(0, len(rest), 50_000):
-            x = rest[at : at + 50_000]
-            digest = [hashlib.blake2b(raw[o][f : f + least], digest_size=16).digest() for o, f in zip(row[x].tolist(), off[window[x]].tolist(), strict=True)]
-            w = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
-            p = place[x]
-            yield _columns(names, ids[row[x]], ths[row[x]], p.astype(np.int32), (p + least).astype(np.int32), w[:, 0], w[:, 1])
+        digest = [hashlib.blake2b(raw[o][f : f + least], digest_size=16).digest() for o, f in zip(row[rest].tolist(), off[window[rest]].tolist(), strict=True)]
+        windows = np.zeros(len(rest), WINDOW)
+        windows["w1"], windows["w2"] = np.frombuffer(b"".join(digest), np.uint64).reshape(-1, 2).T
+        windows["id"], windows["th"], windows["s"] = ids[row[rest]], ths[row[rest]], place[rest]
+        return spans, windows
+
+    def told(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        spans = np.concatenate([np.zeros(0, SPAN), *(f[0] for f in found)])
+        windows = np.concatenate([np.zeros(0, WINDOW), *(f[1] for f in found)])
+        for x in blob_rows(dealt(spans, place_of(spans["id"], spans["th"], places)), ("place", "spans")):
+            yield _columns(names, x.column(0), x.column(1), pa.nulls(x.num_rows, pa.int32()), pa.nulls(x.num_rows, pa.binary()))
+        for x in blob_rows(dealt(windows, (windows["w1"] % np.uint64(max(2, places // 4))).astype(np.int64)), ("bucket", "windows")):
+            yield _columns(names, pa.nulls(x.num_rows, pa.int32()), pa.nulls(x.num_rows, pa.binary()), x.column(0), x.column(1))
+
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def bucket(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        got = [unpack(b, SPAN) for b in blobs]
+        rec, data = np.concatenate([g[0] for g in got]), b"".join(g[1] for g in got)
+        size = rec["n"].astype(np.int64)
+        start = np.cumsum(size) - size
+        order = np.lexsort((rec["salt"], rec["a"]))
+        rec, start, size = rec[order], start[order], size[order]
+        new = np.concatenate([np.flatnonzero((rec["a"][1:] != rec["a"][:-1]) | (rec["salt"][1:] != rec["salt"][:-1])) + 1, [len(rec)]])
+        ends = np.cumsum(size + 1)
+        lo = 0
+        while lo < len(rec):  # whole anchors, until the block is full
+            hi = int(new[min(len(new) - 1, np.searchsorted(ends[new - 1], (ends[lo - 1] if lo else 0) + BLOCK))])
+            held.append(block(rec[lo:hi], [data[a : a + n] for a, n in zip(start[lo:hi].tolist(), size[lo:hi].tolist(), strict=True)]))
+            lo = hi
+            if sum(len(x) + len(y) for x, y in held) > MOST_SPANS:
+                yield from told(held)
+                held.clear()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, last = [], 0, None
-        for batch in batches:
-            a, salt = batch.column(3).to_numpy(), batch.column(5).to_numpy()
-            ends = np.cumsum(pc.binary_length(batch.column(6)).to_numpy().astype(np.int64) + 1)
-            new = np.flatnonzero(np.concatenate([[last is not None and (int(a[0]), int(salt[0])) != last], (a[1:] != a[:-1]) | (salt[1:] != salt[:-1])])) if len(a) else np.zeros(0, np.int64)
-            done = 0
-            for cut_at in new.tolist():
-                if size + int(ends[cut_at - 1] if cut_at else 0) - int(ends[done - 1] if done else 0) >= BLOCK:
-                    if cut_at > done:
-                        held.append(batch.slice(done, cut_at - done))
-                    if held:
-                        yield from block(held)
-                    held, size, done = [], 0, cut_at
-            if len(a):
-                if done < len(a):
-                    held.append(batch.slice(done))
-                    size += int(ends[-1]) - int(ends[done - 1] if done else 0)
-                last = (int(a[-1]), int(salt[-1]))
-        if held:
-            yield from block(held)
+        held.clear()
+        yield from _by_bucket(bucket)(batches)
+        yield from told(held)
+        held.clear()
 
     return run
 
 
-def repeated_spans(docs: DataFrame, least: int = 50, k: int = 20) -> DataFrame:
-    """Stretches (``id, th, s, e``) of each document that lie in ``least``-byte strings which also start in a document with a smaller id.
+def repeated_spans(docs: DataFrame, places: int, least: int = 50, k: int = 20) -> DataFrame:
+    """Stretches of each document (packed: ``place, spans``) that lie in ``least``-byte strings which also start in a document with a smaller id.
 
     1. Every window of ``least`` bytes belongs to an anchor, the smallest hash of its k-byte substrings; windows of one anchor make a stretch. Stretches that repeat within a batch of documents are
     compared byte by byte and stay with the smallest document. Packed anchors are dealt by a hash. 2. Anchors that occur in several documents, or with different stretches, send their stretches to blocks. 3. Each
@@ -460,40 +588,74 @@ def repeated_spans(docs: DataFrame, least: int = 50, k: int = 20) -> DataFrame:
     """
     spark = docs.sparkSession
     n = 2 * partitions(spark)  # a task holds one bucket of anchors, a quarter of its partition
-    packed = docs.mapInArrow(tidy(_collect(least, k, 4 * n)), f"bucket int, blob binary, {SPAN}").repartition(n, "bucket").sortWithinPartitions("bucket")
-    spans = cut(packed.mapInArrow(tidy(_decide(least)), SPAN))
-    asked = spans.where(F.col("kind") != REMOVE).groupBy("id", "th").agg(F.collect_list(F.struct("s", "e", "a", "kind", "salt")).alias("at"))
-    stretches = docs.join(asked.hint("shuffle_hash"), ["id", "th"]).select("id", "th", "text", "at").mapInArrow(tidy(_cut_out), STRETCH)
-    found = cut(stretches.repartition(n, "a", "salt").sortWithinPartitions("a", "salt").mapInArrow(tidy(_sort_blocks(least)), FOUND))
-    many = found.where("w1 is not null")
-    low = many.groupBy("w1", "w2").agg(F.min("id").alias("low"))
-    late = many.join(low, ["w1", "w2"]).where("id > low").select("id", "th", "s", "e")
-    return spans.where(F.col("kind") == REMOVE).select("id", "th", "s", "e").unionByName(found.where("w1 is null").select("id", "th", "s", "e")).unionByName(late)
+    packed = docs.select("id", "th", "text").mapInArrow(tidy(_collect(least, k, 4 * n, places)), "bucket int, blob binary, place int, spans binary")
+    spans = cut(packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_decide(least, places)), "place int, spans binary, asked boolean"))
+    stretches = together(docs.select("id", "th", "text"), spans.where("asked"), places, n).mapInArrow(tidy(_cut_out(n)), "bucket int, blob binary")
+    found = cut(stretches.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_sort_blocks(least, places)), FOUND))
+    late = found.where("windows is not null").select("bucket", "windows").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_late(least, places)), "place int, spans binary")
+    return spans.where("not asked").select("place", "spans").unionByName(found.where("spans is not null").select("place", "spans")).unionByName(late)
+
+
+def _late(least: int, places: int):
+    """Windows of anchors that were dealt over several blocks, at most one of each block, by their digests: all but the smallest document's go."""
+
+    def bucket(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        rec = np.concatenate([unpack(b, WINDOW)[0] for b in blobs])
+        rec = rec[np.lexsort((rec["id"], rec["w2"], rec["w1"]))]
+        new = np.concatenate([[True], (rec["w1"][1:] != rec["w1"][:-1]) | (rec["w2"][1:] != rec["w2"][:-1])])
+        rec = rec[rec["id"] > rec["id"][np.maximum.accumulate(np.where(new, np.arange(len(rec)), 0))]]
+        spans = np.zeros(len(rec), SPAN)
+        spans["id"], spans["th"], spans["s"], spans["n"] = rec["id"], rec["th"], rec["s"], least
+        yield from blob_rows(dealt(spans, place_of(spans["id"], spans["th"], places)), ("place", "spans"))
+
+    return _by_bucket(bucket)
+
+
+def _by_bucket(one):
+    """``one`` of the blobs of each bucket, which come sorted by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for at, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if held and at != now:
+                    yield from one(held)
+                    held = []
+                now = at
+                held.append(b)
+        if held:
+            yield from one(held)
+
+    return run
+
+
+def together(docs: DataFrame, spans: DataFrame, places: int, n: int) -> DataFrame:
+    """Documents and their packed spans, dealt by place; in each place the spans come first."""
+    own = docs.select(placed(places).alias("place"), F.lit(None).cast("binary").alias("spans"), "*")
+    told = spans.select("place", "spans", *[F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema.fields])
+    return own.unionByName(told).repartition(n, "place").sortWithinPartitions("place", F.col("spans").isNull())
 
 
 def _result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 500):
-            part = batch.slice(lo, 500)
-            out: list[list] = [[] for _ in range(5)]
-            for x, at in zip(texts(part.column(1)), part.column(2).to_pylist(), strict=True):
-                spans: list[list[int]] = []
-                for s, e in sorted((p["s"], p["e"]) for p in at or []):
-                    if spans and s <= spans[-1][1]:
-                        spans[-1][1] = max(e, spans[-1][1])
-                    else:
-                        spans.append([s, e])
-                kept, last = [], 0
-                for s, e in spans:
-                    kept.append(x[last:s])
-                    last = e
-                kept.append(x[last:])
-                rest = b"".join(kept)
-                for c, v in zip(out, (len(x), len(x) - len(rest), len(spans), hashlib.sha256(rest).hexdigest(), rest), strict=True):
-                    c.append(v)
-            cols = [part.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string()), pa.array(out[4], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols + part.columns[3:], names + part.schema.names[3:])
+    for spans, part in with_spans(batches):
+        out: list[list] = [[] for _ in range(5)]
+        for i, t, x in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), texts(part.column(4)), strict=True):
+            lo, hi = spans.of(i, t)
+            rec = spans.rec[lo:hi]
+            rec = rec[rec["kind"] == REMOVE]
+            s, n = rec["s"].astype(np.int64), rec["n"].astype(np.int64)
+            _, s, e = _merge(np.zeros(len(s), np.int64), s, s + n)
+            kept, last = [], 0
+            for a, b in zip(s.tolist(), e.tolist(), strict=True):
+                kept.append(x[last:a])
+                last = b
+            kept.append(x[last:])
+            rest = b"".join(kept)
+            for c, v in zip(out, (len(x), len(x) - len(rest), len(s), hashlib.sha256(rest).hexdigest(), rest), strict=True):
+                c.append(v)
+        cols = [part.column(5), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string()), pa.array(out[4], pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols + part.columns[6:], names + part.schema.names[6:])
 
 
 def remove_repeats(docs: DataFrame, least: int = 50, k: int = 20, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -509,10 +671,11 @@ def remove_repeats(docs: DataFrame, least: int = 50, k: int = 20, id_col: str =
     unique = base.groupBy("id").count().where("count > 1").isEmpty()
     # rows that repeat an id are told apart by a hash of their text
     keyed = base.select("doc_id", "id", (F.lit(0).cast("long") if unique else F.xxhash64("text")).alias("th"), "text", *more)
-    spans = repeated_spans(keyed.select("id", "th", "text"), least, k)
-    at = spans.groupBy("id", "th").agg(F.collect_list(F.struct("s", "e")).alias("at"))
-    joined = keyed.join(at.hint("shuffle_hash"), ["id", "th"], "left").select("doc_id", "text", "at", *more)
-    extra = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[3:])
+    n = 2 * partitions(docs.sparkSession)
+    places = prime(n)
+    spans = repeated_spans(keyed.select("id", "th", "text"), places, least, k)
+    joined = together(keyed.select("id", "th", "text", "doc_id", *more), spans, places, n)
+    extra = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[6:])
     return joined.mapInArrow(tidy(_result), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary{extra}")
 
 
