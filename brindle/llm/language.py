@@ -38,44 +38,71 @@ class Backoff:
 
     def __init__(self, langs: list[str], entries: dict[int, dict[str, np.ndarray]] | None = None):
         self.langs = langs
-        self.tables: dict[int, tuple[dict[str, int], np.ndarray]] = {}
-        self.unknown = np.zeros(len(langs))
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for kind, rows in (entries or {}).items():
             if rows:
-                self.add(kind, list(rows), np.array(list(rows.values()), np.float64))
+                self.add(kind, keys_of(list(rows)), np.array(list(rows.values()), np.float64))
 
-    def add(self, kind: int, keys: list[str], counts: np.ndarray) -> None:
-        """Words (kind 0) or n-grams (kind n) with their counts, a column a language; what is equally frequent in all languages says nothing."""
+    def add(self, kind: int, keys: np.ndarray, counts: np.ndarray) -> None:
+        """Words (kind 0) or n-grams (kind n) by their hashes with their counts, a column a language; what is equally frequent in all languages says nothing."""
         logs = np.log((counts + 0.1) / (counts.sum(0) + 0.1 * len(keys)))
-        self.tables[kind] = (dict(zip(keys, range(len(keys)), strict=True)), logs - logs.mean(1, keepdims=True))
+        order = np.argsort(keys)
+        self.tables[kind] = (keys[order], (logs - logs.mean(1, keepdims=True))[order])
+
+    def find(self, kind: int, keys: np.ndarray) -> np.ndarray:
+        """Row of each hash in the table of a kind, -1 where it is unknown."""
+        if kind not in self.tables or not len(keys):
+            return np.full(len(keys), -1)
+        own = self.tables[kind][0]
+        at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+        return np.where(own[at] == keys, at, -1)
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        """Scores of words, a column a language; zeros where nothing of a word is known."""
+        out = np.zeros((len(words), len(self.langs)))
+        at = self.find(0, keys_of(words))
+        known = at >= 0
+        if known.any():
+            out[known] = self.tables[0][1][at[known]]
+        left = np.flatnonzero(~known)
+        for n in range(LONGEST_GRAM, 0, -1):
+            if not len(left):
+                break
+            grams = [grams_of(words[i], n) for i in left.tolist()]
+            owner = np.repeat(np.arange(len(left)), [len(g) for g in grams])
+            at = self.find(n, keys_of(list(chain.from_iterable(grams))))
+            owner, at = owner[at >= 0], at[at >= 0]
+            if len(at):
+                first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+                out[left[owner[first]]] = np.add.reduceat(self.tables[n][1][at], first, 0) / np.diff(np.concatenate([first, [len(at)]]))[:, None]
+                left = np.delete(left, owner[first])
+        return out
 
     def word(self, w: str) -> np.ndarray:
-        known = self.tables.get(0)
-        if known and w in known[0]:
-            return known[1][known[0][w]]
-        for n in range(LONGEST_GRAM, 0, -1):
-            t = self.tables.get(n)
-            if t:
-                at = [t[0][g] for g in grams_of(w, n) if g in t[0]]
-                if at:
-                    return np.add.reduce(t[1][at]) / len(at)
-        return self.unknown
+        return self.rows([w])[0]
+
+
+def keys_of(grams: list[str]) -> np.ndarray:
+    import xxhash
+
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, map(str.encode, grams)), np.uint64, len(grams))
 
 
 class _Rows(dict):
-    """Row number of each word's scores; a word not met before is scored then."""
+    """Row number of each word's scores."""
 
     def __init__(self, model: Backoff):
         super().__init__()
         self.model, self.rows = model, np.zeros((1024, len(model.langs)), np.float32)
 
-    def __missing__(self, w: str) -> int:
-        at = len(self)
-        if at == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[at] = self.model.word(w)
-        self[w] = at
-        return at
+    def fill(self, words: list[str]) -> None:
+        new = [w for w in dict.fromkeys(words) if w not in self]
+        if new:
+            first = len(self)
+            while first + len(new) > len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            self.rows[first : first + len(new)] = self.model.rows(new)
+            self.update(zip(new, range(first, first + len(new)), strict=True))
 
 
 def learn(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", key_col: str = "doc_id", per_lang: int = SAMPLE_PER_LANG) -> Backoff:
@@ -107,33 +134,35 @@ def learn(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", k
                         grams[n][g] += c
             for kind, counts in enumerate(grams):
                 rows = list(counts.items())
-                for lo in range(0, len(rows), 100_000):
-                    part = rows[lo : lo + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array([kind] * len(part), pa.int32()), pa.array([p[0] for p in part]), pa.array([p[1] for p in part], pa.int64())], ["lang", "kind", "gram", "n"])
+                for lo in range(0, len(rows), 50_000):
+                    part = rows[lo : lo + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([langs.index(lang)] * len(part), pa.int32()), pa.array([kind] * len(part), pa.int32()), pa.array(keys_of([p[0] for p in part]).view(np.int64)), pa.array([p[1] for p in part], pa.int64())], ["lang", "kind", "key", "n"])
 
-    counts = sample.mapInArrow(tidy(run), "lang string, kind int, gram string, n long").groupBy("kind", "gram").agg(*[F.sum(F.when(F.col("lang") == k, F.col("n")).otherwise(0)).alias(f"n{i}") for i, k in enumerate(langs)])
-    counts = cut(counts)
+    sums = [F.sum(F.when(F.col("lang") == i, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(len(langs))]
+    counts = cut(sample.mapInArrow(tidy(run), "lang int, kind int, key long, n long").groupBy("kind", "key").agg(*sums))
     model = Backoff(langs)
     for kind in range(LONGEST_GRAM + 1):
         own = counts.where(F.col("kind") == kind).drop("kind").toPandas()
         if len(own):
-            model.add(kind, own["gram"].tolist(), own.iloc[:, 1:].to_numpy(np.float64))
+            model.add(kind, own["key"].to_numpy(np.int64).view(np.uint64), own.iloc[:, 1:].to_numpy(np.float64))
     return model
 
 
 def score_batch(model: Backoff, memo: _Rows, raw: list[bytes]) -> tuple[list[str], list[float]]:
     if len(memo) > MEMO:
         memo.clear()
-    at: list[int] = []
+    words: list[str] = []
     ends, real = [0], []
     for x in raw:
         w = words_of(x.decode())
         real.append(bool(w) and (w[0][0].isalpha() or any(c.isalpha() for y in w for c in y)))
-        at.extend(map(memo.__getitem__, w))
-        ends.append(len(at))
+        words.extend(w)
+        ends.append(len(words))
     if not model.langs:
         return ["und"] * len(raw), [0.0] * len(raw)
-    scores = memo.rows[np.array(at)].astype(float) if at else np.zeros((0, len(model.langs)))
+    memo.fill(words)
+    at = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
+    scores = memo.rows[at].astype(float) if len(at) else np.zeros((0, len(model.langs)))
     sums = np.concatenate([np.zeros((1, len(model.langs))), np.cumsum(scores, 0)])
     total = sums[ends[1:]] - sums[ends[:-1]]
     n = np.diff(ends)[:, None]
