@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 
 def event_stream(spark: SparkSession, sf_dir: str, files: int = 4) -> DataFrame:
     """The event log as a file stream; times are instants (watermarks take no zone-less time)."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "true").parquet(sf_dir)
+    path = f"{sf_dir}/events.parquet"
+    table = spark.read.parquet(path)
+    s = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files)
+    # a table is a folder of part files, or one file, which only its folder can stream
+    one = [f.rstrip("/").rsplit("/", 1)[-1] for f in table.inputFiles()] == ["events.parquet"]
+    s = s.option("pathGlobFilter", "events.parquet").parquet(sf_dir) if one else s.parquet(path)
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
