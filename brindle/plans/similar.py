@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Window
@@ -177,16 +179,99 @@ def vec_phash(spark, d):
     return table(spark, d, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, phash long")
 
 
+#: Rows from which the retrieval index has cells; below, it compares with all. Rows that the cells are fitted on; share of the neighbours that the visited cells must hold.
+EXACT_BELOW, FIT_ROWS, RECALL = 60_000, 50_000, 0.97
+
+
+def cells_of(sample: np.ndarray, count: int, rounds: int = 10) -> np.ndarray:
+    """Unit centres of ``count`` cells by k-means on directions, from spread-out rows of the sample, in any run the same."""
+    centres = sample[np.linspace(0, len(sample) - 1, count).astype(int)].copy()
+    for _ in range(rounds):
+        near = (sample @ centres.T).argmax(1)
+        for c in range(count):
+            own = sample[near == c]
+            if len(own):
+                m = own.sum(0)
+                centres[c] = m / max(1e-12, np.sqrt(m @ m))
+    return centres
+
+
+def visits_for(sample: np.ndarray, centres: np.ndarray, k: int, recall: float = RECALL) -> int:
+    """Cells that a query must visit so that they hold the share ``recall`` of its nearest rows, measured with up to 500 rows of the sample against all of it."""
+    q = np.linspace(0, len(sample) - 1, min(500, len(sample))).astype(int)
+    sim = sample[q] @ sample.T
+    sim[np.arange(len(q)), q] = -np.inf
+    near = np.argsort(-sim, axis=1)[:, : min(k, len(sample) - 1)]
+    rank = np.argsort(np.argsort(-(sample[q] @ centres.T), axis=1), axis=1)
+    cell = (sample @ centres.T).argmax(1)
+    return int(np.quantile(np.take_along_axis(rank, cell[near], 1), recall, method="higher")) + 1 if near.size else len(centres)
+
+
+def retrieval(spark, d, k: int = 10, exact_below: int = EXACT_BELOW):
+    """``k`` nearest rows (inner product of unit vectors) of every row whose id is divisible by 100; every row is indexed.
+
+    Below ``exact_below`` rows all are compared. Above, an inverted file: centres fitted on at most FIT_ROWS rows, each row in the cell of its nearest centre, each query in as many of the
+    nearest cells as the share RECALL of neighbours needs in the sample; a crowded cell is dealt over several tasks, each of which keeps the best ``k`` of a query before they are merged. Vectors that are null or zero take no part.
+    """
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v")).where(F.exists("v", lambda x: x != 0))
+    n = e.count()
+    count = 1 if n < exact_below else max(2, min(4096, int(n**0.5)))
+    rows = e.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS if count > 1 else 1).toPandas()["v"].tolist()
+    if not rows:
+        return spark.createDataFrame([], "q long, v long, r int, sim double")
+    sample = np.array([np.asarray(x) for x in rows])
+    sample /= np.sqrt((sample**2).sum(1))[:, None]
+    centres = cells_of(sample, min(count, len(sample)))
+    probes = visits_for(sample, centres, k)
+    held = spark.sparkContext.broadcast(centres)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                x = np.stack(b["v"].to_numpy())
+                x = x / np.sqrt((x**2).sum(1))[:, None]
+                near = x @ held.value.T
+                take = min(probes, near.shape[1])
+                visits = np.argsort(-near, axis=1, kind="stable")[:, :take] if take < near.shape[1] else np.tile(np.arange(take), (len(x), 1))
+                yield pd.DataFrame({"vec_id": b["vec_id"], "cell": near.argmax(1), "visits": list(visits), "v": list(x)})
+
+    indexed = e.mapInPandas(place, "vec_id long, cell long, visits array<long>, v array<double>")
+    share = 64  # tasks that a cell is dealt over at most; a query's vector goes to each, the indexed rows to one
+    tasks = max(1, min(share, n // max(1, count) // 4096))
+    asked = indexed.where("vec_id % 100 = 0").select("vec_id", F.explode("visits").alias("cell"), "v").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)))).withColumn("asks", F.lit(True))
+    owned = indexed.select("vec_id", "cell", "v", F.pmod(F.xxhash64("vec_id"), F.lit(tasks)).cast("int").alias("part"), F.lit(False).alias("asks"))
+
+    def best(rows: pd.DataFrame) -> pd.DataFrame:
+        q, c = rows[rows["asks"]], rows[~rows["asks"]].sort_values("vec_id")
+        out = []
+        if len(q) and len(c):
+            ids, x = c["vec_id"].to_numpy(), np.stack(c["v"].to_numpy())
+            for lo in range(0, len(q), 512):
+                part = q.iloc[lo : lo + 512]
+                sim = np.stack(part["v"].to_numpy()) @ x.T
+                sim[part["vec_id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
+                at = np.argsort(-np.round(sim, 9), axis=1, kind="stable")[:, :k]
+                for i, own in enumerate(at):
+                    out += [(int(part["vec_id"].iloc[i]), int(ids[j]), float(sim[i, j])) for j in own if sim[i, j] > -np.inf]
+        return pd.DataFrame(out, columns=["q", "v", "sim"])
+
+    found = asked.select("vec_id", "cell", "v", "part", "asks").unionByName(owned).groupBy("cell", "part").applyInPandas(best, "q long, v long, sim double")
+    return _top(found, k).select("q", "v", "r", F.bround("sim", 6).alias("sim"))
+
+
+KNN = f"with {COS_ALL}, t as (select *, row_number() over (partition by q order by round_even(sim,9) desc, v) r from c) select q, v, r::integer r, round_even(sim,6) sim from t where r<=10"
+
+
+@query("knn_exact", KNN)
+def knn_exact(spark, d):
+    """The index as it decides by itself: exact on tables below EXACT_BELOW rows."""
+    return retrieval(spark, d)
+
+
 @query("knn_approx")
 def knn_approx(spark, d):
-    """Approximate neighbours by random projections in buckets; every vector is indexed."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    e = table(spark, d, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("x"))
-    model = BucketedRandomProjectionLSH(inputCol="x", outputCol="h", bucketLength=2.0, numHashTables=4, seed=7).fit(e)
-    near = model.approxSimilarityJoin(e.where("vec_id % 100 = 0"), e, 1.1, "dist")
-    return near.select(F.col("datasetA.vec_id").alias("a"), F.col("datasetB.vec_id").alias("b"), F.bround("dist", 6).alias("dist")).where("a <> b")
+    """The inverted file at any size; its recall against the exact search is tested."""
+    return retrieval(spark, d, exact_below=0)
 
 
 @query("std_columns", "with s as (select avg(ln(p_retailprice)) m, case when stddev_pop(ln(p_retailprice))<0.01 then 1.0 else stddev_pop(ln(p_retailprice)) end s from part) select p_partkey, round_even((ln(p_retailprice)-m)/s,6) z, round_even(ln(1+p_size),6) log_size, case when p_size>25 then 1 else 0 end has_large, (p_type='ECONOMY')::integer is_economy, (p_type='PROMO')::integer is_promo from part, s")

@@ -50,3 +50,19 @@ def test_no_nested_loops(spark):
     for name in ("join_or_exists", "join_form_or_sku", "join_asof_prior"):
         plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan, name
+
+
+def test_recall_of_the_index(spark):
+    """The inverted file finds at least nine tenths of the exact neighbours and repeats none."""
+    sf = SF.replace("0.001", "0.01")
+    exact = {(r.q, r.v) for r in plans.QUERIES["knn_exact"](spark, sf).collect()}
+    found = [(r.q, r.v) for r in plans.QUERIES["knn_approx"](spark, sf).collect()]
+    assert exact and len(set(found)) == len(found) and len(exact & set(found)) >= 0.9 * len(exact)
+
+
+def test_streams_read_tables_of_several_files(spark, tmp_path):
+    """A table that is a folder of files streams as the one that is a file."""
+    spark.read.parquet(f"{SF}/events.parquet").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    for name in ("stream_tumbling", "stream_session", "stream_change_log"):
+        one, two = (sorted(map(str, plans.QUERIES[name](spark, d).collect())) for d in (SF, str(tmp_path)))
+        assert one == two and one, name
