@@ -60,7 +60,7 @@ def drop_cut(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, False)
 
 
-def small_batches(spark: SparkSession, most: int = 8 * MB) -> None:
+def small_batches(spark: SparkSession, most: int = 4 * MB) -> None:
     """From now on Arrow batches of the session hold at most ``most`` bytes, so that a Python worker's memory does not follow the length of the texts."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     size = re.fullmatch(r"(\d+)b?", str(spark.conf.get(name)))
@@ -86,14 +86,19 @@ def tidy(run):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            libc = ctypes.CDLL(None)
-            if hasattr(libc, "malloc_trim"):
-                libc.malloc_trim(0)
+            give_back()
 
     return wrapped
 
 
+def give_back() -> None:
+    """Freed memory of this process to the system."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def crc_fold(col: str, folds: int) -> F.Column:
     """crc32 of the id as decimal text, modulo ``folds``; a null id falls in no fold (null)."""
     return F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(folds))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import crc_fold, cut, small_batches, table, texts, tidy
+from brindle.llm.common import crc_fold, cut, give_back, small_batches, table, texts, tidy
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Documents of each language that are learned from at most, entries of a worker's memo.
@@ -45,9 +45,11 @@ class Backoff:
 
     def add(self, kind: int, keys: np.ndarray, counts: np.ndarray) -> None:
         """Words (kind 0) or n-grams (kind n) by their hashes with their counts, a column a language; what is equally frequent in all languages says nothing."""
-        logs = np.log((counts + 0.1) / (counts.sum(0) + 0.1 * len(keys)))
         order = np.argsort(keys)
-        self.tables[kind] = (keys[order], (logs - logs.mean(1, keepdims=True))[order])
+        logs = np.log(counts[order] + 0.1)
+        logs -= np.log(counts.sum(0) + 0.1 * len(keys))
+        logs -= logs.mean(1, keepdims=True)
+        self.tables[kind] = (keys[order], logs.astype(np.float32))
 
     def find(self, kind: int, keys: np.ndarray) -> np.ndarray:
         """Row of each hash in the table of a kind, -1 where it is unknown."""
@@ -142,9 +144,11 @@ def learn(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", k
     counts = cut(sample.mapInArrow(tidy(run), "lang int, kind int, key long, n long").groupBy("kind", "key").agg(*sums))
     model = Backoff(langs)
     for kind in range(LONGEST_GRAM + 1):
-        own = counts.where(F.col("kind") == kind).drop("kind").toPandas()
-        if len(own):
-            model.add(kind, own["key"].to_numpy(np.int64).view(np.uint64), own.iloc[:, 1:].to_numpy(np.float64))
+        own = counts.where(F.col("kind") == kind).drop("kind").toArrow()
+        if own.num_rows:
+            model.add(kind, own.column(0).to_numpy().view(np.uint64), np.column_stack([c.to_numpy() for c in own.columns[1:]]))
+        del own
+    give_back()
     return model
 
 
@@ -190,8 +194,8 @@ def identify(docs: DataFrame, model: Backoff, text_col: str = "text", keep: tupl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Rows(held.value)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
+            for lo in range(0, batch.num_rows, 200):
+                part = batch.slice(lo, 200)
                 lang, score = score_batch(held.value, memo, texts(part.column(at)))
                 n = len(fields)
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*part.schema.names[:n], "lang_pred", "score"])

@@ -13,7 +13,7 @@ from brindle.llm.common import components, cut, mix, partitions, small_batches,
 from brindle.llm.licenses import LOWER
 
 #: Trees, levels of a tree at most, bits of a path, company at a prefix that every text puts up with, documents of a block of exact verification, shingles of a block, columns of a tile.
-TREES, LONGEST, PATH_BITS, COMPANY, BLOCK_DOCS, BLOCK_SHINGLES, TILE = 32, 8, 64, 32, 2048, 1 << 21, 8192
+TREES, LONGEST, PATH_BITS, COMPANY, BLOCK_DOCS, BLOCK_SHINGLES, TILE = 32, 8, 64, 32, 1024, 1 << 20, 4096
 MEMO = 300_000
 _RNG = np.random.default_rng(20240501)
 MULTIPLY = _RNG.integers(1, 1 << 31, TREES * LONGEST, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -328,7 +328,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, tar
     groups = members.groupBy("cluster", "lead").agg(F.count("*").alias("docs"), F.sum("n").alias("all"))
     share = lambda part: F.greatest(F.ceil(F.col("docs") * part / BLOCK_DOCS), F.ceil(F.col("all") * part / BLOCK_SHINGLES))
     many = groups.groupBy("cluster").agg(F.sum("docs").alias("docs"), F.sum("all").alias("all")).select("cluster", share(1).alias("blocks")).where("blocks > 1")
-    dealt = groups.join(many, "cluster").select("cluster", "lead", "blocks", share(2).alias("salts"))
+    dealt = groups.join(many, "cluster").select("cluster", "lead", "blocks", share(8).alias("salts"))
     number = F.pmod(F.xxhash64("lead", F.pmod(F.xxhash64("id"), "salts")), "blocks")
     members = cut(members.join(dealt, ["cluster", "lead"], "left").select("id", "copies", F.col("blocks").isNotNull().alias("large"), F.when(F.col("blocks").isNull(), F.xxhash64("cluster")).otherwise(F.xxhash64("cluster", number)).alias("block")))
     searched = nodes.join(members.where("large").select("id", "block"), "id").join(low, node, "left_semi").select(*node, "block").distinct()

@@ -15,7 +15,7 @@ from brindle.llm.common import cut, mix, partitions, small_batches, table, texts
 #: Bytes of text in one batch, of a suffix-sorted block, and stretches of one anchor that a block takes before the anchor is dealt over several; bits of a place among hashes.
 BATCH, BLOCK, HOT, HOT_IN_BATCH, SALTS, PLACE_BITS = 1 << 20, 1 << 20, 2048, 64, 64, 23
 #: Salts of blocks that hold copies only; spans that a task holds before it packs them.
-COPIES, MOST_SPANS = 1 << 20, 1 << 20
+COPIES, MOST_SPANS = 1 << 20, 1 << 18
 NO_DOC = (1 << 63) - 1
 MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _POWERS: list[np.ndarray] = []
@@ -228,7 +228,7 @@ def blob_rows(rows: Iterator[tuple[int, bytes]], names: tuple[str, str], lead: l
     for r in rows:
         held.append(r)
         size += len(r[1])
-        if size >= 4 << 20 or len(held) >= 4000:
+        if size >= 1 << 20 or len(held) >= 4000:
             yield batch()
             held, size = [], 0
     if held:
@@ -239,7 +239,7 @@ def _columns(names: list[str], *cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names)
 
 
-def equal_bytes(text: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, most: int = 1 << 22) -> np.ndarray:
+def equal_bytes(text: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, most: int = 1 << 19) -> np.ndarray:
     """Whether the bytes from ``a`` and from ``b`` are equal over ``size`` places, each pair on its own."""
     out = np.ones(len(a), bool)
     lo = 0
@@ -448,11 +448,11 @@ def gathered(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarra
     return text[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
 
 
-def _cut_out(buckets: int, most: int = 4 << 20):
+def _cut_out(buckets: int, most: int = 1 << 20):
     """The bytes of each stretch that is asked for, by one gather over the texts of a few documents, dealt by anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for spans, part in with_spans(batches, 2000):
+        for spans, part in with_spans(batches, 1000):
             raw = texts(part.column(4))
             ranges = [spans.of(i, t) for i, t in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
             count = np.array([e - s for s, e in ranges])
