@@ -73,7 +73,7 @@ STAGES = [
     ("encoding", encoded),
 ]
 
-#: SQL can't express learned languages, sampling and piece encoding; tests compare every stage with brute force.
+#: SQL can't express learned languages, sampling and piece encoding; tests compare the operators of the stages with brute force.
 ORACLE_SQL = None
 
 
