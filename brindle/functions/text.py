@@ -2,28 +2,36 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-#: Latin letters with marks and their base letters (Unicode decomposition of the Latin-1 and Hungarian letters).
-MARKED = "áàâäãåéèêëíìîïóòôöõőúùûüűñçýÿ"
-PLAIN = "aaaaaaeeeeiiiioooooouuuuuncyy"
+#: A character outside ASCII: only such texts are sent to Python to be decomposed.
+WIDE = r"[^\x00-\x7F]"
+
+
+@F.pandas_udf(StringType())
+def _decomposed(texts: pd.Series) -> pd.Series:
+    return texts.str.normalize("NFKD").map(lambda t: "".join(c for c in t if not unicodedata.combining(c)), na_action="ignore")
 
 
 def strip_accents(c: Column) -> Column:
-    return F.translate(c, MARKED + MARKED.upper(), PLAIN + PLAIN.upper())
+    """Compatibility decomposition without the combining marks. ASCII texts stay in the JVM."""
+    return F.coalesce(_decomposed(F.when(c.rlike(WIDE), c)), c)
 
 
 def norm(c: Column) -> Column:
-    """Platform form: lower case, no accents, only word characters and . , / - ' \" kept, single spaces."""
-    return F.trim(F.regexp_replace(F.regexp_replace(strip_accents(F.lower(F.translate(c, " ", " "))), r"[^a-z0-9_\s.,/'\"-]", " "), r"\s+", " "))
+    """Platform form: lower case, no accents, only word characters of any script and . , / × - ' \" kept, single spaces."""
+    return F.trim(F.regexp_replace(F.regexp_replace(strip_accents(F.lower(F.replace(c, F.lit("\u00a0"), F.lit(" ")))), "(?U)[^\\w\\s.,/×'\"-]", " "), r"(?U)\s+", " "))
 
 
 def legacy_norm(c: Column) -> Column:
     """Older form that keeps punctuation; the two are not interchangeable."""
-    return F.trim(F.regexp_replace(strip_accents(F.lower(F.translate(c, " ", " "))), r"\s+", " "))
+    return F.trim(F.regexp_replace(strip_accents(F.lower(F.replace(c, F.lit("\u00a0"), F.lit(" ")))), r"(?U)\s+", " "))
 
 
 def tokens(c: Column) -> Column:
@@ -49,43 +57,5 @@ def dedup_key(title: Column, seller: Column) -> Column:
     return F.substring(F.sha1(F.concat(F.concat_ws(" ", words), F.lit("|"), F.coalesce(seller, F.lit("")))), 1, 16)
 
 
-def size_cm(c: Column) -> Column:
-    """Largest size of 1.5 to 150 cm among 'number unit'; millimetres and inches are converted."""
-    found = F.regexp_extract_all(c, F.lit(r"(\d+(?:\.\d+)?) ?(?:cm|mm|inch)\b"), 0)
-    value = lambda x: F.regexp_extract(x, r"^[\d.]+", 0).cast("double")
-    cm = F.transform(found, lambda x: F.when(x.endswith("mm"), value(x) / 10).when(x.endswith("inch"), value(x) * 2.54).otherwise(value(x)))
-    return F.bround(F.array_max(F.filter(cm, lambda x: x.between(1.5, 150))), 1)
-
-
-def pieces(c: Column) -> Column:
-    """Largest count of 1 to 200 'pieces'; else persons times three; else two for a pair."""
-    n = lambda p: F.transform(F.regexp_extract_all(c, F.lit(p), 1), lambda x: x.cast("int"))
-    many = F.array_max(F.filter(n(r"(\d+) ?(?:pcs|pieces)\b"), lambda x: x.between(1, 200)))
-    persons = F.try_element_at(F.filter(n(r"(\d+) persons?\b"), lambda x: x.between(1, 24)), F.lit(1)) * 3
-    return F.coalesce(many, persons, F.when(c.rlike(r"\bpair\b"), 2))
-
-
-def condition(c: Column) -> Column:
-    """Negated damage is taken out first; the cue of a perfect state is tested on the text as it was."""
-    clean = F.regexp_replace(c, r"(no|not|without|never) (any )?(chips?|cracks?|damaged?|repairs?|repaired)", " ")
-    return F.when(clean.rlike(r"\b(damaged?|broken)\b"), "damaged").when(clean.rlike(r"\brepair(s|ed)?\b"), "repaired").when(clean.rlike(r"\b(chips?|cracks?|crazing)\b"), "serult").when(c.rlike(r"\b(perfect|mint|flawless|no chips)\b"), "hibatlan").otherwise("ismeretlen")
-
-
-def identify(c: Column) -> Column:
-    """Staged identification of form and pattern: full article number, form with code, standalone form, pattern code."""
-    t = norm(c)
-    code = F.upper(F.regexp_extract(t, r"\b(\d{2,5})[/-](?:0[/-])?([a-z]{2,4}\d?)\b", 2))
-    form = F.regexp_extract(t, r"\b(\d{2,5})[/-](?:0[/-])?([a-z]{2,4}\d?)\b", 1)
-    alone = F.regexp_extract(t, r"(?:(?:form|no|model)\.? ?|#)(\d{2,5})\b", 1)
-    year = alone.rlike("^(1[89]|20)\\d\\d$")
-    pattern = F.upper(F.regexp_extract(t, r"\bpattern ([a-z]{2,4})\b", 1))
-    zero = lambda x: F.regexp_replace(x, "^0+(?=.)", "")
-    blank = F.lit(None).cast("string")
-    full = t.rlike(r"\b\d{5}-0-\d{2}\b")
-    article = F.regexp_extract(t, r"\b(\d{5})-0-\d{2}\b", 1)
-    pick = lambda f, p, conf: F.struct(f.alias("form_no"), p.alias("pattern"), F.lit(conf).alias("confidence"))
-    return F.when(full, pick(zero(article), blank, 0.9)).when(form != "", pick(zero(form), code, 0.75)).when((alone != "") & ~year, pick(zero(alone), blank, 0.55)).when(pattern != "", pick(blank, pattern, 0.2)).otherwise(pick(blank, blank, 0.0))
-
-
 def sku_key(brand: Column, form: Column, pattern: Column) -> Column:
     return F.when(form.isNotNull(), F.concat_ws("|", brand, form, F.coalesce(pattern, F.lit("-"))))

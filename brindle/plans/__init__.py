@@ -1,4 +1,4 @@
 """Query catalogue."""
 
-from brindle.plans import deals, history, relational, similar, streams, texts  # noqa: F401
+from brindle.plans import deals, features, history, relational, similar, streams, texts  # noqa: F401
 from brindle.plans.base import ORACLE, QUERIES  # noqa: F401

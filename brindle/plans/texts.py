@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import functions as F
 
+from brindle.functions import features as X
 from brindle.functions import text as T
 from brindle.functions import values as V
 from brindle.plans.base import query, table
@@ -56,8 +57,7 @@ def rule_all_matches(spark, d):
     return table(spark, d, "part").select("p_partkey", T.all_matches(F.col("p_name"), ADJECTIVES).alias("decors"))
 
 
-N1 = f"translate(lower(replace(text,chr(160),' ')),'{T.MARKED}','{T.PLAIN}')"
-NORM = f"trim(regexp_replace(regexp_replace({N1},'[^a-z0-9_\\s.,/''\"-]',' ','g'),'\\s+',' ','g'))"
+NORM = "trim(regexp_replace(regexp_replace(strip_accents(lower(replace(text,chr(160),' '))),'[^\\pL\\pN_\\s.,/×''\"-]',' ','g'),'\\s+',' ','g'))"
 
 
 @query("text_norm_tokens", f"select doc_id, len(list_distinct(regexp_extract_all({NORM},'[a-z]{{3,}}'))) n_tokens, length({NORM}) n_norm from documents")
@@ -74,32 +74,7 @@ def text_dedup_key(spark, d):
 def text_size_pieces(spark, d):
     n, k = F.col("p_size").cast("string"), F.col("p_partkey") % 3
     title = F.concat_ws(" ", "p_name", n, F.when(k == 0, "cm").when(k == 1, "mm").otherwise("inch"), F.when(k == 0, F.concat(n, F.lit(" pieces"))).when(k == 1, F.concat(n, F.lit(" persons"))).otherwise("pair"))
-    return table(spark, d, "part").select("p_partkey", T.size_cm(title).alias("size_cm"), T.pieces(title).alias("pieces"))
-
-
-CONDITIONS = [("no chips or repairs, perfect", "repaired"), ("never repaired, mint", "hibatlan"), ("slightly damaged rim", "damaged"), ("small chip on the foot", "serult"), ("old vase", "ismeretlen"), ("no cracks, not damaged", "ismeretlen")]
-
-
-@query("text_condition", "select * from (values " + ", ".join(f"('{a}','{b}')" for a, b in CONDITIONS) + ") t(title, condition)")
-def text_condition(spark, d):
-    return spark.createDataFrame([(a,) for a, _ in CONDITIONS], "title string").select("title", T.condition(F.col("title")).alias("condition"))
-
-
-@query("text_identify")
-def text_identify(spark, d):
-    rows = [("Vase 06789/VBO blue",), ("Figure 15302-0-00 boxed",), ("Plate form 0722",), ("Cup No. 1985",), ("Bowl pattern vhp",), ("Box",)]
-    df = spark.createDataFrame(rows, "title string").withColumn("i", T.identify(F.col("title")))
-    return df.select("title", "i.*", T.sku_key(F.lit("acme"), F.col("i.form_no"), F.col("i.pattern")).alias("sku_key"))
-
-
-@query("identify_update")
-def identify_update(spark, d):
-    """A new identification overwrites an old one only if it is more certain."""
-    new = text_identify(spark, d)
-    old = new.select("title", F.lit("999").alias("form_no"), F.lit(0.6).alias("confidence"))
-    j = new.alias("n").join(old.alias("o"), "title", "left")
-    better = F.col("n.confidence") > F.coalesce("o.confidence", F.lit(-1.0))
-    return j.select("title", F.when(better, F.col("n.form_no")).otherwise(F.col("o.form_no")).alias("form_no"), F.greatest("n.confidence", "o.confidence").alias("confidence"))
+    return table(spark, d, "part").select("p_partkey", X.size_cm(X.norm(title)).alias("size_cm"), X.pieces(X.norm(title)).alias("pieces"))
 
 
 @query("sku_keys", "select p_partkey, 'b'||p_size||'|'||p_partkey||'|'||case when p_partkey%2=0 then 'VBO' else '-' end sku_key, p_partkey::varchar form_no, ('b'||p_size||'|'||p_partkey) form_key from part")
