@@ -16,12 +16,16 @@ def native(df: DataFrame) -> DataFrame:
     return df.withColumn("price", F.when(hammer, F.col("amount") * (1 + F.coalesce("premium", F.lit(0.0)))).otherwise(F.col("amount")))
 
 
-def in_range(df: DataFrame) -> DataFrame:
-    cond = None
+def plausible() -> Column:
+    """Whether the price lies in the range of its market; false for other markets and missing prices."""
+    cond = F.lit(False)
     for market, (low, high) in RANGES.items():
-        c = (F.col("market") == market) & F.col("price").between(low, high)
-        cond = c if cond is None else cond | c
-    return df.where(cond)
+        cond = cond | ((F.col("market") == market) & F.col("price").between(low, high))
+    return F.coalesce(cond, F.lit(False))
+
+
+def in_range(df: DataFrame) -> DataFrame:
+    return df.where(plausible())
 
 
 def group_quantiles(df: DataFrame, value: str = "y", probabilities: tuple[float, ...] = (0.1, 0.5, 0.9)) -> DataFrame:

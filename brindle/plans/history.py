@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from brindle.operators.history import change_log, fold, keep_last, upsert
+from brindle.operators.order import ranked
 from brindle.plans.base import PR, price_records, query, table
-from brindle.plans.deals import NAT, prices
 
 ROW = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
 FULL = ", ".join(f"{c} desc" for c in ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax"])
@@ -102,8 +102,7 @@ SPLIT = f"{PR}, g as (select brand||'|'||title grp, count(*) n, max(observed_at)
 def temporal_split(spark, d, share: float = 0.15):
     """The latest groups are the test set, those before them the validation set; no groups at all give an empty test set."""
     g = price_records(spark, d).groupBy(F.concat_ws("|", "brand", "title").alias("grp")).agg(F.count("*").alias("n"), F.max("observed_at").alias("last_at"))
-    # one row for each group: the order over all of them is a sort of the small group table
-    k = g.withColumns({"r": F.row_number().over(Window.orderBy(F.desc("last_at"), "grp")), "groups": F.count("*").over(Window.partitionBy())})
+    k = ranked(g, [F.desc("last_at"), F.asc("grp")], "r", "groups")
     cut = F.floor(F.col("groups") * share)
     return k.select("grp", "n", F.when(F.col("r") <= cut, "test").when(F.col("r") <= cut * 2, "val").otherwise("train").alias("part"))
 
@@ -144,26 +143,16 @@ def upsert_newest(spark, d):
     return upsert(old, new, keys, ["price", "l_suppkey"])
 
 
-@query("incremental_second_run", "select p_partkey, '' as input_hash from part where false")
+_HASH = "sha1('v2|'||p_name||'|'||p_brand||'|'||{0})"
+
+
+@query("incremental_second_run", f"select p_partkey, {_HASH.format('p_size')} input_hash from part where p_partkey%10=3 or p_size%4=0 and p_size<>p_size//8*8")
 def incremental_second_run(spark, d):
-    """Scoring again with unchanged inputs has nothing to do."""
-    h = F.sha1(F.concat_ws("|", F.lit("v2"), "p_name", "p_brand", F.col("p_size").cast("string")))
-    todo = table(spark, d, "part").select("p_partkey", h.alias("input_hash"))
-    done = todo.withColumn("estimate", F.length("input_hash"))
-    return todo.join(done, ["p_partkey", "input_hash"], "left_anti")
-
-
-@query("dataset_build", f"with {NAT}, s1 as (select * from rng), s2 as (select * from (select *, row_number() over (partition by market, brand, title, seller order by observed_at desc, sale_group desc, line desc, sku desc, price desc) k from s1) where k=1), s3 as (select * from s2 where price_type<>'asking_active'), s4 as (select *, case when brand in ('Brand#1','Brand#2') then 'general' else 'target' end corpus from s3) select '0_all' step, count(*) n from pr union all select '1_range', count(*) from s1 union all select '2_relisting', count(*) from s2 union all select '3_basis', count(*) from s3 union all select '4_target', count(*) from s4 where corpus='target' union all select '5_with_image', count(*) from s4 where corpus='target' and sku%3=0")
-def dataset_build(spark, d):
-    """The training set step by step with the rows left after each: range, relistings, basis, corpus, image flag. One pass flags the steps, one aggregation counts them."""
-    raw = price_records(spark, d).agg(F.count("*").alias("n"))
-    s1 = prices(spark, d)
-    w = Window.partitionBy("market", "brand", "title", "seller").orderBy(*[F.desc(c) for c in ("observed_at", "sale_group", "line", "sku", "price")])
-    last = F.row_number().over(w) == 1
-    f = s1.withColumn("last", last).withColumns({"basis": F.col("last") & (F.col("price_type") != "asking_active")}).withColumn("target", F.col("basis") & ~F.col("brand").isin("Brand#1", "Brand#2"))
-    c = f.agg(F.count("*").alias("1_range"), F.count_if("last").alias("2_relisting"), F.count_if("basis").alias("3_basis"), F.count_if("target").alias("4_target"), F.count_if(F.col("target") & (F.col("sku") % 3 == 0)).alias("5_with_image"))
-    steps = c.unpivot([], ["1_range", "2_relisting", "3_basis", "4_target", "5_with_image"], "step", "n")
-    return raw.select(F.lit("0_all").alias("step"), "n").unionByName(steps)
+    """Scoring again takes the new rows and those whose inputs changed: every tenth row was never scored, some had another size at the time."""
+    key = lambda size: F.sha1(F.concat_ws("|", F.lit("v2"), "p_name", "p_brand", size.cast("string"))).alias("input_hash")
+    p, n = table(spark, d, "part"), F.col("p_size")
+    done = p.where("p_partkey % 10 <> 3").select("p_partkey", key(F.when(n % 4 == 0, F.floor(n / 8) * 8).otherwise(n)))
+    return p.select("p_partkey", key(n)).join(done, ["p_partkey", "input_hash"], "left_anti")
 
 
 @query("run_status", "with s as (select o_orderpriority scope, o_orderstatus='P' open from orders) select scope, count(*) tasks, count(*) filter (open) open_tasks, case when count(*) filter (open)=0 then 'complete' when count(*) filter (open)*3<count(*) then 'nearly' else 'partial' end status from s group by 1")

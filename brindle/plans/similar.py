@@ -10,6 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from brindle.functions import vectors as V
+from brindle.operators.dataset import phash_edges
 from brindle.operators.graph import connected_components
 from brindle.plans.base import query, table
 from brindle.plans.deals import prices
@@ -66,15 +67,10 @@ def dedup_minhash(spark, d):
     return _checked(cand.join(sets.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b"))
 
 
-@query("dedup_hamming", "with h as (select vec_id id, list_sum(list_transform(embedding[1:63], lambda x, i: case when x>0 then (1::bigint << (i-1)::integer) else 0::bigint end))::bigint h from embeddings) select a.id a, b.id b, bit_count(xor(a.h,b.h))::integer distance from h a join h b on a.id<b.id where bit_count(xor(a.h,b.h))<=14")
+@query("dedup_hamming", "with h as (select vec_id id, list_sum(list_transform(embedding[1:63], lambda x, i: case when x>0 then (1::bigint << (i-1)::integer) else 0::bigint end))::bigint h from embeddings), r as (select h, min(id) id from h group by 1) select a.id a, b.id b from r a join r b on a.id<b.id where bit_count(xor(a.h,b.h))<=6 union all select r.id, h.id from h join r using (h) where h.id>r.id")
 def dedup_hamming(spark, d):
-    """Bits differ in at most 14 of 63: of 16 bands of 4 bits at least one is equal."""
-    h = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), V.sign_hash(F.col("embedding")).alias("h"))
-    s = h.select("id", "h", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.call_function("shiftright", F.col("h"), i * 4).bitwiseAND(15))).alias("band", "v"))
-    a, b = s.alias("x"), s.alias("y")
-    p = a.join(b, (F.col("x.band") == F.col("y.band")) & (F.col("x.v") == F.col("y.v")) & (F.col("x.id") < F.col("y.id")))
-    dist = F.bit_count(F.col("x.h").bitwiseXOR(F.col("y.h")))
-    return p.where(dist <= 14).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), dist.alias("distance")).distinct()
+    """Hashes that differ in at most 6 bits: pairs of the first vectors of each hash, and each further vector with the first of its hash."""
+    return phash_edges(table(spark, d, "embeddings").select(F.col("vec_id").alias("owner"), V.sign_hash(F.col("embedding")).alias("phash")))
 
 
 EDGES = "e as (select min(p_partkey) over (partition by p_brand, p_name, p_size) a, p_partkey b from part union select p_partkey, p_partkey+17 from part where p_partkey%5=0 and p_partkey+17<(select count(*) from part))"
