@@ -109,6 +109,44 @@ def texts(col: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in col.cast(pa.large_binary()).to_pylist()]
 
 
+#: A-Z lowered and every byte that belongs to no word made a space; words are runs of ASCII letters, digits and bytes above 127.
+AS_WORDS = bytes(c if c > 127 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
+
+
+class Memo(dict):
+    """A function of words that remembers its values, at most ``most`` at a time."""
+
+    def __init__(self, f, most: int = 300_000) -> None:
+        super().__init__()
+        self.f, self.most = f, most
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        out = self[word] = self.f(word)
+        return out
+
+
+def word_stream(raw: list[bytes], memo: Memo, dtype: type, piece: int = MB) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of all texts one after another: the lowered bytes, where each word starts in them, its value by ``memo``, and the word at which each text starts (one more at the end).
+    Words are cut out piece by piece, so that a long text never stands as a list of all its words."""
+    low = b" ".join(raw).translate(AS_WORDS)
+    inside = np.frombuffer(b" " + low, np.uint8) != 32
+    at = np.flatnonzero(inside[1:] & ~inside[:-1])
+    values = np.empty(len(at), dtype)
+    lo = done = 0
+    while lo < len(low):
+        hi = lo + piece
+        if hi < len(low):
+            hi = low.find(b" ", hi)
+            hi = len(low) if hi < 0 else hi
+        words = low[lo:hi].split()
+        values[done : done + len(words)] = np.fromiter(map(memo.__getitem__, words), dtype, len(words))
+        done, lo = done + len(words), hi
+    starts = np.cumsum([0, *(len(x) + 1 for x in raw)])
+    return low, at, values, np.searchsorted(at, starts)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalizer of splitmix64: a bijection that spreads the bits of each uint64."""
     x = x ^ (x >> np.uint64(30))
