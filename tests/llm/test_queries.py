@@ -12,7 +12,7 @@ from brindle.llm.common import cut, table
 
 
 def test_names():
-    assert sorted(catalogue.queries()) == sorted([*(n for n in catalogue.queries() if n.startswith("op")), "pipeline"]) and len(catalogue.queries()) == 11
+    assert sorted(catalogue.queries()) == sorted([*(n for n in catalogue.queries() if n.startswith("op")), "pipeline"]) and len(catalogue.queries()) == 14
 
 
 def test_topk_oracle(spark):
