@@ -51,8 +51,8 @@ def all_matches(c: Column, rules: Sequence[tuple[str, str]], most: int = 3) -> C
 
 
 def dedup_key(title: Column, seller: Column) -> Column:
-    """Digits become #, the set of tokens is sorted, the seller added, the first 16 hex digits of sha1 kept."""
-    t = F.regexp_replace(F.regexp_replace(norm(title), "[0-9]", "#"), "[^a-z# ]", " ")
+    """A run of digits becomes one #, what is neither a to z, # nor a space goes; the set of tokens is sorted, the seller added, the first 16 hex digits of sha1 kept. A null title counts as empty."""
+    t = F.regexp_replace(F.regexp_replace(norm(F.coalesce(title, F.lit(""))), r"(?U)\d+", "#"), "[^a-z# ]", "")
     words = F.array_sort(F.array_distinct(F.filter(F.split(t, " "), lambda x: x != "")))
     return F.substring(F.sha1(F.concat(F.concat_ws(" ", words), F.lit("|"), F.coalesce(seller, F.lit("")))), 1, 16)
 
