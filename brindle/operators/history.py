@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 
 def change_log(df: DataFrame, keys: list[str], order: list[str], tracked: list[str]) -> DataFrame:
-    """Rows in which a tracked column differs from the key's previous row; a null does not count as a change, a key's first row does."""
+    """Rows in which a tracked column is given and differs from the key's merged state, in which nulls don't overwrite; a key's first row counts."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    changed = [F.col(c).isNotNull() & ~F.lag(c).over(w).eqNullSafe(F.col(c)) for c in tracked]
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    changed = [F.col(c).isNotNull() & ~F.last(c, ignorenulls=True).over(before).eqNullSafe(F.col(c)) for c in tracked]
     return df.withColumn("__first", F.lag(order[-1]).over(w).isNull()).withColumn("__changed", reduce(lambda a, b: a | b, changed)).where("__first or __changed").drop("__first", "__changed")
 
 

@@ -28,7 +28,7 @@ def win_first_per_group(spark, d):
 
 
 EVT = "ev as (select event_id, ts, user_id, event_type, case when event_id%7=0 then null else floor(value/20)::bigint end price, case when event_id%5=0 then null else event_type end status from events)"
-CHG = EVT + ", lg as (select *, lag(ts) over w pt, lag(price) over w pp, lag(status) over w ps from ev window w as (partition by user_id order by ts, event_id)), chg as (select user_id, event_id, ts, price, status from lg where pt is null or (price is not null and pp is distinct from price) or (status is not null and ps is distinct from status))"
+CHG = EVT + ", mg as (select *, last_value(price ignore nulls) over w mp, last_value(status ignore nulls) over w ms from ev window w as (partition by user_id order by ts, event_id rows between unbounded preceding and current row)), lg as (select *, lag(ts) over w pt, lag(mp) over w pp, lag(ms) over w ps from mg window w as (partition by user_id order by ts, event_id)), chg as (select user_id, event_id, ts, price, status from lg where pt is null or (price is not null and pp is distinct from price) or (status is not null and ps is distinct from status))"
 
 
 def events(spark, d):
@@ -36,7 +36,7 @@ def events(spark, d):
     return e.select("event_id", "ts", "user_id", "event_type", F.when(F.col("event_id") % 7 != 0, F.floor(F.col("value") / 20)).alias("price"), F.when(F.col("event_id") % 5 != 0, F.col("event_type")).alias("status"))
 
 
-@query("win_change_log", f"with {CHG} select * from chg")
+@query("win_change_log", f"with {CHG} select user_id, event_id, ts, price, status from chg")
 def win_change_log(spark, d):
     return change_log(events(spark, d), ["user_id"], ["ts", "event_id"], ["price", "status"]).select("user_id", "event_id", "ts", "price", "status")
 

@@ -1,4 +1,4 @@
-"""Event-time windows and keyed change detection on streams."""
+"""Event-time windows on streams."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.session import shared_root
+
 
 def event_stream(spark: SparkSession, sf_dir: str, files: int = 4) -> DataFrame:
     """The event log as a file stream; times are instants (watermarks take no zone-less time)."""
@@ -25,19 +27,15 @@ def windowed(stream: DataFrame, kind: str) -> DataFrame:
     return stream.withWatermark("ts", "1 day").groupBy(*keys).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-def run_to_memory(df: DataFrame, mode: str = "complete") -> DataFrame:
-    """Runs the stream over what there is (AvailableNow) and returns its result table."""
-    name = f"stream_{uuid.uuid4().hex}"
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return df.sparkSession.table(name)
-
+def run_complete(df: DataFrame) -> DataFrame:
+    """Runs a windowed stream over what there is (AvailableNow) and returns its result as a table in the shared folder. Each micro-batch writes all windows so far from the executors; none comes to the driver."""
+    spark = df.sparkSession
+    path = f"{shared_root(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    last = []
 
-def change_log_stream(stream: DataFrame, state_dir: str) -> DataFrame:
-    """Appends each micro-batch to a log and derives the changes by event time over the whole log, so that late rows fall into place."""
-    from brindle.operators.history import change_log
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch-{number}")
+        last.append(number)
 
-    spark = stream.sparkSession
-    q = stream.writeStream.foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{state_dir}/log/batch={i}")).option("checkpointLocation", f"{state_dir}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return change_log(spark.read.parquet(f"{state_dir}/log"), ["user_id"], ["ts", "event_id"], ["price", "status"])
+    df.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{path}/batch-{max(last)}") if last else spark.createDataFrame([], df.schema)
