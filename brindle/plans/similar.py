@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from brindle.functions import vectors as V
 from brindle.operators.dataset import phash_edges
 from brindle.operators.graph import connected_components
+from brindle.operators.retrieval import combined, nearest, neighbour_features
+from brindle.models import textsvd
 from brindle.plans.base import query, table
 from brindle.plans.deals import prices
 
@@ -91,50 +93,36 @@ COS = "c as (select a.vec_id q, b.vec_id v, b.label label, a.label own, list_cos
 COS_ALL = COS.replace("a.label=b.label", "a.vec_id%100=0")
 
 
-def _unit(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", "label", V.normalise(F.col("embedding")).alias("u"))
-
-
-def _similar(spark, d):
-    """Every vector against the others of its label."""
-    e = _unit(spark, d)
-    q = e.select(F.col("vec_id").alias("q"), "label", F.col("label").alias("own"), F.col("u").alias("uq"))
-    return q.join(e, "label").where("q <> vec_id").select("q", "own", F.col("vec_id").alias("v"), "label", V.dot(F.col("uq"), F.col("u")).alias("sim"))
-
-
-def _similar_all(spark, d, blocks: int = 8):
-    """The stated query set against all rows, in blocks of queries."""
-    e = _unit(spark, d)
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("label").alias("own"), F.col("u").alias("uq"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"))
-    c = e.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
-    return q.join(c, "block").where("q <> vec_id").select("q", "own", F.col("vec_id").alias("v"), "label", V.dot(F.col("uq"), F.col("u")).alias("sim"))
-
-
-def _top(df, k: int):
-    w = Window.partitionBy("q").orderBy(F.desc(F.bround("sim", 9)), "v")
-    return df.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
+def _vectors(spark, d):
+    e = table(spark, d, "embeddings")
+    return e.select(F.col("vec_id").alias("id"), "label", F.floor(F.col("vec_id") / 10).alias("tens"), F.col("embedding").alias("v"))
 
 
 @query("vec_topk", f"with {COS}, t as (select *, row_number() over (partition by q order by round_even(sim,9) desc, v) r from c) select q, v, r::integer r, round_even(sim,6) sim from t where r<=10")
 def vec_topk(spark, d):
-    return _top(_similar(spark, d), 10).select("q", "v", "r", F.bround("sim", 6).alias("sim"))
+    """The nearest rows of the same label, of every row."""
+    return nearest(_vectors(spark, d).where("label is not null"), k=10, part="label").select("q", "v", "r", F.bround("sim", 6).alias("sim"))
 
 
 @query("topk_overfetch", f"with {COS}, t as (select *, row_number() over (partition by q order by round_even(sim,9) desc, v) r from c where q//10<>v//10) select q, v, r::integer r from t where r<=5")
 def topk_overfetch(spark, d):
     """Own group is left out before the ranking, which makes over-fetching exact."""
-    return _top(_similar(spark, d).where("floor(q / 10) <> floor(v / 10)"), 5).select("q", "v", "r")
+    return nearest(_vectors(spark, d).where("label is not null"), k=5, part="label", group="tens").select("q", "v", "r")
 
 
 @query("vec_knn_features", f"with {COS}, t as (select *, row_number() over (partition by q order by round_even(sim,9) desc, v) r from c) select q, round_even(sum(exp((sim-1)*20)*(v%7))/sum(exp((sim-1)*20)),6) y, round_even(max(sim),6) best, round_even(avg(sim) filter (r<=5),6) mean5, round_even(ln(1+count(*)),6) n from t where r<=10 group by 1")
 def vec_knn_features(spark, d):
-    w = F.exp((F.col("sim") - 1) * 20)
-    return _top(_similar(spark, d), 10).groupBy("q").agg(F.bround(F.sum(w * (F.col("v") % 7)) / F.sum(w), 6).alias("y"), F.bround(F.max("sim"), 6).alias("best"), F.bround(F.avg(F.when(F.col("r") <= 5, F.col("sim"))), 6).alias("mean5"), F.bround(F.log1p(F.count("*")), 6).alias("n"))
+    e = _vectors(spark, d).where("label is not null")
+    found = neighbour_features(nearest(e, k=10, part="label"), e.select(F.col("id").alias("v"), (F.col("id") % 7).alias("y")))
+    return found.select("q", *[F.bround(c, 6).alias(c) for c in ("y", "best", "mean5", "n")])
 
 
 @query("vec_vote_loo", f"with {COS_ALL}, t as (select *, row_number() over (partition by q order by round_even(sim,9) desc, v) r from c), v as (select q, own, label, sum(exp((sim-1)*20)) s from t where r<=5 group by 1,2,3), k as (select *, s/sum(s) over (partition by q) share, row_number() over (partition by q order by round_even(s,9) desc, label) p from v), b as (select own=label hit, share from k where p=1) select x.band, count(*) n, round_even(avg(case when hit then 1.0 else 0.0 end),6) accuracy from b, (select unnest([0.0,0.3,0.5,0.7])::double band) x where share>=x.band group by 1")
 def vec_vote_loo(spark, d):
-    v = _top(_similar_all(spark, d), 5).groupBy("q", "own", "label").agg(F.sum(F.exp((F.col("sim") - 1) * 20)).alias("s"))
+    e = _vectors(spark, d)
+    label = e.select(F.col("id").alias("v"), "label")
+    found = nearest(e, e.where("id % 100 = 0"), k=5).join(label, "v").join(label.select(F.col("v").alias("q"), F.col("label").alias("own")), "q")
+    v = found.groupBy("q", "own", "label").agg(F.sum(F.exp((F.col("sim") - 1) * 20)).alias("s"))
     k = v.withColumns({"share": F.col("s") / F.sum("s").over(Window.partitionBy("q")), "p": F.row_number().over(Window.partitionBy("q").orderBy(F.desc(F.bround("s", 9)), "label"))}).where("p = 1")
     b = k.withColumn("band", F.explode(F.array(*[F.lit(x) for x in (0.0, 0.3, 0.5, 0.7)]))).where("share >= band")
     return b.groupBy("band").agg(F.count("*").alias("n"), F.bround(F.avg((F.col("own") == F.col("label")).cast("double")), 6).alias("accuracy"))
@@ -175,99 +163,48 @@ def vec_phash(spark, d):
     return table(spark, d, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, phash long")
 
 
-#: Rows from which the retrieval index has cells; below, it compares with all. Rows that the cells are fitted on; share of the neighbours that the visited cells must hold.
-EXACT_BELOW, FIT_ROWS, RECALL = 60_000, 50_000, 0.97
-
-
-def cells_of(sample: np.ndarray, count: int, rounds: int = 10) -> np.ndarray:
-    """Unit centres of ``count`` cells by k-means on directions, from spread-out rows of the sample, in any run the same."""
-    centres = sample[np.linspace(0, len(sample) - 1, count).astype(int)].copy()
-    for _ in range(rounds):
-        near = (sample @ centres.T).argmax(1)
-        for c in range(count):
-            own = sample[near == c]
-            if len(own):
-                m = own.sum(0)
-                centres[c] = m / max(1e-12, np.sqrt(m @ m))
-    return centres
-
-
-def visits_for(sample: np.ndarray, centres: np.ndarray, k: int, recall: float = RECALL) -> int:
-    """Cells that a query must visit so that they hold the share ``recall`` of its nearest rows, measured with up to 500 rows of the sample against all of it."""
-    q = np.linspace(0, len(sample) - 1, min(500, len(sample))).astype(int)
-    sim = sample[q] @ sample.T
-    sim[np.arange(len(q)), q] = -np.inf
-    near = np.argsort(-sim, axis=1)[:, : min(k, len(sample) - 1)]
-    rank = np.argsort(np.argsort(-(sample[q] @ centres.T), axis=1), axis=1)
-    cell = (sample @ centres.T).argmax(1)
-    return int(np.quantile(np.take_along_axis(rank, cell[near], 1), recall, method="higher")) + 1 if near.size else len(centres)
-
-
-def retrieval(spark, d, k: int = 10, exact_below: int = EXACT_BELOW):
-    """``k`` nearest rows (inner product of unit vectors) of every row whose id is divisible by 100; every row is indexed.
-
-    Below ``exact_below`` rows all are compared. Above, an inverted file: centres fitted on at most FIT_ROWS rows, each row in the cell of its nearest centre, each query in as many of the
-    nearest cells as the share RECALL of neighbours needs in the sample; a crowded cell is dealt over several tasks, each of which keeps the best ``k`` of a query before they are merged. Vectors that are null or zero take no part.
-    """
-    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v")).where(F.exists("v", lambda x: x != 0))
-    n = e.count()
-    count = 1 if n < exact_below else max(2, min(4096, int(n**0.5)))
-    rows = e.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS if count > 1 else 1).toPandas()["v"].tolist()
-    if not rows:
-        return spark.createDataFrame([], "q long, v long, r int, sim double")
-    sample = np.array([np.asarray(x) for x in rows])
-    sample /= np.sqrt((sample**2).sum(1))[:, None]
-    centres = cells_of(sample, min(count, len(sample)))
-    probes = visits_for(sample, centres, k)
-    held = spark.sparkContext.broadcast(centres)
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                x = np.stack(b["v"].to_numpy())
-                x = x / np.sqrt((x**2).sum(1))[:, None]
-                near = x @ held.value.T
-                take = min(probes, near.shape[1])
-                visits = np.argsort(-near, axis=1, kind="stable")[:, :take] if take < near.shape[1] else np.tile(np.arange(take), (len(x), 1))
-                yield pd.DataFrame({"vec_id": b["vec_id"], "cell": near.argmax(1), "visits": list(visits), "v": list(x)})
-
-    indexed = e.mapInPandas(place, "vec_id long, cell long, visits array<long>, v array<double>")
-    share = 64  # tasks that a cell is dealt over at most; a query's vector goes to each, the indexed rows to one
-    tasks = max(1, min(share, n // max(1, count) // 4096))
-    asked = indexed.where("vec_id % 100 = 0").select("vec_id", F.explode("visits").alias("cell"), "v").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)))).withColumn("asks", F.lit(True))
-    owned = indexed.select("vec_id", "cell", "v", F.pmod(F.xxhash64("vec_id"), F.lit(tasks)).cast("int").alias("part"), F.lit(False).alias("asks"))
-
-    def best(rows: pd.DataFrame) -> pd.DataFrame:
-        q, c = rows[rows["asks"]], rows[~rows["asks"]].sort_values("vec_id")
-        out = []
-        if len(q) and len(c):
-            ids, x = c["vec_id"].to_numpy(), np.stack(c["v"].to_numpy())
-            for lo in range(0, len(q), 512):
-                part = q.iloc[lo : lo + 512]
-                sim = np.stack(part["v"].to_numpy()) @ x.T
-                sim[part["vec_id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
-                at = np.argsort(-np.round(sim, 9), axis=1, kind="stable")[:, :k]
-                for i, own in enumerate(at):
-                    out += [(int(part["vec_id"].iloc[i]), int(ids[j]), float(sim[i, j])) for j in own if sim[i, j] > -np.inf]
-        return pd.DataFrame(out, columns=["q", "v", "sim"])
-
-    found = asked.select("vec_id", "cell", "v", "part", "asks").unionByName(owned).groupBy("cell", "part").applyInPandas(best, "q long, v long, sim double")
-    return _top(found, k).select("q", "v", "r", F.bround("sim", 6).alias("sim"))
-
-
 KNN = f"with {COS_ALL}, t as (select *, row_number() over (partition by q order by round_even(sim,9) desc, v) r from c) select q, v, r::integer r, round_even(sim,6) sim from t where r<=10"
 
 
 @query("knn_exact", KNN)
 def knn_exact(spark, d):
-    """The index as it decides by itself: exact on tables below EXACT_BELOW rows."""
-    return retrieval(spark, d)
+    """All rows are compared with the rows whose id is divisible by 100."""
+    e = _vectors(spark, d)
+    return nearest(e, e.where("id % 100 = 0"), k=10).select("q", "v", "r", F.bround("sim", 6).alias("sim"))
 
 
 @query("knn_approx")
 def knn_approx(spark, d):
-    """The inverted file at any size; its recall against the exact search is tested."""
-    return retrieval(spark, d, exact_below=0)
+    """The same search by the inverted file, whatever the size of the table; its recall against the exact search is tested."""
+    e = _vectors(spark, d)
+    return nearest(e, e.where("id % 100 = 0"), k=10, exact_below=0).select("q", "v", "r", F.bround("sim", 6).alias("sim"))
+
+
+#: Two blocks of each vector; every third row lacks the second one.
+_BLOCKS = """b as (select vec_id id, case when vec_id%2=0 then 'HU' else 'US' end||'|'||label part, vec_id//5 grp, embedding[1:48]::double[] x, embedding[49:]::double[] y, vec_id%3<>0 has from embeddings where label is not null),
+u as (select id, part, grp, list_concat(list_transform(x, lambda a: a/sqrt(list_inner_product(x,x))), list_transform(y, lambda a: case when has then a/sqrt(list_inner_product(y,y)) else 0.0 end)) v from b),
+c as (select p.part, p.id q, o.id v, list_cosine_similarity(p.v,o.v) sim from u p join u o on p.part=o.part and p.grp<>o.grp),
+t as (select *, row_number() over (partition by part, q order by round_even(sim,9) desc, v) r from c)"""
+
+
+def _parts(spark, d):
+    e = table(spark, d, "embeddings").where("label is not null")
+    e = e.select(F.col("vec_id").alias("id"), F.concat(F.when(F.col("vec_id") % 2 == 0, "HU|").otherwise("US|"), F.col("label").cast("string")).alias("part"), F.floor(F.col("vec_id") / 5).alias("sale"), F.slice("embedding", 1, 48).alias("x"), F.slice("embedding", 49, 4096).alias("y"), (F.col("vec_id") % 3 != 0).alias("has_y"))
+    return e.withColumn("v", combined(["x", "y"], {"y": "has_y"}))
+
+
+@query("knn_parts", f"with {_BLOCKS} select part, q, v, r::integer r, round_even(sim,6) sim from t where r<=10")
+def knn_parts(spark, d):
+    """Neighbours on the same market and of the same brand by text and image blocks together, none from the own sale."""
+    return nearest(_parts(spark, d), k=10, part="part", group="sale").select("part", "q", "v", "r", F.bround("sim", 6).alias("sim"))
+
+
+@query("knn_part_features", f"with {_BLOCKS} select part, q, round_even(sum(exp((sim-1)*20)*(v%11))/sum(exp((sim-1)*20)),6) y, round_even(max(sim),6) best, round_even(avg(sim) filter (r<=5),6) mean5, round_even(ln(1+count(*)),6) n from t where r<=10 group by 1,2")
+def knn_part_features(spark, d):
+    """Features of the price model from those neighbours."""
+    e = _parts(spark, d)
+    found = neighbour_features(nearest(e, k=10, part="part", group="sale"), e.select(F.col("id").alias("v"), (F.col("id") % 11).alias("y")))
+    return found.select("part", "q", *[F.bround(c, 6).alias(c) for c in ("y", "best", "mean5", "n")])
 
 
 @query("std_columns", "with s as (select avg(ln(p_retailprice)) m, case when stddev_pop(ln(p_retailprice))<0.01 then 1.0 else stddev_pop(ln(p_retailprice)) end s from part) select p_partkey, round_even((ln(p_retailprice)-m)/s,6) z, round_even(ln(1+p_size),6) log_size, case when p_size>25 then 1 else 0 end has_large, (p_type='ECONOMY')::integer is_economy, (p_type='PROMO')::integer is_promo from part, s")
@@ -278,19 +215,25 @@ def std_columns(spark, d):
     return p.join(F.broadcast(s)).select("p_partkey", z.alias("z"), F.bround(F.log1p("p_size"), 6).alias("log_size"), (F.col("p_size") > 25).cast("int").alias("has_large"), (F.col("p_type") == "ECONOMY").cast("int").alias("is_economy"), (F.col("p_type") == "PROMO").cast("int").alias("is_promo"))
 
 
-@query("text_tfidf")
+_GRAMS = """w as (select p_partkey, ' '||unnest(string_split(p_name,' '))||' ' w from part), l as (select p_partkey, w, unnest(range(3,6)) n from w),
+g as (select distinct p_partkey, substr(w, i, n) g from (select *, unnest(range(1, greatest(1, length(w)-n+1)+1)) i from l where n=3 or length(w)>=n)), k as (select g from g group by g having count(*)>1)"""
+
+
+@query("text_tfidf", f"with {_GRAMS} select p_partkey, count(k.g) terms, case when count(k.g)>0 then 1.0::double else 0.0 end length from part left join g using (p_partkey) left join k using (g) group by 1")
 def text_tfidf(spark, d):
-    """Character 3- to 5-grams at word borders, sublinear term frequency, inverse document frequency, unit length."""
-    from pyspark.ml.feature import IDF, CountVectorizer, Normalizer
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    grams = lambda n: F.flatten(F.transform(F.split("p_name", " "), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) + 3 - n, F.lit(1))), lambda i: F.substr(F.concat(F.lit(" "), w, F.lit(" ")), i, F.lit(n)))))
-    p = table(spark, d, "part").select("p_partkey", F.flatten(F.array(*[grams(n) for n in (3, 4, 5)])).alias("g"))
-    tf = CountVectorizer(inputCol="g", outputCol="tf", minDF=2, vocabSize=40_000).fit(p).transform(p)
-    tf = tf.withColumn("tf", array_to_vector(F.transform(vector_to_array("tf"), lambda x: F.when(x > 0, 1 + F.log(x)).otherwise(0.0))))
-    out = Normalizer(inputCol="w", outputCol="u").transform(IDF(inputCol="tf", outputCol="w").fit(tf).transform(tf))
-    u = vector_to_array("u")
-    return out.select("p_partkey", F.size(F.filter(u, lambda x: x > 0)).alias("terms"), F.bround(V.dot(u, u), 6).alias("length"))
+    """Character 3- to 5-grams inside words that at least two names have, sublinear frequency times inverse document frequency, unit length. Rows stay sparse."""
+    p = table(spark, d, "part").select("p_partkey", "p_name")
+    n, terms = textsvd.vocabulary(p, "p_name")
+    space = textsvd.TextSpace(terms["term"].tolist(), np.log((1 + n) / (1 + terms["df"].to_numpy(float))) + 1, np.zeros(0), np.zeros((len(terms), 0)))
+    held = spark.sparkContext.broadcast(space)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = {t: i for i, t in enumerate(held.value.terms)}
+        for b in batches:
+            rows = [held.value.sparse(t, index) for t in b["p_name"]]
+            yield pd.DataFrame({"p_partkey": b["p_partkey"], "terms": [len(at) for at, _ in rows], "length": [round(float(w @ w), 6) for _, w in rows]})
+
+    return p.mapInPandas(run, "p_partkey long, terms long, length double")
 
 
 TAUS = (0.1, 0.5, 0.9)
