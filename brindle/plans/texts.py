@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -88,18 +87,27 @@ def sku_keys(spark, d):
     return p.select("p_partkey", "sku_key", parts[1].alias("form_no"), F.concat_ws("|", parts[0], parts[1]).alias("form_key"))
 
 
-HUF = [("12 500 Ft", 12500, 12500), ("1.250.000 Ft", 1250000, 1250000), ("99,90", 99, 9990), ("ingyen", None, None), ("0 Ft", None, None), ("45 Ft", 45, None)]
+@query("num_huf_parse", """select p_partkey, case p_partkey%6 when 0 then (10+p_partkey%90)*1000+500 when 1 then (1+p_partkey%9)*1000000+250000 when 2 then 100+p_partkey%900 when 5 then nullif(p_partkey%100,0) end huf,
+ case p_partkey%6 when 0 then (10+p_partkey%90)*1000+500 when 1 then (1+p_partkey%9)*1000000+250000 when 2 then (100+p_partkey%900)*100+90 when 5 then case when (p_partkey%100)*case when p_size<10 then 10 else 100 end+p_size>=100 then (p_partkey%100)*case when p_size<10 then 10 else 100 end+p_size end end digits from part""")
+def num_huf_parse(spark, d):
+    """Amounts as sellers write them: thousands by spaces or dots, a comma before small change, no number, zero, another number behind."""
+    k = F.col("p_partkey")
+    raw = F.when(k % 6 == 0, F.concat((10 + k % 90).cast("string"), F.lit("\u00a0500 Ft"))).when(k % 6 == 1, F.concat((1 + k % 9).cast("string"), F.lit(".250.000 Ft"))).when(k % 6 == 2, F.concat((100 + k % 900).cast("string"), F.lit(",90")))
+    raw = raw.when(k % 6 == 3, F.lit("ingyen")).when(k % 6 == 4, F.lit("0 Ft")).otherwise(F.concat((k % 100).cast("string"), F.lit(" Ft "), F.col("p_size").cast("string")))
+    return table(spark, d, "part").select("p_partkey", V.huf(raw).alias("huf"), V.all_digits(raw).alias("digits"))
 
 
-@query("num_huf_parse", "select * from (values " + ", ".join(f"('{a}',{b if b is not None else 'null'}::bigint,{c if c is not None else 'null'}::bigint)" for a, b, c in HUF) + ") t(raw, huf, digits)")
-def num_huf_parse(spark, d):
-    return spark.createDataFrame([(a,) for a, _, _ in HUF], "raw string").select("raw", V.huf(F.col("raw")).alias("huf"), V.all_digits(F.col("raw")).alias("digits"))
+#: Summer time in Budapest at noon: from the last Sunday of March to the last one of September until 1995, of October from then on.
+_SUMMER = "o_orderdate::date >= make_date(y,3,31)-dayofweek(make_date(y,3,31))::int and o_orderdate::date < case when y<=1995 then make_date(y,9,30)-dayofweek(make_date(y,9,30))::int else make_date(y,10,31)-dayofweek(make_date(y,10,31))::int end"
 
 
-@query("time_local_utc", "select raw, utc::timestamp utc from (values ('2026. 07. 01. 12:00','2026-07-01 10:00:00'),('2026. 01. 01. 12:00','2026-01-01 11:00:00'),('2026-03-05T08:00:00+02:00','2026-03-05 06:00:00'),('soon',null)) t(raw, utc)")
+@query("time_local_utc", f"""with o as (select *, year(o_orderdate)::int y from orders) select o_orderkey, case o_orderkey%5 when 4 then null when 3 then o_orderdate::date+interval 10 hour when 2 then o_orderdate::date-case when {_SUMMER} then interval 2 hour else interval 1 hour end
+ else o_orderdate::date+case when {_SUMMER} then interval 10 hour else interval 11 hour end end::timestamp utc from o""")
 def time_local_utc(spark, d):
-    rows = [("2026. 07. 01. 12:00",), ("2026. 01. 01. 12:00",), ("2026-03-05T08:00:00+02:00",), ("soon",)]
-    return spark.createDataFrame(rows, "raw string").select("raw", V.local_utc(F.col("raw")).cast("timestamp_ntz").alias("utc"))
+    """Times as pages write them: local with dots or dashes, a date alone, an instant with its zone, no time."""
+    k, at = F.col("o_orderkey") % 5, F.col("o_orderdate")
+    raw = F.when(k == 0, F.date_format(at, "yyyy. MM. dd. '12:00'")).when(k == 1, F.date_format(at, "yyyy-M-d '12:00'")).when(k == 2, F.date_format(at, "'kb.' yyyy/MM/dd")).when(k == 3, F.date_format(at, "yyyy-MM-dd'T12:00:00+02:00'")).otherwise("soon")
+    return table(spark, d, "orders").select("o_orderkey", V.local_utc(raw).cast("timestamp_ntz").alias("utc"))
 
 
 @query("age_format", "select o_orderkey, round_even(epoch(timestamp '2002-01-01'-o_orderdate)/86400.0,2) age_days, replace(format('{:,}', floor(o_totalprice)::bigint),',',' ') price_text, replace(replace(o_orderpriority,'&','&amp;'),'<','&lt;') label from orders")
@@ -129,101 +137,3 @@ def hash_fingerprint(spark, d):
     """Fingerprint of a table that does not depend on the order of its rows: count and two sums of row hashes."""
     h = F.xxhash64(*[F.col(c) for c in ("p_partkey", "p_name", "p_brand", "p_size", "p_retailprice")])
     return table(spark, d, "part").agg(F.count("*").alias("n"), F.sum(F.pmod(h, F.lit(1_000_000_007))).alias("s1"), F.bit_xor(h).alias("s2"))
-
-
-class _Page(HTMLParser):
-    def __init__(self):
-        super().__init__()
-        self.title, self.h1, self.links, self.text, self.images, self.meta, self.scripts, self.stack = "", "", [], [], [], {}, [], []
-
-    def handle_starttag(self, tag, attrs):
-        a = dict(attrs)
-        if tag not in ("br", "img", "meta", "link", "input", "hr"):
-            self.stack.append((tag, a.get("type", "")))
-        if tag == "a" and a.get("href"):
-            self.links.append(a["href"])
-        if tag == "img" and a.get("src"):
-            self.images.append(a["src"])
-        if tag == "meta" and (a.get("property") or a.get("name")):
-            self.meta[a.get("property") or a.get("name")] = a.get("content") or ""
-
-    def handle_endtag(self, tag):
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                del self.stack[i:]
-                break
-
-    def handle_data(self, data):
-        inside = [t for t, _ in self.stack]
-        if "script" in inside or "style" in inside:
-            if any(k == "application/ld+json" for _, k in self.stack):
-                self.scripts.append(data)
-            return
-        if "title" in inside:
-            self.title += data
-        elif data.strip():
-            if "h1" in inside:
-                self.h1 += data
-            self.text.append(data.strip())
-
-
-def parse_page(source: str | None) -> _Page:
-    p = _Page()
-    p.feed(source or "")
-    p.close()
-    return p
-
-
-@query("html_cards")
-def html_cards(spark, d):
-    """Title, links and visible text of each page (the standard library's parser, an Arrow batch at a time)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for i, h in zip(b["page_id"], b["html"], strict=True):
-                p = parse_page(h)
-                rows.append((i, p.h1.strip() or p.title.strip(), list(dict.fromkeys(p.links)), len(" ".join(p.text))))
-            yield pd.DataFrame(rows, columns=["page_id", "title", "links", "n_text"])
-
-    return table(spark, d, "pages").select("page_id", "html").mapInPandas(run, "page_id long, title string, links array<string>, n_text long")
-
-
-DETAIL = '<html><head><title>Vase - Shop</title><meta property="og:image" content="//img.example/1.jpg"><script type="application/ld+json">{"@type":"Product","sku":"77","offers":{"price":"12500","availability":"https://schema.org/InStock"}}</script></head><body><h1>Vase &amp; lid</h1><img src="/logo.png"><img src="https://img.example/2.jpg"><a href="/c/ceramain">Porcelain</a><span>Auction ends 2026. 07. 01. 12:00</span></body></html>'
-
-
-@query("page_fields")
-def page_fields(spark, d):
-    """Offer price and availability from JSON-LD, image list without logos, category link, page URL."""
-    import json
-
-    def run(batches):
-        for b in batches:
-            rows = []
-            for u, h in zip(b["url"], b["html"], strict=True):
-                p = parse_page(h)
-                node = next((x for x in (json.loads(s) for s in p.scripts) if x.get("@type") == "Product"), {})
-                price = int(float(node.get("offers", {}).get("price", 0) or 0))
-                images = [x if not x.startswith("//") else "https:" + x for x in [p.meta.get("og:image"), *p.images] if x and "logo" not in x]
-                rows.append((u, p.h1, price if 100 <= price <= 100_000_000 else None, "in_stock" if "InStock" in node.get("offers", {}).get("availability", "") else "unverified", list(dict.fromkeys(images))[:8], [x for x in p.links if "/c/" in x]))
-            yield pd.DataFrame(rows, columns=["url", "title", "price", "availability", "images", "categories"])
-
-    df = spark.createDataFrame([("https://shop.example/77.html?page=2", DETAIL), ("https://shop.example/78.html", "<h1>Bowl</h1>")], "url string, html string")
-    out = df.mapInPandas(run, "url string, title string, price long, availability string, images array<string>, categories array<string>")
-    return out.select("*", F.regexp_extract("url", r"/(\d+)\.html", 1).alias("listing_id"), F.regexp_replace("url", r"([?&]page=)\d+", "$13").alias("next_url"), F.exists("categories", lambda x: x.contains("ceramain")).alias("relevant"))
-
-
-@query("offer_fields")
-def offer_fields(spark, d):
-    """Sale type by precedence (marker, auction cue, price cue) and price by sale type; amounts after shipping words are no prices."""
-    rows = [("marker: fix", "licit 5 000 Ft fix ar 9 000 Ft"), (None, "aktualis licit 5 000 Ft kikialtasi 3 000 Ft"), (None, "fix ar 9 000 Ft szallitas 2 000 Ft"), (None, "alku 7 000 Ft")]
-    df = spark.createDataFrame(rows, "marker string, body string")
-    kind = F.when(F.col("marker").contains("fix"), "fix").when(F.col("body").contains("licit"), "aukcio").when(F.col("body").contains("alku"), "alku").otherwise("fix")
-    after = lambda label: V.huf(F.nullif(F.regexp_extract("body", label + r" (\d[\d ]*)", 1), F.lit("")))
-    goods = F.regexp_replace("body", r"szallitas \d[\d ]*Ft", "")
-    most = F.array_max(F.transform(F.regexp_extract_all(goods, F.lit(r"(\d[\d ]*) Ft"), 1), lambda x: V.huf(x)))
-    df = df.withColumn("sale_type", kind)
-    bid, start, fixed = after("licit"), after("kikialtasi"), after("fix ar")
-    return df.select("body", "sale_type", F.when(F.col("sale_type") == "aukcio", F.coalesce(bid, start)).otherwise(F.coalesce(fixed, most)).alias("price"), F.when(F.col("sale_type") == "aukcio", F.when(bid.isNotNull(), "current_bid").otherwise("start")).otherwise(F.when(fixed.isNotNull(), "fix").otherwise("max_amount")).alias("price_kind"))
-
-
