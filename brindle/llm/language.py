@@ -181,7 +181,8 @@ def score_batch(model: Backoff, memo: _Rows, raw: list[bytes]) -> tuple[list[str
 def identify(docs: DataFrame, model: Backoff, text_col: str = "text", keep: tuple[str | Column, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, ``lang_pred`` and ``score`` (0 to 1) of every whole text; only the text is an input.
 
-    A text that is null or has no letter gets ``und`` and 0; so does every text if no language was learned. Ties go to the language that sorts first. Each row is judged alone
+    The languages' mean log frequencies over all words of a text count as the evidence of as many independent words as it has, at most 24: words of a text depend on each other, and longer texts would all score 0 or 1. The predicted
+    language doesn't depend on it. A text that is null or has no letter gets ``und`` and 0; so does every text if no language was learned. Ties go to the language that sorts first. Each row is judged alone
     (repeats alike); other columns are ignored.
     """
     small_batches(docs.sparkSession)

@@ -115,7 +115,8 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", toxic: i
     chooses). Rows whose id or label is null do not count; of repeated labels of an id the largest counts.
 
     Every term of the sample is tested: those whose association with the label is beyond chance are in the model, and those whose association is beyond chance among the documents with
-    some term that speaks for label 1, which may tell nothing but in such pairs. The tests run over the sample in Spark; only the terms of the model come to the driver.
+    some term that speaks for label 1, which may tell nothing but in such pairs. A weaker term is in neither part; where no term passes, every text gets the share of label 1.
+    The tests run over the sample in Spark; only the terms of the model come to the driver.
     """
     lab = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     n = {r["y"]: r["n"] for r in lab.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -139,8 +140,6 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", toxic: i
     company = sample.join(sample.select("row", F.explode("terms").alias("t")).join(speaks, "t").select("row").distinct(), "row", "left_semi")
     kept = alone.where(F.abs("z") > CHANCE).select("t").unionByName(associations(company).where(F.abs("z") > CHANCE).select("t")).distinct()
     terms = np.sort(kept.toPandas()["t"].to_numpy(np.int32))
-    if not len(terms):  # too few labels for any proof
-        terms = np.sort(alone.orderBy(F.desc(F.abs("z")), "t").limit(20).toPandas()["t"].to_numpy(np.int32))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
