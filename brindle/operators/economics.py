@@ -65,3 +65,29 @@ def evaluate(df: DataFrame, a: Assumptions = DEFAULT) -> DataFrame:
         "recommended": F.col("would") & ~F.coalesce(too_dear, F.lit(False)),
         "score": F.bround(F.greatest(F.lit(0.0), F.coalesce("profit", F.lit(0.0))) * F.col("confidence") * penalty),
     }).drop("hard", "would")
+
+
+def money(c: Column) -> Column:
+    """Whole forints with spaces between thousands; a dash where there is none."""
+    return F.coalesce(F.concat(F.replace(F.format_number(F.bround(c), 0), F.lit(","), F.lit(" ")), F.lit(" Ft")), F.lit("–"))
+
+
+def explanation(nouns: dict[str, str], markets: dict[str, str], other: str = "item") -> Column:
+    """One sentence on an assessed row (after :func:`evaluate`): what it is, the estimated value and its range, distance of the price from it, the conservative result, the highest bid at an auction, and the reasons against a recommendation.
+
+    ``nouns`` names object types and ``markets`` the markets in the reader's words.
+    """
+    def word(c: str, table: dict[str, str], default: Column) -> Column:
+        out = default
+        for code, name in table.items():
+            out = F.when(F.col(c) == code, F.lit(name)).otherwise(out)
+        return out
+
+    rate = F.when(F.col("market") == "HU", 1.0).otherwise(DEFAULT.huf_per_usd)
+    what = F.concat_ws(" ", "brand", word("object_type", nouns, F.lit(other)))
+    value = F.concat(what, F.lit(": "), word("market", markets, F.col("market")), F.lit(" value "), money(F.col("v50")), F.lit(" ("), money(F.col("v10")), F.lit("–"), money(F.col("q90") * rate), F.lit(")"))
+    off = F.concat(F.lit("the price is "), F.bround(F.abs(F.col("discount"))).cast("int").cast("string"), F.when(F.col("discount") > 0, "% below").otherwise("% above"), F.lit(" the expected sale"))
+    result = F.concat(F.lit("conservative result "), money(F.col("profit")))
+    bid = F.when(F.col("sale_type") == "aukcio", F.concat(F.lit("bid at most "), money(F.col("max_bid").cast("double"))))
+    against = F.when(F.col("reasons") != "", F.concat(F.lit("NOT RECOMMENDED: "), F.replace("reasons", F.lit(","), F.lit("; "))))
+    return F.concat(F.concat_ws("; ", value, F.when(F.col("discount").isNotNull(), off), F.when(F.col("profit").isNotNull(), result), bid, against), F.lit("."))

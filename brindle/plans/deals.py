@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.config import DEFAULT
-from brindle.operators.economics import evaluate, max_bid, scenario
+from brindle.operators.economics import evaluate, explanation, max_bid, scenario
+from brindle.operators.order import ranked
 from brindle.operators.stats import fallback, group_quantiles, in_range, native
 from brindle.plans.base import LI, PR, listings, price_records, query, table
 
@@ -158,3 +159,26 @@ def report_counts(spark, d):
     p = table(spark, d, "part")
     g = p.groupingSets([[F.col("p_brand")], [F.col("p_type")]], "p_brand", "p_type").agg(F.count("*").alias("n"), F.bround(F.avg(F.col("p_size").isNotNull().cast("double")), 4).alias("recognised"), F.grouping("p_brand").alias("g"))
     return g.select(F.when(F.col("g") == 0, "brand").otherwise("type").alias("kind"), F.coalesce("p_brand", "p_type").alias("label"), "n", "recognised", F.when(F.col("n") >= 100, 1).otherwise(2).alias("label_order"))
+
+
+_FT = "coalesce(replace(format('{{:,}}', round_even({0},0)::bigint),',',' ')||' Ft','–')"
+_RATE = "case when market='HU' then 1.0 else 345.0 end"
+
+
+@query("deal_explain", f"""with {EST} select listing_id, market, concat_ws('; ', concat_ws(' ', brand, case object_type when 'ECONOMY' then 'thrifty piece' when 'PROMO' then 'special piece' else 'item' end)||': '||case market when 'HU' then 'Hungarian' else 'American' end||' value '||{_FT.format('v50')}||' ('||{_FT.format('v10')}||'–'||{_FT.format(f'q90*{_RATE}')}||')',
+ 'the price is '||round_even(abs(discount),0)::int||case when discount>0 then '% below' else '% above' end||' the expected sale', 'conservative result '||{_FT.format('profit')}, case when sale_type='aukcio' then 'bid at most '||{_FT.format('max_bid')} end, case when reasons<>'' then 'NOT RECOMMENDED: '||replace(reasons,',','; ') end)||'.' explanation from deals where price_huf is not null
+union all select listing_id, market, concat_ws('; ', concat_ws(' ', brand, case object_type when 'ECONOMY' then 'thrifty piece' when 'PROMO' then 'special piece' else 'item' end)||': '||case market when 'HU' then 'Hungarian' else 'American' end||' value '||{_FT.format('v50')}||' ('||{_FT.format('v10')}||'–'||{_FT.format(f'q90*{_RATE}')}||')',
+ case when sale_type='aukcio' then 'bid at most '||{_FT.format('max_bid')} end, case when reasons<>'' then 'NOT RECOMMENDED: '||replace(reasons,',','; ') end)||'.' from deals where price_huf is null""")
+def deal_explain(spark, d):
+    """A sentence on every assessed listing and market."""
+    text = explanation({"ECONOMY": "thrifty piece", "PROMO": "special piece"}, {"HU": "Hungarian", "US": "American"})
+    return deals(spark, d).select("listing_id", "market", text.alias("explanation"))
+
+
+@query("report_dump", f"with {LI} select sale_type, brand, listing_id, concat_ws(' | ', listing_id, brand, title, coalesce(round_even(price_huf,0)::bigint::varchar,'-'), condition) line, row_number() over (order by brand, sale_type, price_huf desc nulls last, listing_id) as place from li")
+def report_dump(spark, d):
+    """Compact lines of all listings by brand, kind of sale and falling price."""
+    li = listings(spark, d)
+    rows = ranked(li, [F.col("brand"), F.col("sale_type"), F.desc_nulls_last("price_huf"), F.col("listing_id")], "place")
+    line = F.concat_ws(" | ", "listing_id", "brand", "title", F.coalesce(F.bround("price_huf").cast("long").cast("string"), F.lit("-")), "condition")
+    return rows.select("sale_type", "brand", "listing_id", line.alias("line"), "place")

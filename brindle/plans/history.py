@@ -112,12 +112,19 @@ def win_temporal_split(spark, d):
     return temporal_split(spark, d).groupBy("part").agg(F.count("*").alias("n_groups"), F.sum("n").alias("n_rows"), F.min("grp").alias("first_group"))
 
 
-@query("split_leak_check", "with b as (select distinct unnest(list_filter(regexp_split_to_array(lower(text),'[^a-z]+'), lambda x: length(x)>=10)) w from benchmark), t as (select doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text),'[^a-z]+'), lambda x: length(x)>=10))) w from documents) select doc_id, count(*) shared from t join b using (w) group by 1 having count(*)>=5")
+_LONG = "list_distinct(list_filter(regexp_split_to_array(lower({}),'[^a-z]+'), lambda x: length(x)>=8))"
+
+
+@query("split_leak_check", f"""with n as (select count(*) n from benchmark), b as (select distinct unnest({_LONG.format('text')}) w from benchmark), d as (select doc_id, documents.text||coalesce(' '||benchmark.text,'') text from n, documents left join benchmark on doc_id%40=0 and item_id=doc_id//40%n),
+t as (select doc_id, unnest({_LONG.format('text')}) w from d) select doc_id, count(*) shared from t join b using (w) group by 1 having count(*)>=5""")
 def split_leak_check(spark, d):
-    """Documents that share rare words with the benchmark are left out of training."""
-    words = lambda: F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: F.length(x) >= 10)))
-    b = table(spark, d, "benchmark").select(words().alias("w")).distinct()
-    return table(spark, d, "documents").select("doc_id", words().alias("w")).join(b, "w").groupBy("doc_id").agg(F.count("*").alias("shared")).where("shared >= 5")
+    """Documents that share rare words with the benchmark are left out of training. Every fortieth document ends with an item of the benchmark."""
+    words = lambda: F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: F.length(x) >= 8)))
+    items = table(spark, d, "benchmark")
+    n = items.count()
+    own = table(spark, d, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 40 == 0, F.floor(F.col("doc_id") / 40) % max(1, n)).alias("item_id"))
+    docs = own.join(items.select("item_id", F.col("text").alias("tail")), "item_id", "left").select("doc_id", F.concat("text", F.coalesce(F.concat(F.lit(" "), "tail"), F.lit(""))).alias("text"))
+    return docs.select("doc_id", words().alias("w")).join(items.select(words().alias("w")).distinct(), "w").groupBy("doc_id").agg(F.count("*").alias("shared")).where("shared >= 5")
 
 
 @query("split_hash")

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import functions as F
 
 from brindle.functions import features as X
 from brindle.functions import text as T
 from brindle.functions import values as V
+from brindle.operators import review
 from brindle.plans.base import query, table
 
 NOUNS = [("bolt", "bolt"), ("gear", "gear"), ("ring", "ring"), ("widget", "widget|gadget"), ("tool", "tool|wrench")]
@@ -137,3 +135,43 @@ def hash_fingerprint(spark, d):
     """Fingerprint of a table that does not depend on the order of its rows: count and two sums of row hashes."""
     h = F.xxhash64(*[F.col(c) for c in ("p_partkey", "p_name", "p_brand", "p_size", "p_retailprice")])
     return table(spark, d, "part").agg(F.count("*").alias("n"), F.sum(F.pmod(h, F.lit(1_000_000_007))).alias("s1"), F.bit_xor(h).alias("s2"))
+
+
+#: A reviewer's replies: a pick for each third listing of a chunk of 25. Some break the contract: by a value (15), a missing field (21), an extra one (27), a text for a number (39) or a foreign address (33); each eighth chunk's reply is cut off.
+_REVIEW = """li as (select p_partkey id, p_partkey//25 chunk, case when p_size%3=0 then 'aukcio' else 'fix' end sale_type, floor(p_retailprice*100)::bigint price from part),
+pk as (select *, concat_ws(', ', case when id%39=0 then 'type: price' end, case when id%15=0 then 'value: category' end, case when id%21=0 then 'missing: risks' end, case when id%27=0 then 'extra: note' end, case when id%33=0 then 'unknown url' end) faults,
+ id*7%1000 value_max, case id%4 when 0 then 'high' when 1 then 'medium' else 'low' end confidence from li where id%3=0 and chunk%8<>7)"""
+
+
+def _replies(spark, d):
+    own = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.floor(F.col("p_partkey") / 25).alias("chunk"), F.when(F.col("p_size") % 3 == 0, "aukcio").otherwise("fix").alias("sale_type"), F.concat(F.lit("https://s.example/"), F.col("p_partkey").cast("string")).alias("url"), F.floor(F.col("p_retailprice") * 100).cast("long").alias("price_huf"), F.lit(None).cast("string").alias("damage_flags"))
+    i = F.col("id")
+    text = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    fields = {
+        "listing_id": text(i.cast("string")), "url": text(F.when(i % 33 == 0, F.lit("https://other.example/1")).otherwise(F.col("url"))), "title": text(F.lit("t")), "brand": text(F.lit("b")), "sale_type": text(F.col("sale_type")),
+        "price": F.when(i % 39 == 0, text(F.lit("5"))).otherwise("5"), "category": text(F.when(i % 15 == 0, "other").otherwise("both")), "value_min": F.lit("1"), "value_max": (i * 7 % 1000).cast("string"),
+        "confidence": text(F.when(i % 4 == 0, "high").when(i % 4 == 1, "medium").otherwise("low")), "reason": text(F.lit("r")),
+    }
+    pairs = [F.concat(F.lit(f'"{k}":'), v) for k, v in fields.items()]
+    pick = F.concat(F.lit("{"), F.concat_ws(",", *pairs, F.when(i % 21 != 0, '"risks":""'), F.when(i % 27 == 0, '"note":1')), F.lit("}"))
+    body = own.where("id % 3 = 0").groupBy("chunk", "sale_type").agg(F.array_join(F.array_sort(F.collect_list(pick)), ",").alias("picks"))
+    reply = F.concat(F.lit('{"picks":['), "picks", F.lit('],"summary":"part '), F.col("chunk").cast("string"), F.lit('"'), F.when(F.col("chunk") % 8 == 7, "").otherwise("}"))
+    return body.select("chunk", "sale_type", reply.alias("reply")), own
+
+
+@query("review_contract", f"with {_REVIEW} select id::varchar listing_id, sale_type, faults from pk")
+def review_contract(spark, d):
+    """Every pick with what is wrong with it."""
+    return review.checked_picks(*_replies(spark, d)).select("listing_id", "sale_type", F.array_join("faults", ", ").alias("faults"))
+
+
+@query("review_picks", f"with {_REVIEW} select id::varchar listing_id, sale_type, confidence, value_max, price listed_price, row_number() over (order by case confidence when 'high' then 1 when 'medium' then 2 else 3 end, value_max desc, id::varchar) as rank from pk where faults=''")
+def review_picks(spark, d):
+    """Picks that keep the contract, ranked by confidence and value."""
+    return review.ranked_picks(review.checked_picks(*_replies(spark, d))).select("listing_id", "sale_type", "confidence", "value_max", "listed_price", "rank")
+
+
+@query("review_summaries", f"with {_REVIEW}, c as (select distinct chunk, sale_type from li where id%3=0) select sale_type, count(*) replies, count(*) filter (chunk%8=7) failed, string_agg('part '||chunk, ' ' order by chunk) filter (chunk%8<>7) summary from c group by 1")
+def review_summaries(spark, d):
+    """One summary for each kind of sale from those of its chunks."""
+    return review.summaries(_replies(spark, d)[0])
