@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import asdict
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.config import DEFAULT
+from brindle.models import store
 from brindle.operators.economics import evaluate, explanation, max_bid, scenario
 from brindle.operators.order import ranked
 from brindle.operators.stats import fallback, group_quantiles, in_range, native
@@ -56,7 +59,10 @@ def deals(spark, d) -> DataFrame:
 SHOW = ["listing_id", "market", "price_huf", "level", "profit", "base_profit", "base_roi", "discount", "max_bid", "score", "recommended", "candidate", "reasons"]
 
 
-@query("deal_rank", f"with {EST} select {', '.join(SHOW)}, row_number() over (order by score desc, profit desc nulls last, listing_id, market)::integer as rank from deals order by rank limit 500")
+_RANK = f"with {EST} select {', '.join(SHOW)}, row_number() over (order by score desc, profit desc nulls last, listing_id, market)::integer as rank from deals order by rank limit 500"
+
+
+@query("deal_rank", _RANK)
 def deal_rank(spark, d):
     order = [F.desc("score"), F.desc_nulls_last("profit"), F.asc("listing_id"), F.asc("market")]
     top = deals(spark, d).select(*SHOW).orderBy(*order).limit(500)  # a page: its top-n needs no global sort
@@ -182,3 +188,12 @@ def report_dump(spark, d):
     rows = ranked(li, [F.col("brand"), F.col("sale_type"), F.desc_nulls_last("price_huf"), F.col("listing_id")], "place")
     line = F.concat_ws(" | ", "listing_id", "brand", "title", F.coalesce(F.bround("price_huf").cast("long").cast("string"), F.lit("-")), "condition")
     return rows.select("sale_type", "brand", "listing_id", line.alias("line"), "place")
+
+
+@query("deal_kept", _RANK)
+def deal_kept(spark, d):
+    """The ranked list from the table kept under the state of its input files and the assumptions; the second call reads no source rows."""
+    inputs = [f"{d}/{t}.parquet" for t in ("part", "lineitem")]
+    build = lambda: deal_rank(spark, d)
+    store.kept(spark, "deals", inputs, build, asdict(DEFAULT))
+    return store.kept(spark, "deals", inputs, build, asdict(DEFAULT))

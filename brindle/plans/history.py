@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from brindle.operators.history import change_log, fold, keep_last, upsert
+from brindle.operators.ledger import Ledger
 from brindle.operators.order import ranked
 from brindle.plans.base import PR, price_records, query, table
+from brindle.session import shared_root
 
 ROW = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
 FULL = ", ".join(f"{c} desc" for c in ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax"])
@@ -167,3 +171,21 @@ def run_status(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderpriority").alias("scope"), (F.col("o_orderstatus") == "P").alias("open"))
     n, k = F.count("*"), F.count_if("open")
     return o.groupBy("scope").agg(n.alias("tasks"), k.alias("open_tasks"), F.when(k == 0, "complete").when(k * 3 < n, "nearly").otherwise("partial").alias("status"))
+
+
+@query("ledger_days", """with t as (select date_trunc('day', ts)::date as task_day, count(*) n, round_even(sum(value),2) total from events group by 1)
+select strftime(task_day,'%Y-%m-%d') task, case when day(task_day)%7=3 then 2 when day(task_day)%11=5 then 3 else 1 end attempts, case when day(task_day)%7<>3 and day(task_day)%11=5 then 'failed' else 'done' end status, case when day(task_day)%7=3 or day(task_day)%11<>5 then n end n, case when day(task_day)%7=3 or day(task_day)%11<>5 then total end total from t""")
+def ledger_days(spark, d):
+    """Days of the event log as tasks of a ledger, in two runs, the first stopped after a batch. Some days fail once, some always."""
+    e = table(spark, d, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("task"), "value")
+    tasks = e.groupBy("task").agg(F.count("*").alias("priority"))
+    day = F.substring("task", 9, 2).cast("int")
+
+    def work(batch):
+        error = F.when((day % 7 == 3) & (F.col("attempt") == 1), "first").when((day % 7 != 3) & (day % 11 == 5), "always")
+        return batch.join(e, "task").groupBy("task", "attempt").agg(F.count("*").alias("n"), F.bround(F.sum("value"), 2).alias("total")).select("task", "n", "total", error.alias("error"))
+
+    ledger = Ledger(spark, f"{shared_root(spark).rstrip('/')}/ledger-{uuid.uuid4().hex}")
+    ledger.run(tasks, work, size=20, batches=1)
+    ledger.run(tasks, work, size=20)
+    return ledger.state().join(ledger.results().select("task", "n", "total"), "task", "left")
