@@ -13,10 +13,29 @@ from brindle.config import RANGES
 LEVELS = [["market", "brand", "object_type"], ["market", "brand"], ["market"]]
 
 
-def native(df: DataFrame) -> DataFrame:
-    """Price in the market's currency: a hammer price bears the buyer's premium (a missing one counts as none)."""
+#: Forints for a unit of each currency, and the currency of each market.
+RATES = {"HUF": 1.0, "USD": 345.0, "EUR": 395.0}
+CURRENCIES = {"HU": "HUF", "US": "USD"}
+
+
+def _of(c: Column, table: dict) -> Column:
+    out = F.lit(None)
+    for k, v in table.items():
+        out = F.when(c == k, F.lit(v)).otherwise(out)
+    return out
+
+
+def native(df: DataFrame, rates: dict[str, float] | None = None) -> DataFrame:
+    """Price in the market's currency: a hammer price bears the buyer's premium (a missing one counts as none); another currency is changed over the forint, an unknown one or an unknown market gives null.
+
+    Rows without a ``currency`` column are in their market's.
+    """
     hammer = F.col("price_type") == "auction_hammer"
-    return df.withColumn("price", F.when(hammer, F.col("amount") * (1 + F.coalesce("premium", F.lit(0.0)))).otherwise(F.col("amount")))
+    paid = F.when(hammer, F.col("amount") * (1 + F.coalesce("premium", F.lit(0.0)))).otherwise(F.col("amount"))
+    if "currency" not in df.columns:
+        return df.withColumn("price", paid)
+    rates, own, to = rates or RATES, F.upper("currency"), _of(F.col("market"), CURRENCIES)
+    return df.withColumn("price", F.when(own == to, paid).otherwise(paid * _of(own, rates) / _of(to, rates)))
 
 
 def plausible() -> Column:

@@ -197,3 +197,12 @@ def deal_kept(spark, d):
     build = lambda: deal_rank(spark, d)
     store.kept(spark, "deals", inputs, build, asdict(DEFAULT))
     return store.kept(spark, "deals", inputs, build, asdict(DEFAULT))
+
+
+@query("deal_page", f"""with {EST}, o as (select listing_id, market, score, row_number() over (order by score desc, profit desc nulls last, listing_id, market) place, count(*) over () total, count(*) filter (recommended) over () recommended from deals)
+select listing_id, market, score, place, total, recommended from o where place>40 and place<=60""")
+def deal_page(spark, d):
+    """Third page of twenty of the ranked list, with the total and the summary of the unpaged set. The page is a range of ranks, so nothing before it is sorted on one task."""
+    rows = ranked(deals(spark, d), [F.desc("score"), F.desc_nulls_last("profit"), F.asc("listing_id"), F.asc("market")], "place")
+    facts = rows.agg(F.count_if("recommended").alias("recommended"))  # one row
+    return rows.where("place > 40 and place <= 60").select("listing_id", "market", "score", "place", "total").join(F.broadcast(facts))

@@ -26,6 +26,18 @@ def filter_admission(spark, d):
     return o.where(stale).select("o_orderkey", "o_orderstatus", "o_orderpriority", F.lit(True).alias("stale"))
 
 
+@query("native_cross", f"""with {PR}, c as (select *, case sku%5 when 0 then 'eur' when 1 then 'USD' when 2 then 'HUF' when 3 then 'GBP' else currency end cur from pr), p as (select *, amount*case when price_type='auction_hammer' then 1+coalesce(premium,0.0) else 1.0 end paid from c)
+select market, upper(cur) currency, count(*) n, count(paid) filter (cur<>'GBP') priced, round_even(sum(case when cur<>'GBP' then paid*case upper(cur) when 'HUF' then 1.0 when 'USD' then 345.0 else 395.0 end/case market when 'HU' then 1.0 else 345.0 end end),0) total from p group by 1,2""")
+def native_cross(spark, d):
+    """Prices given in other currencies than the market's, changed over the forint; an unknown currency gives none."""
+    from brindle.operators.stats import native
+
+    k = F.col("sku") % 5
+    other = F.when(k == 0, "eur").when(k == 1, "USD").when(k == 2, "HUF").when(k == 3, "GBP").otherwise(F.col("currency"))
+    n = native(price_records(spark, d).withColumn("currency", other))
+    return n.groupBy("market", F.upper("currency").alias("currency")).agg(F.count("*").alias("n"), F.count("price").alias("priced"), F.bround(F.sum("price"), 0).alias("total"))
+
+
 @query("native_price", f"with {NAT} select market, price_type, count(*) n, count(*) filter ((market='HU' and price between 500 and 20000000) or (market='US' and price between 5 and 60000)) kept, round_even(sum(price),0) total from nat group by 1,2")
 def native_price(spark, d):
     from brindle.operators.stats import native
@@ -333,26 +345,13 @@ def agg_model_select(spark, d):
     return m.select("market", "n", "chosen", F.concat_ws(",", failed).alias("failed"), F.when(F.size(failed) == 0, "validated").otherwise("experimental").alias("status"))
 
 
-@query("agg_sales_needed", "select sigma, min(n)::integer n from (select unnest([0.2,0.3,0.4,0.5])::double sigma) s, (select unnest(range(1,2001)) n) where 0.6744897501960817*sqrt(1.5707963267948966)*sigma/sqrt(n) <= 0.1 group by 1")
+@query("agg_sales_needed", f"""with {NAT}, y as (select market, object_type, ln(price) y from rng), m as (select *, median(y) over (partition by market, object_type) m from y), s as (select market, object_type, round_even(1.4826*median(abs(y-m)),4) sigma from m group by 1,2)
+select market, object_type, sigma, min(n)::integer n from s, (select unnest(range(1,20001)) n) where 0.6744897501960817*sqrt(1.5707963267948966)*sigma/sqrt(n) <= 0.1 group by 1,2,3""")
 def agg_sales_needed(spark, d):
-    """Fewest sales whose median has a median error of at most 10%: a search over a short sequence."""
-    s = spark.createDataFrame([(x,) for x in (0.2, 0.3, 0.4, 0.5)], "sigma double")
+    """Fewest sales of a thing whose median has a median error of at most 10%, by the spread of its kind's prices on the market."""
+    s = robust_sd(prices(spark, d).withColumn("y", F.ln("price")), ["market", "object_type"], "y").select("market", "object_type", F.bround("sd", 4).alias("sigma"))
     err = lambda n: 0.6744897501960817 * F.sqrt(F.lit(1.5707963267948966)) * F.col("sigma") / F.sqrt(n.cast("double"))
-    return s.select("sigma", F.array_min(F.filter(F.sequence(F.lit(1), F.lit(2000)), lambda n: err(n) <= 0.1)).alias("n"))
-
-
-POINTS = [(128, 0.600), (308, 0.550), (603, 0.485), (1167, 0.441)]
-
-
-@query("agg_power_law", "with p as (select * from (values (128,0.600::double),(308,0.550::double),(603,0.485::double),(1167,0.441::double)) t(n,e)), c as (select unnest(range(0,40))/100.0::double c), f as (select c, -regr_slope(ln(e-c),ln(n)) b, exp(regr_intercept(ln(e-c),ln(n))) a from p, c group by 1), s as (select f.c, a, b, sum(power(a*power(n,-b)+f.c-e,2)) sse from f, p group by 1,2,3) select round_even(c,4) c, round_even(a,4) a, round_even(b,4) b, ceil(power((0.35-c)/a,-1/b))::bigint needed from (select * from s order by sse limit 1)")
-def agg_power_law(spark, d):
-    """error = a n^-b + c by least squares on logs over a grid of c, then solved for the rows that reach 35%."""
-    p = spark.createDataFrame(POINTS, "n int, e double")
-    g = p.withColumn("c", F.explode(F.transform(F.sequence(F.lit(0), F.lit(39)), lambda x: x / 100.0)))
-    f = g.groupBy("c").agg((-F.regr_slope(F.ln(F.col("e") - F.col("c")), F.ln("n"))).alias("b"), F.exp(F.regr_intercept(F.ln(F.col("e") - F.col("c")), F.ln("n"))).alias("a"))
-    s = g.join(f, "c").groupBy("c", "a", "b").agg(F.sum(F.pow(F.col("a") * F.pow("n", -F.col("b")) + F.col("c") - F.col("e"), F.lit(2))).alias("sse"))
-    need = F.ceil(F.pow((0.35 - F.col("c")) / F.col("a"), -1 / F.col("b"))).cast("long")
-    return s.orderBy("sse").limit(1).select(F.bround("c", 4).alias("c"), F.bround("a", 4).alias("a"), F.bround("b", 4).alias("b"), need.alias("needed"))
+    return s.select("market", "object_type", "sigma", F.array_min(F.filter(F.sequence(F.lit(1), F.lit(20000)), lambda n: err(n) <= 0.1)).alias("n"))
 
 
 @query("agg_bootstrap")

@@ -90,3 +90,22 @@ def write_markdown(df: DataFrame, path: str, order: list) -> None:
 
 def get_meta(meta: DataFrame, key: str, schema: str):
     return meta.where(F.col("key") == key).select(F.from_json("value", schema).alias("v")).select("v.*")
+
+
+def set_meta(meta: DataFrame, key: str, value: str) -> DataFrame:
+    """The metadata table with one value (JSON text) set; the others stay."""
+    own = meta.sparkSession.createDataFrame([(key, value)], "key string, value string")
+    return meta.where(F.col("key").isNull() | (F.col("key") != key)).select("key", "value").unionByName(own)
+
+
+def write_sale_types(df: DataFrame, path: str, columns: list[str]) -> None:
+    """Listings as CSV in a folder of each kind of sale, and all together as CSV and JSON; other columns are left out, a missing kind is ``ismeretlen``."""
+    rows = df.select(*columns, F.coalesce("sale_type", F.lit("ismeretlen")).alias("__kind"))
+    rows.withColumnRenamed("__kind", "kind").write.mode("overwrite").partitionBy("kind").csv(f"{path}/by_type", header=True)
+    rows.drop("__kind").write.mode("overwrite").csv(f"{path}/all_csv", header=True)
+    rows.drop("__kind").write.mode("overwrite").json(f"{path}/all_json")
+
+
+def export_training(rows: DataFrame, path: str) -> None:
+    """A training set with its parts as compressed CSV."""
+    rows.write.mode("overwrite").option("compression", "gzip").csv(path, header=True)

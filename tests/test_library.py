@@ -50,6 +50,18 @@ def test_sinks(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "t"), header=True).count() == 2
 
 
+def test_more_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(1, "fix", 5), (2, None, 6), (3, "aukcio", 7)], "id int, sale_type string, extra int")
+    files.write_sale_types(df, str(tmp_path), ["id", "sale_type"])
+    by = spark.read.csv(f"{tmp_path}/by_type", header=True, inferSchema=True)
+    assert sorted((r.id, r.kind) for r in by.collect()) == [(1, "fix"), (2, "ismeretlen"), (3, "aukcio")] and "extra" not in by.columns
+    assert spark.read.json(f"{tmp_path}/all_json").count() == spark.read.csv(f"{tmp_path}/all_csv", header=True).count() == 3
+    files.export_training(df, f"{tmp_path}/training")
+    assert spark.read.csv(f"{tmp_path}/training", header=True).columns == df.columns
+    meta = files.set_meta(files.set_meta(spark.createDataFrame([("a", "1")], "key string, value string"), "b", '{"x": 2}'), "a", "3")
+    assert sorted(tuple(r) for r in meta.collect()) == [("a", "3"), ("b", '{"x": 2}')] and files.get_meta(meta, "b", "x int").first().x == 2
+
+
 def test_schema(spark):
     assert set(KEYS) == set(SCHEMAS)
     out = conform(spark.createDataFrame([("k", 1)], "key string, other int"), "meta")
