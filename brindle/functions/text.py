@@ -38,11 +38,12 @@ def tokens(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(norm(c), F.lit("[a-z]{3,}"), 0))
 
 
-def first_match(c: Column, rules: Sequence[tuple[str, str]], default: str | None = None) -> Column:
-    """Code of the first rule of an ordered list whose pattern occurs."""
+def first_match(c: Column, rules: Sequence[tuple], default: str | None = None) -> Column:
+    """Code of the first rule of an ordered list whose pattern occurs; a rule (code, pattern, exclusion) doesn't hold where the exclusion occurs too, so that a later rule may."""
     out = F.lit(default)
-    for code, pattern in reversed(rules):
-        out = F.when(c.rlike(pattern), code).otherwise(out)
+    for code, pattern, *exclusion in reversed(rules):
+        holds = c.rlike(pattern) & ~c.rlike(exclusion[0]) if exclusion and exclusion[0] else c.rlike(pattern)
+        out = F.when(holds, code).otherwise(out)
     return out
 
 

@@ -206,3 +206,10 @@ def deal_page(spark, d):
     rows = ranked(deals(spark, d), [F.desc("score"), F.desc_nulls_last("profit"), F.asc("listing_id"), F.asc("market")], "place")
     facts = rows.agg(F.count_if("recommended").alias("recommended"))  # one row
     return rows.where("place > 40 and place <= 60").select("listing_id", "market", "score", "place", "total").join(F.broadcast(facts))
+
+
+@query("report_sale_types", f"with {LI} select sale_type, brand, count(*) n, count(price_huf) priced, round_even(max(price_huf),2) dearest from li group by grouping sets ((sale_type, brand), (sale_type), ())")
+def report_sale_types(spark, d):
+    """Counters of a report by kind of sale and brand, by kind of sale, and in all."""
+    g = listings(spark, d).groupingSets([[F.col("sale_type"), F.col("brand")], [F.col("sale_type")], []], "sale_type", "brand")
+    return g.agg(F.count("*").alias("n"), F.count("price_huf").alias("priced"), F.bround(F.max("price_huf"), 2).alias("dearest"))

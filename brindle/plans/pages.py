@@ -54,6 +54,13 @@ def offer_fields(spark, d):
     return read(spark, d).select("page_id", "sale_type", "takes_offers", "price", "price_kind", "current_bid", "start_bid", "bid_count", "status")
 
 
+@query("page_health", f"select count(*) n, round_even(avg(({_KIND}<>6)::int),4) with_type, round_even(avg(({_KIND}<>6)::int),4) with_price, round_even(avg(({_KIND} in (0,1,7))::int),4) with_stock, round_even(avg(({_KIND} in (2,5))::int),4) with_offers from pages")
+def page_health(spark, d):
+    """Shares of offer pages whose fields were recognised."""
+    share = lambda c, name: F.bround(F.avg(c.cast("double")), 4).alias(name)
+    return read(spark, d).agg(F.count("*").alias("n"), share(F.col("sale_type") != "ismeretlen", "with_type"), share(F.col("price").isNotNull(), "with_price"), share(F.col("availability") != "unverified", "with_stock"), share(F.col("takes_offers"), "with_offers"))
+
+
 CARD = '<div class="c" data-product-id="{i}" data-gtm-name="Darab {i} &amp; co" data-gtm-price="{p} Ft" data-gtm-currency="{c}" data-gtm-auction-type="{t}" data-expired="{e}"><a class="product_link" href="/darab-{i}.html?x=1#y">kép</a></div>'
 
 

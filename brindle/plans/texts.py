@@ -10,14 +10,9 @@ from brindle.functions import values as V
 from brindle.operators import review
 from brindle.plans.base import query, table
 
-NOUNS = [("bolt", "bolt"), ("gear", "gear"), ("ring", "ring"), ("widget", "widget|gadget"), ("tool", "tool|wrench")]
 ADJECTIVES = [("colour", r"\b(red|blue|green|black|white)\b"), ("size", r"\b(small|large|big|tiny)\b"), ("heat", r"\b(hot|cold)\b"), ("shine", r"\b(shiny|dull)\b")]
 
 
-def _case(col: str, rules, default: str) -> str:
-    return "case " + " ".join(f"when regexp_matches({col},'{p}') then '{c}'" for c, p in rules) + f" else '{default}' end"
-
-
 @query("relevance_class", "select p_partkey, case when contains(p_name,'hot') or regexp_matches(p_name,'\\bbo') then 'rejected' when p_size%9=0 then 'visual_candidate' else 'accepted' end relevance, array_to_string(list_filter([case when contains(p_name,'hot') then 'fake: hot' end, case when regexp_matches(p_name,'\\bbo') then 'item: bo' end], lambda x: x is not null),'; ') reason from part")
 def relevance_class(spark, d):
     fake, item = F.col("p_name").contains("hot"), F.col("p_name").rlike(r"\bbo")
@@ -44,9 +39,18 @@ def screen_gates(spark, d):
     return table(spark, d, "part").groupBy(F.coalesce(gate, F.lit("selected")).alias("gate")).agg(F.count("*").alias("n"))
 
 
-@query("rule_first_match", f"select p_partkey, {_case('p_name', NOUNS, 'other')} object_type from part")
+#: Model ranges of a shop in the order of precedence, with what a title must not hold; each colour word is a series, nouns are categories.
+SERIES = [
+    ("red rotating", r"\bred\b.*\b(gear|ring)\b", None), ("fixings", r"\b(bolt|rod)\b", r"\b(old|hot)\b"), ("small parts", r"\bsmall\b", r"\b(anvil|plate)\b"), ("large parts", r"\blarge\b", r"\b(gizmo|widget)\b"),
+    ("used", r"\bold\b", r"\banvil\b"), ("gadgets", r"\b(gizmo|widget)\b", None), ("forge", r"\b(hot|anvil)\b", r"\bplate\b"), ("gearing", r"\bgear\b", None), ("sheets", r"\bplate\b", None),
+]
+
+
+@query("rule_first_match", """with w as (select p_partkey, split_part(p_name,' ',1) a, split_part(p_name,' ',2) b from part) select p_partkey, case when a='red' and b in ('gear','ring') then 'red rotating' when b in ('bolt','rod') and a not in ('old','hot') then 'fixings'
+ when a='small' and b not in ('anvil','plate') then 'small parts' when a='large' and b not in ('gizmo','widget') then 'large parts' when a='old' and b<>'anvil' then 'used' when b in ('gizmo','widget') then 'gadgets' when (a='hot' or b='anvil') and b<>'plate' then 'forge' when b='gear' then 'gearing' when b='plate' then 'sheets' else 'other' end object_type from w""")
 def rule_first_match(spark, d):
-    return table(spark, d, "part").select("p_partkey", T.first_match(F.col("p_name"), NOUNS, "other").alias("object_type"))
+    """Category of a title by the first rule that holds and isn't excluded."""
+    return table(spark, d, "part").select("p_partkey", T.first_match(F.col("p_name"), SERIES, "other").alias("object_type"))
 
 
 @query("rule_all_matches", "select p_partkey, array_to_string(list_filter([" + ", ".join(f"case when regexp_matches(p_name,'{p}') then '{c}' end" for c, p in ADJECTIVES) + "], lambda x: x is not null)[1:3],', ') decors from part")
