@@ -6,6 +6,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import chain
 from operator import add
 
 import pyarrow as pa
@@ -15,8 +16,10 @@ from pyspark.sql import functions as F
 from brindle.llm.common import default_tokenizer, small_batches, table, texts, tidy
 
 SPACE = "▁"
-#: Entries of the memo of one task; it starts anew beyond that.
-MEMO = 450_000
+#: Entries of the memo of one Python worker, which goes from task to task; it starts anew beyond that.
+MEMO = 700_000
+#: Symbols up to which the agenda is a list; the place of a pair that is no piece.
+SHORT, NO_PIECE = 32, 1 << 62
 CANDIDATE_PUNCTUATION = ".,!?#$*&|;:"
 
 
@@ -57,8 +60,27 @@ class PieceEncoder:
                 self.parts = re.compile(rf" *[^\W\d_]+{ahead}| *[^ \n]+| +|\n")
 
     def agenda(self, text: str) -> list[int]:
-        """Merge the adjacent pair with the best score, the leftmost of equals, until no pair is a piece."""
+        """Merge the adjacent pair with the best score, the leftmost of equals, until no pair is a piece. The agenda of a short text is a list of places, searched for the best; that of a longer one a heap."""
         sym = list(text.replace(" ", SPACE))
+        return self._ids(self._by_list(sym) if len(sym) <= SHORT else self._by_heap(sym))
+
+    def _by_list(self, sym: list[str]) -> list[str]:
+        place = self.rank.get
+        agenda = [place(x, NO_PIECE) for x in map(add, sym, sym[1:])]
+        while agenda:
+            best = min(agenda)
+            if best == NO_PIECE:
+                break
+            i = agenda.index(best)
+            pair = sym[i] = sym[i] + sym.pop(i + 1)
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = place(pair + sym[i + 1], NO_PIECE)
+            if i:
+                agenda[i - 1] = place(sym[i - 1] + pair, NO_PIECE)
+        return sym
+
+    def _by_heap(self, sym: list[str]) -> list[str]:
         n = len(sym)
         rank, shift = self.rank.get, n.bit_length()
         low = (1 << shift) - 1
@@ -88,14 +110,13 @@ class PieceEncoder:
                 r = rank(sym[k] + pair)
                 if r is not None:
                     push(heap, r << shift | k)
-        out: list[int] = []
-        for s in sym:
-            if s:
-                at = self.ids.get(s)
-                if at is None:
-                    out.extend(self.bytes[b] for b in s.encode())
-                else:
-                    out.append(at)
+        return [s for s in sym if s]
+
+    def _ids(self, sym: list[str]) -> list[int]:
+        """Ids of symbols; one that is no piece gives those of its bytes."""
+        out = list(map(self.ids.get, sym))
+        if None in out:
+            out = [i for s, at in zip(sym, out, strict=True) for i in ([at] if at is not None else [self.bytes[b] for b in s.encode()])]
         return out
 
     def encode(self, batch: list[str], memo: dict[str, tuple[list[int], str]] | None = None) -> Iterator[tuple[list[int], str]]:
@@ -109,22 +130,20 @@ class PieceEncoder:
             check = min(tiny, key=len)
             if [i for p in find(" " + check.replace(SPACE, " ")) for i in self.agenda(p)] != self.sp.encode(check):
                 raise RuntimeError(f"the library encodes this text otherwise: {check[:200]!r}")
-        for text in batch:
-            if not text:
-                yield [], ""
-                continue
-            parts = find(" " + text.replace(SPACE, " "))  # a space symbol in a text counts as a space
-            new = [p for p in dict.fromkeys(parts) if p not in memo]
-            own: dict[str, tuple[list[int], str]] = {}
-            if new:
-                for p in new:
-                    ids = self.agenda(p)
-                    own[p] = (ids, ",".join(map(str, ids)))
-                self.check(new, own)
-                memo.update((p, v) for p, v in own.items() if len(p) <= 64)
-            got = [memo[p] if p in memo else own[p] for p in parts]
-            ids = [i for x in got for i in x[0]]
-            yield ids, ",".join([x[1] for x in got])
+        cut = [find(" " + text.replace(SPACE, " ")) if text else [] for text in batch]  # a space symbol in a text counts as a space
+        new = list({p for parts in cut for p in parts if p not in memo})
+        long: dict[str, tuple[list[int], str]] = {}
+        if new:
+            own = {}
+            for p in new:
+                ids = self.agenda(p)
+                own[p] = (ids, ",".join(map(str, ids)))
+            self.check(new, own)
+            for p, v in own.items():
+                (memo if len(p) <= 64 else long)[p] = v
+        for parts in cut:
+            got = [memo[p] for p in parts] if not long else [memo[p] if p in memo else long[p] for p in parts]
+            yield list(chain.from_iterable([x[0] for x in got])), ",".join([x[1] for x in got])
 
     def check(self, parts: list[str], own: dict[str, tuple[list[int], str]]) -> None:
         """Against the library. It puts a space before a text, so a part without its own is asked for after a line end, whose bytes are known."""
@@ -137,6 +156,7 @@ class PieceEncoder:
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
+_MEMOS: dict[str, dict[str, tuple[list[int], str]]] = {}
 
 
 def encoder(model_file: str) -> PieceEncoder:
@@ -149,13 +169,13 @@ def encode_texts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` and, if asked for, ``ids`` and ``decoded`` of every whole text.
 
     One row per input row, repeats included; a null text counts as empty (no ids, empty decoded text); other columns are ignored. Very
-    long texts are encoded whole. No shuffle: a task holds one Arrow batch and a bounded memo. A disagreement with the library stops the job.
+    long texts are encoded whole. No shuffle: a worker holds one Arrow batch and a bounded memo of parts. A disagreement with the library stops the job.
     """
     small_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, memo = encoder(model_file), {}
+        enc, memo = encoder(model_file), _MEMOS.setdefault(model_file, {})
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
