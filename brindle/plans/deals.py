@@ -195,8 +195,8 @@ def deal_kept(spark, d):
     """The ranked list from the table kept under the state of its input files and the assumptions; the second call reads no source rows."""
     inputs = [f"{d}/{t}.parquet" for t in ("part", "lineitem")]
     build = lambda: deal_rank(spark, d)
-    store.kept(spark, "deals", inputs, build, asdict(DEFAULT))
-    return store.kept(spark, "deals", inputs, build, asdict(DEFAULT))
+    store.kept(spark, "deals", inputs, build, {"rule": 1, **asdict(DEFAULT)})
+    return store.kept(spark, "deals", inputs, build, {"rule": 1, **asdict(DEFAULT)})
 
 
 @query("deal_page", f"""with {EST}, o as (select listing_id, market, score, row_number() over (order by score desc, profit desc nulls last, listing_id, market) place, count(*) over () total, count(*) filter (recommended) over () recommended from deals)

@@ -48,7 +48,7 @@ def page_fields(spark, d):
 
 @query("offer_fields", f"""select page_id, case {_KIND} when 0 then 'aukcio' when 1 then 'fix' when 2 then 'alku' when 3 then 'aukcio' when 4 then 'fix' when 5 then 'alku' when 6 then 'ismeretlen' else 'fix' end sale_type, {_KIND} in (2,5) takes_offers,
  case when {_KIND}<>6 then {_PRICE} end price, case {_KIND} when 0 then 'aktualis licit' when 3 then 'aktualis licit' when 1 then 'fix ar' when 2 then 'fix ar' when 4 then 'fix ar' when 7 then 'fix ar' else 'egyeb' end price_kind,
- case when {_KIND} in (0,3) then {_PRICE} end current_bid, case {_KIND} when 0 then 900 end start_bid, case {_KIND} when 0 then 3 end bid_count, case {_KIND} when 1 then 'ended' when 7 then 'ended' else 'active' end status from pages""")
+ case when {_KIND} in (0,3) then {_PRICE} end current_bid, case {_KIND} when 0 then 900::bigint end start_bid, case {_KIND} when 0 then 3 end bid_count, case {_KIND} when 1 then 'ended' when 7 then 'ended' else 'active' end status from pages""")
 def offer_fields(spark, d):
     """Kind of sale, prices by its rules, and status. Amounts after words of shipping are no prices."""
     return read(spark, d).select("page_id", "sale_type", "takes_offers", "price", "price_kind", "current_bid", "start_bid", "bid_count", "status")
