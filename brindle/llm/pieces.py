@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from brindle.llm.common import default_tokenizer, small_batches, table, texts, tidy
 
 SPACE = "▁"
-#: Entries of the memo of one Python worker, which goes from task to task; it starts anew beyond that.
-MEMO = 700_000
+#: Entries of the memo of one task; it starts anew beyond that.
+MEMO = 450_000
 #: Symbols up to which the agenda is a list; the place of a pair that is no piece.
 SHORT, NO_PIECE = 32, 1 << 62
 CANDIDATE_PUNCTUATION = ".,!?#$*&|;:"
@@ -156,7 +156,6 @@ class PieceEncoder:
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
-_MEMOS: dict[str, dict[str, tuple[list[int], str]]] = {}
 
 
 def encoder(model_file: str) -> PieceEncoder:
@@ -169,16 +168,16 @@ def encode_texts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` and, if asked for, ``ids`` and ``decoded`` of every whole text.
 
     One row per input row, repeats included; a null text counts as empty (no ids, empty decoded text); other columns are ignored. Very
-    long texts are encoded whole. No shuffle: a worker holds one Arrow batch and a bounded memo of parts. A disagreement with the library stops the job.
+    long texts are encoded whole. No shuffle: a task holds one Arrow batch and a bounded memo. A disagreement with the library stops the job.
     """
     small_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, memo = encoder(model_file), _MEMOS.setdefault(model_file, {})
+        enc, memo = encoder(model_file), {}
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
+            for lo in range(0, batch.num_rows, 100):
+                part = batch.slice(lo, 100)
                 whole = [x.decode() for x in texts(part.column(1))]
                 got = list(enc.encode(whole, memo))
                 back = enc.sp.decode([g[0] for g in got]) if got else []
