@@ -1,10 +1,14 @@
 """Queries on tables with many copies: whole results, and plans that don't hold a table of rows in the driver or in one task."""
 
+import hashlib
+
 import duckdb
+import numpy as np
 import pytest
 from conftest import SF
 
 from brindle import plans
+from brindle.operators import curve
 
 
 def plan(df) -> str:
@@ -27,3 +31,35 @@ def test_copies_are_paired_but_not_broadcast(spark, copies, name):
     want = sorted(db.sql(f"select a, b, jaccard from ({plans.ORACLE[name]})").fetchall())
     assert sorted((r.a, r.b, r.jaccard) for r in got.collect()) == want and len(want) >= 2000
     assert "Broadcast" not in plan(plans.QUERIES[name](spark, copies))
+
+
+def drawn(sales, sizes=(1, 3, 5, 10, 20, 40)):
+    """The price curve in plain loops."""
+    own, errors = {}, {}
+    for market, sku, group, y in sales:
+        at = own.setdefault((market, sku), {})
+        at[group] = min(y, at.get(group, y))
+    for (market, _), at in own.items():
+        for draw in range(20):
+            y = np.array([at[g] for g in sorted(at, key=lambda g: hashlib.md5(f"0|{draw}|{g}".encode()).hexdigest())])
+            for n in sizes:
+                if len(y) >= n + 5:
+                    errors.setdefault((market, n), []).append(abs(np.exp(y[:n].mean() - np.median(y[n:])) - 1))
+    return {k: (len(e), round(float(np.median(e)), 9), round(float(np.mean(np.array(e) <= 0.1)), 9)) for k, e in errors.items()}
+
+
+def test_curve_shuffles_no_draw(spark, monkeypatch):
+    """Few sales are drawn from inside a row, many by ranges, with the same result; the sales are shuffled once and not once a draw."""
+    rng = np.random.default_rng(5)
+    sales = [(m, f"s{i}", f"g{j % 70}", float(rng.normal(i, 0.2))) for m in ("HU", "US") for i, n in enumerate((3, 6, 9, 30, 75, 75)) for j in range(n)]
+    df = spark.createDataFrame([*sales, (None, "s1", "g1", 1.0), ("HU", "s3", None, 1.0), ("HU", "s3", "g99", float("nan"))], "market string, sku string, group string, y double")
+    want = drawn(sales)
+    many = []
+    whole = curve._ranged
+    monkeypatch.setattr(curve, "_ranged", lambda *a: many.append(1) or whole(*a))
+    for listed, spare in ((512, 4), (20, 4), (20, 0.5)):
+        monkeypatch.setattr(curve, "LISTED", listed)
+        monkeypatch.setattr(curve, "SPARE", spare)
+        got = {(r.market, r.n): (r.samples, round(r.mdape, 9), round(r.within10, 9)) for r in curve.price_curve(df).collect()}
+        assert got == want, (listed, spare)
+    assert len(many) == 2
