@@ -80,3 +80,7 @@ def test_values_of_ranks_are_those_of_a_sort(spark):
     for few in (False, True):
         got = {r.g: (r["__n"], r["__0"], r["__1"]) for r in values_of_ranks(df, ["g"], "v", lambda n: [n - 1, (n - 1) / 3], "n", few).collect()}
         assert got == {g: (len(v), v[-1], v[(len(v) - 1) // 3]) for g, v in values.items()}
+
+
+def test_hashes_are_not_broadcast(spark):
+    assert "Broadcast" not in plan(plans.QUERIES["dedup_hamming"](spark, SF))
