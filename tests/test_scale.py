@@ -6,6 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 from conftest import SF
+from pyspark.sql import functions as F
 
 from brindle import plans
 from brindle.operators import curve
@@ -84,3 +85,11 @@ def test_values_of_ranks_are_those_of_a_sort(spark):
 
 def test_hashes_are_not_broadcast(spark):
     assert "Broadcast" not in plan(plans.QUERIES["dedup_hamming"](spark, SF))
+
+
+@pytest.mark.parametrize("name", ["feature_extract", "feature_canonical", "feature_missing", "harvest_items", "text_identify"])
+def test_texts_of_one_file_are_read_by_all_cores(spark, name):
+    """A small file is one row group, hence one task, whatever its number of texts."""
+    got = plans.QUERIES[name](spark, SF)
+    with_rows = got.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(with_rows) >= spark.sparkContext.defaultParallelism
