@@ -9,8 +9,9 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from brindle import plans
-from brindle.operators import curve
+from brindle.operators import curve, dataset
 from brindle.operators.stats import values_of_ranks
+from brindle.plans import training
 
 
 def plan(df) -> str:
@@ -93,3 +94,15 @@ def test_texts_of_one_file_are_read_by_all_cores(spark, name):
     got = plans.QUERIES[name](spark, SF)
     with_rows = got.groupBy(F.spark_partition_id().alias("task")).count().collect()
     assert len(with_rows) >= spark.sparkContext.defaultParallelism
+
+
+def test_rules_read_no_text_of_a_record(spark):
+    """Features are a table by the time that records meet them: no condition on them is worked out again on records, however the texts come."""
+    kept, _ = training.training_set(spark, SF)
+    assert "ArrowEvalPython" not in plan(kept)
+    r = training.records(spark, SF)
+    with_texts = r.join(training.titles(spark, SF).select(F.col("id").alias("sku"), "title", "description"), "sku")
+    same, _ = dataset.build(with_texts, training.images(spark, SF, r), training.LEAST, training.RULES)
+    assert "ArrowEvalPython" not in plan(same)
+    cols = ["id", "brand", "corpus", "title", "canonical_en", "has_image"]
+    assert sorted(map(str, same.select(cols).collect())) == sorted(map(str, kept.select(cols).collect()))
