@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from brindle import plans
 from brindle.operators import curve, dataset, stats
 from brindle.operators.stats import values_of_ranks
-from brindle.plans import training
+from brindle.models import grid, textsvd
+from brindle.plans import models, training
 
 
 def plan(df) -> str:
@@ -115,3 +116,20 @@ def test_spread_and_noise_hold_no_market(spark):
     assert sorted(map(str, few.collect())) == sorted(map(str, stats.robust_sd(rows, ["g", "k"], "y").collect()))
     for name in ("agg_sales_needed", "agg_noise_floor"):
         assert "median(" not in plan(plans.QUERIES[name](spark, SF)), name
+
+
+def test_models_read_rows_from_all_cores(spark, monkeypatch):
+    """The rows of the models come from a table that all cores wrote, and a title that is repeated is cut once a batch."""
+    seen = []
+    monkeypatch.setattr(grid, "statistics", lambda rows, width: seen.append(rows) or rows.select("market"))
+    models.moments(spark, SF)
+    tasks = seen[0].select(F.input_file_name().alias("f")).distinct().count()
+    assert tasks >= spark.sparkContext.defaultParallelism
+
+
+def test_blocks_of_texts_are_small(spark):
+    texts = spark.createDataFrame([(" ".join(f"word{i}x{j}" for j in range(400)),) for i in range(60)], "text string").coalesce(1)
+    n, terms = textsvd.vocabulary(texts, "text", 1)
+    space = textsvd.TextSpace(terms["term"].tolist(), np.ones(len(terms)), np.zeros(0), np.zeros((len(terms), 0)))
+    sizes = [r.n for r in textsvd._blocks(texts, "text", space).selectExpr("length(weights) n").collect()]
+    assert len(sizes) > 1 and max(sizes) < 100 * (1 << 20) / 100
