@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from brindle.models.tables import written
 
-#: Rows of a tile and of a block of queries; rows of a sample for each cell; most bytes of all centres that go to every task.
-TILE, BLOCK, EACH, MOST_BYTES = 4096, 1024, 40, 64 << 20
+#: Rows of a tile and of a block of queries; blocks that a tile meets at once; rows of a sample for each cell; most bytes of all centres that go to every task.
+TILE, BLOCK, AT_ONCE, EACH, MOST_BYTES = 2048, 1024, 4, 40, 64 << 20
 
 
 def combined(blocks: Sequence[str], mask: dict[str, str] | None = None) -> Column:
@@ -93,13 +93,15 @@ def _packed(rows: DataFrame, size: int, number: str) -> DataFrame:
 
 
 def _best(width: int, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                x, q = (np.frombuffer(r[c], "<f8").reshape(-1, width) for c in ("m", "qm"))
-                ids, asked = np.array(r["ids"]), np.array(r["qids"])
-                groups, own = np.array(r["grps"], object), np.array(r["qgrps"], object)
-                out = []
+    """The best ``k`` of one tile for each query of the blocks that it meets; a task holds one tile and at most AT_ONCE blocks at a time."""
+
+    def run(tile: pa.Table, blocks: pa.Table) -> pa.Table:
+        out = []
+        for r in tile.to_pylist():  # one row
+            x, ids, groups = np.frombuffer(r["m"], "<f8").reshape(-1, width), np.array(r["ids"]), np.array(r["grps"], object)
+            for i in range(blocks.num_rows):
+                b = blocks.slice(i, 1).to_pylist()[0]
+                q, asked, own = np.frombuffer(b["q_m"], "<f8").reshape(-1, width), np.array(b["q_ids"]), np.array(b["q_grps"], object)
                 for lo in range(0, len(q), 256):
                     sim = q[lo : lo + 256] @ x.T
                     bar = asked[lo : lo + 256, None] == ids[None, :]
@@ -111,21 +113,25 @@ def _best(width: int, k: int):
                         edge = np.partition(rounded, len(ids) - k, axis=1)[:, len(ids) - k]
                     else:
                         edge = np.full(len(sim), -np.inf)
-                    for i in range(len(sim)):
-                        at = np.flatnonzero((rounded[i] >= edge[i]) & (rounded[i] > -np.inf))
-                        at = at[np.lexsort((ids[at], -rounded[i][at]))][:k]
-                        out.append((np.full(len(at), asked[lo + i]), ids[at], sim[i][at]))
-                if out:
-                    a, b, c = (np.concatenate(z) for z in zip(*out, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array([r["part"]] * len(a), pa.string()), pa.array(a), pa.array(b), pa.array(c)], ["part", "q", "v", "sim"])
+                    for j in range(len(sim)):
+                        at = np.flatnonzero((rounded[j] >= edge[j]) & (rounded[j] > -np.inf))
+                        at = at[np.lexsort((ids[at], -rounded[j][at]))][:k]
+                        out.append((np.full(len(at), asked[lo + j]), ids[at], sim[j][at]))
+        q, v, sim = (np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        part = tile.column("part")[0].as_py() if tile.num_rows else ""
+        return pa.table([pa.array([part] * len(q), pa.string()), pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(sim, pa.float64())], ["part", "q", "v", "sim"])
 
     return run
 
 
 def _searched(index: DataFrame, queries: DataFrame, width: int, k: int, centres: dict, visits: dict) -> DataFrame:
-    tiles = _packed(_placed(index, width, centres, None), TILE, "tile")
-    blocks = _packed(_placed(queries, width, centres, visits), BLOCK, "block").select("part", "cell", F.col("ids").alias("qids"), F.col("grps").alias("qgrps"), F.col("m").alias("qm"))
-    lists = tiles.join(blocks, ["part", "cell"]).select("part", "ids", "grps", "m", "qids", "qgrps", "qm").mapInArrow(_best(width, k), "part string, q long, v long, sim double")
+    cell, pair = ["part", "cell"], ["part", "cell", "tile", "some"]
+    tiles = written(_packed(_placed(index, width, centres, None), TILE, "tile"))
+    blocks = written(_packed(_placed(queries, width, centres, visits), BLOCK, "block").withColumn("some", F.floor(F.col("block") / AT_ONCE).cast("int")))
+    # each tile meets a few blocks of its cell in a group of its own: what a task holds at a time doesn't depend on the size of a part
+    left = tiles.join(blocks.select(*cell, "some").distinct().hint("merge"), cell)
+    right = blocks.join(tiles.select(*cell, "tile").hint("merge"), cell).select(*[F.col(c).alias(f"q_{c}") for c in (*pair, "ids", "grps", "m")])
+    lists = left.groupBy(*pair).cogroup(right.groupBy(*[f"q_{c}" for c in pair])).applyInArrow(_best(width, k), "part string, q long, v long, sim double")
     rank = F.row_number().over(Window.partitionBy("part", "q").orderBy(F.desc(F.bround("sim", 9)), "v"))
     return lists.withColumn("r", rank).where(F.col("r") <= k)
 
@@ -185,7 +191,7 @@ def fit_cells(index: DataFrame, width: int, sizes: dict[str, int], k: int, recal
     asked = _firsts(sample, dict.fromkeys(sizes, 300), "ask")
     ids = [i for rows in asked.values() for i, _ in rows]
     found = _searched(sample, sample.where(F.col("id").isin(ids)), width, k, {}, {})
-    pairs = found.join(sample.select("part", F.col("id").alias("v"), F.col("v").alias("x")), ["part", "v"]).select("part", "q", "x").collect()  # at most 300 k rows a part
+    pairs = found.join(sample.select("part", F.col("id").alias("v"), F.col("v").alias("x")).hint("merge"), ["part", "v"]).select("part", "q", "x").collect()  # at most 300 k rows a part
     visits = {}
     for p, c in centres.items():
         ranks = {i: np.argsort(np.argsort(-(np.array(v) @ c.T), kind="stable")) for i, v in asked.get(p, [])}

@@ -65,3 +65,12 @@ def test_features_of_neighbours(spark):
     r = neighbour_features(found, spark.createDataFrame([(2, 10.0), (3, 20.0), (4, None)], "v long, y double")).first()
     w = np.exp(np.array([0.0, -2.0]))
     assert np.isclose(r.y, (w @ [10, 20]) / w.sum()) and r.best == 1.0 and np.isclose(r.mean5, 0.95) and np.isclose(r.n, np.log(3))
+
+
+def test_a_task_holds_one_tile_and_a_few_blocks(spark, monkeypatch):
+    """Of a part with many tiles and blocks a task gets one tile and at most AT_ONCE blocks at a time; before, all pairs of a part could come in one batch."""
+    monkeypatch.setattr(retrieval, "TILE", 8)
+    monkeypatch.setattr(retrieval, "BLOCK", 4)
+    v = spark.createDataFrame([(i, [float(i % 7 + 1), float(i % 11), 1.0]) for i in range(120)], "id long, v array<double>")
+    text = nearest(v, k=3)._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" in text and "MapInArrow" not in text
