@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from brindle.functions import pages as P
 from brindle.functions.text import legacy_norm
 from brindle.plans.base import query, table
+from brindle.session import dealt
 
 #: What stands at the top of each page, by its number modulo 8; {n} is 1000000 + number, {p} a price of four digits. By hand: what each gives stands in the oracle.
 OFFERS = [
@@ -77,7 +78,7 @@ def search_cards(spark, d):
     one = F.concat(F.replace(filled, F.lit("{i}"), i), F.replace(filled, F.lit("{i}"), F.concat(F.lit("x"), i)), F.replace(filled, F.lit("{i}"), i))
     body = o.groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_list(one)), "").alias("body"), F.count("*").alias("total"))
     html = F.concat(F.lit("<h1>"), F.col("total").cast("string"), F.lit(" találat</h1>"), F.col("body"), F.when(F.col("total") > 3, '<a rel="next" href="?p=2">tovább</a>').otherwise('<div class="pagination"></div>'))
-    pages = body.select(F.col("o_custkey").alias("q"), html.alias("html"))
+    pages = dealt(body.select(F.col("o_custkey").alias("q"), html.alias("html")))
     found = P.cards(pages.withColumns({"reported_total": P.reported_total(F.col("html")), "has_next": P.has_next(F.col("html"))}), "https://shop.example")
     return found.select("q", F.col("id").cast("long").alias("id"), "title", F.col("card_url").alias("url"), "price", "sale_type", "expired", "reported_total", "has_next")
 
