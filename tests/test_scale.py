@@ -4,6 +4,7 @@ import hashlib
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from brindle import plans
 from brindle.operators import curve, dataset, stats
 from brindle.operators.stats import values_of_ranks
-from brindle.models import grid, textsvd
+from brindle.models import boosting, grid, network, tables, textsvd
 from brindle.plans import models, training
 
 
@@ -133,3 +134,28 @@ def test_blocks_of_texts_are_small(spark):
     space = textsvd.TextSpace(terms["term"].tolist(), np.ones(len(terms)), np.zeros(0), np.zeros((len(terms), 0)))
     sizes = [r.n for r in textsvd._blocks(texts, "text", space).selectExpr("length(weights) n").collect()]
     assert len(sizes) > 1 and max(sizes) < 100 * (1 << 20) / 100
+
+
+def test_packed_rows_are_few_and_small(spark, monkeypatch):
+    """No block of rows is a whole Arrow batch and no reader's group holds more than a few blocks; the blocks still hold every row."""
+    rows = spark.range(0, 9000, 1, 1).selectExpr("'HU' market", "double(id % 97) y", "transform(sequence(1, 128), i -> float(pmod(hash(id, i), 9))) x")
+    got = network._pack(rows, network.Net(["HU"], [0.0], 128, 4), 2)
+    sizes = [r.n for r in got.selectExpr("length(x) n").collect()]
+    assert max(sizes) <= tables.BLOCK and sum(sizes) == 9000 * 128 * 4 and got.select("block").distinct().count() == len(sizes)
+    seen = []
+    monkeypatch.setattr(boosting, "removed", lambda df: seen.append(df))
+    boosting.fit(rows, rounds=1, depth=1)
+    sizes = [r.n for r in seen[0].selectExpr("length(x) n").collect()]
+    assert max(sizes) <= tables.BLOCK and len(sizes) > 1 and sum(sizes) == 9000 * 128
+    wide = spark.range(0, 150, 1, 1).selectExpr("repeat(sha2(string(id), 512), 4096) x")  # rows of half a megabyte
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in tables.written(wide, **tables.PACKED).inputFiles()]
+    assert max(m.row_group(i).num_rows for m in groups for i in range(m.num_row_groups)) <= 16
+
+
+def test_repeated_titles_are_cut_once(spark):
+    """Titles with their numbers give the space of all rows."""
+    texts = ["small ring", "red widget", "small widget", "brass ring", None, "red ring"] * 5 + ["brass ring"] * 30
+    df = spark.createDataFrame([(t,) for t in texts], "title string").repartition(3)
+    whole, once = textsvd.fit(df, "title", rank=3), textsvd.fit(df.groupBy("title").agg(F.count("*").alias("times")), "title", rank=3, times="times")
+    assert whole.terms == once.terms and np.array_equal(whole.idf, once.idf)
+    assert np.allclose(whole.values, once.values) and np.allclose(whole.vectors, once.vectors, atol=1e-6)
