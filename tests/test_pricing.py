@@ -1,14 +1,17 @@
 """Training grid, stored versions, kept results and the evaluation of price models, against plain computations."""
 
+import inspect
 import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from conftest import SF
 from test_models import data, frame, odd
 
-from brindle.models import grid, pricing, store
+from brindle.models import boosting, grid, network, pricing, store, textsvd
 from brindle.models.design import Design
+from brindle.plans import models
 
 
 def test_cells_are_plain_regressions(spark):
@@ -148,3 +151,15 @@ def test_scores_of_a_stored_version_are_those_of_training(spark, tmp_path):
     assert a == b and len(a) == 1800 and all(0 < r[3] <= r[4] <= r[5] for r in a.values())
     odd_items = spark.createDataFrame([(1, None, None, None, None), (2, "?", "?", "zzz", float("nan"))], items.schema)
     assert all(r.q50 > 0 for r in pricing.score(odd_items, again).where("model <> 'group_median'").collect())
+
+
+def test_queries_train_as_far_as_the_library(spark, tmp_path, monkeypatch):
+    """No setting of the queries leaves rounds, epochs, members, units or dimensions out."""
+    seen = []
+    monkeypatch.setattr(models, "root_of", lambda spark, d: f"file://{tmp_path}/none")
+    monkeypatch.setattr(pricing, "train", lambda rows, design, *settings: seen.extend(settings) or (_ for _ in ()).throw(KeyboardInterrupt))
+    with pytest.raises(KeyboardInterrupt):
+        models.trained(spark, SF)
+    for fit, given in zip((boosting.fit, network.fit, textsvd.fit), seen, strict=True):
+        usual = {k: p.default for k, p in inspect.signature(fit).parameters.items()}
+        assert given == {k: usual[k] for k in given}, fit.__module__
